@@ -10,6 +10,7 @@ from uttermill.functions.times import finite, latest_key, latest_value, seconds_
 from uttermill.llm.grouping import assign_splits, connected_components, star_edges
 from uttermill.llm.mixing import mix, source_key
 from uttermill.llm.packing import pack
+from uttermill.llm.personal import find_personal
 from uttermill.llm.splitting import spans_of_texts, split_oversized
 from uttermill.llm.tokens import token_count
 from uttermill.plans.corpus import usable_segments
@@ -163,11 +164,26 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- 9: personal information
+
+
+def p9_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with typed placeholders for what is personal."""
+    return find_personal(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_lexicon")).select("doc_id", F.col("masked").alias("text"), F.size("found").alias("n_found"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence: its document, kind and first code point."""
+    rows = find_personal(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_lexicon"))
+    return rows.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.kind", "f.start_pos")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_pieces": p1_pieces,
     "p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares,
     "p7_found": p7_found, "p7_packed": p7_packed, "p7_fill": p7_fill,
     "p8_mixed": p8_mixed, "p8_shares": p8_shares,
+    "p9_found": p9_found, "p9_masked": p9_masked,
 }
 
 SQL: dict[str, str] = {}
