@@ -9,8 +9,10 @@ from uttermill.functions.storage import table, written
 from uttermill.functions.times import finite, latest_key, latest_value, seconds_to_ms
 from uttermill.llm.grouping import assign_splits, connected_components, star_edges
 from uttermill.llm.mixing import mix, source_key
+from uttermill.llm.neighbours import nearest, recall
 from uttermill.llm.packing import pack
 from uttermill.llm.personal import find_personal
+from uttermill.llm.routing import learned_router, unit_vectors
 from uttermill.llm.splitting import spans_of_texts, split_oversized
 from uttermill.llm.tokens import token_count
 from uttermill.plans.corpus import usable_segments
@@ -116,6 +118,32 @@ def _everything():
     return Window.partitionBy(F.lit(1))
 
 
+# ---------------------------------------------------------------- 5: neighbours
+
+
+def _voices(spark: SparkSession, sf_dir: str):
+    """Usable vectors of utterances, and a router fitted to them."""
+    rows = table(spark, sf_dir, "utt_embeddings").select("utt_name", "emb", "loaded_at")
+    return unit_vectors(rows, "utt_name", "emb", "loaded_at"), learned_router(rows, "utt_name", "emb", "loaded_at")
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 most similar other utterances of every utterance."""
+    found = nearest(*_voices(spark, sf_dir))
+    return found.select(F.col("name").alias("utt_name"), F.col("other").alias("other_utt"), F.round("cosine", 4).alias("cosine"), "place")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs with a cosine of at least 0.9 of which one is among the 10 nearest of the other."""
+    found = nearest(*_voices(spark, sf_dir), min_cosine=0.9)
+    return found.select(F.least("name", "other").alias("utt_a"), F.greatest("name", "other").alias("utt_b")).distinct()
+
+
+def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the routed search for one utterance in 20, against all rows."""
+    return recall(*_voices(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- 7 and 8: tokens
 
 
@@ -181,6 +209,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_pieces": p1_pieces,
     "p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares,
+    "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p5_recall": p5_recall,
     "p7_found": p7_found, "p7_packed": p7_packed, "p7_fill": p7_fill,
     "p8_mixed": p8_mixed, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_masked": p9_masked,
