@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from uttermill.functions.storage import table, written
 from uttermill.functions.times import finite, latest_key, latest_value, seconds_to_ms
+from uttermill.llm.clusters import cluster
 from uttermill.llm.grouping import assign_splits, connected_components, star_edges
 from uttermill.llm.mixing import mix, source_key
 from uttermill.llm.neighbours import nearest, recall
@@ -144,6 +145,30 @@ def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall(*_voices(spark, sf_dir))
 
 
+# ---------------------------------------------------------------- 6: clusters
+
+
+def p6_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every utterance with a usable vector."""
+    return cluster(*_voices(spark, sf_dir))[0].select(F.col("name").alias("utt_name"), "cluster", F.col("first").alias("first_utt"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every member of a cluster that isn't its smallest, with that smallest."""
+    return p6_members(spark, sf_dir).where("utt_name <> first_utt").select("first_utt", "utt_name")
+
+
+def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cluster with its size, most typical utterances and total speech time from segments."""
+    members, groups = cluster(*_voices(spark, sf_dir))
+    span = latest_key(F.col("loaded_at"), F.col("end_ms") - F.col("begin_ms"))
+    spoken = usable_segments(spark, sf_dir).groupBy("seg").agg(latest_value(F.max(span)).alias("ms"))
+    time = members.join(spoken, F.col("name") == F.col("seg")).groupBy("cluster").agg(F.sum("ms").alias("speech_ms"), F.count(F.lit(1)).alias("n_timed"))
+    return groups.join(time, "cluster", "left").select(
+        F.col("first").alias("first_utt"), "size", "typical", F.coalesce("speech_ms", F.lit(0)).alias("speech_ms"), F.coalesce("n_timed", F.lit(0)).alias("n_timed")
+    )
+
+
 # ---------------------------------------------------------------- 7 and 8: tokens
 
 
@@ -210,6 +235,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_pieces": p1_pieces,
     "p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares,
     "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p5_recall": p5_recall,
+    "p6_found": p6_found, "p6_members": p6_members, "p6_clusters": p6_clusters,
     "p7_found": p7_found, "p7_packed": p7_packed, "p7_fill": p7_fill,
     "p8_mixed": p8_mixed, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_masked": p9_masked,
