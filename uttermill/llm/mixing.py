@@ -56,7 +56,7 @@ def quotas(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total_t
                 give[s] = most[s]
                 left -= most[s]
                 del free[s]
-    return {s: Quota(live[s][0] / whole, sizes[s], live[s][1], min(give[s] / sizes[s], live[s][1])) for s in live}
+    return {s: Quota(live[s][0] / whole, sizes[s], live[s][1], float(min(give[s] / sizes[s], live[s][1]))) for s in live}
 
 
 def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 41) -> tuple[DataFrame, dict[str, Quota]]:
