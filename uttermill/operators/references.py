@@ -45,12 +45,11 @@ def orphan_references(
     if not 1 <= n <= 5:
         raise ValueError("a reference has 1 to 5 columns")
     ref_cols, target_cols = [f"r{i}" for i in range(n)], [f"t{i}" for i in range(n)]
-    own = references.select(
-        F.col(own_key).cast("string").alias("own"),
-        *(F.col(a).alias(r) for (a, _), r in zip(keys, ref_cols)),
-        F.col(loaded_at).alias("first"),
-    )
-    own = own.groupBy("own", *ref_cols).agg(F.min("first").alias("first"))
+    itself = [own_key] == [a for a, _ in keys]  # each own key is one reference, so one column and one row serve as both
+    own = references.select(F.col(own_key).alias("own"), *(F.col(a).alias(r) for (a, _), r in zip(keys, ref_cols) if not itself), F.col(loaded_at).alias("first"))
+    own = own.groupBy("own", *(r for r in ref_cols if not itself)).agg(F.min("first").alias("first"))
+    if itself:
+        own = own.select("own", F.col("own").alias("r0"), "first")
     removed = F.lit(False) if target_removed_at is None else F.col(target_removed_at).isNotNull()
     there = targets.select(
         *(F.col(b).alias(t) for (_, b), t in zip(keys, target_cols)),
@@ -59,9 +58,9 @@ def orphan_references(
     )
     judged = [_judged(own, there, ref_cols, target_cols, mask, match) for mask in product((True, False), repeat=n)]
     ranked = reduce(DataFrame.unionAll, [x for x in judged if x is not None])
-    found = ranked.groupBy("own").agg(F.min("rank").alias("rank"), F.min("first").alias("first"))
+    found = ranked if itself else ranked.groupBy("own").agg(F.min("rank").alias("rank"), F.min("first").alias("first"))
     return found.where(F.col("rank").isNotNull()).select(
-        F.col("own").alias(own_key),
+        F.col("own").cast("string").alias(own_key),
         F.element_at(F.array(*map(F.lit, REASONS)), F.col("rank")).alias("reason"),
         F.col("first").alias("first_loaded_at"),
     )
