@@ -60,7 +60,8 @@ def speaker_key(spk: Column) -> Column:
 
 def recording_of(utt: Column) -> Column:
     """The recording that an utterance id names."""
-    return F.regexp_replace(utt, r"-\d{8}-\d{8}$", "")
+    # The pattern meets the 18 last characters only, not the whole id.
+    return F.when(F.substring(utt, -18, 18).rlike(r"^-\d{8}-\d{8}$"), utt.substr(F.lit(1), F.length(utt) - 18)).otherwise(utt)
 
 
 def _filed(spark: SparkSession, sf_dir: str) -> DataFrame:
