@@ -63,15 +63,47 @@ ID_NUMBER = re.compile(
 # Street addresses, by the way in which street, number and town follow each other.
 _TOWN = rf"{_WORD}(?:-{_WORD})?"
 _POST = rf"(?:,?{_GAP}\d{{4,5}}{_GAP}{_TOWN})?"
-ADDRESS = re.compile(
-    rf"{_EDGE}(?:"
-    rf"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite){_GAP}\d+[a-z]?,{_GAP})?\d{{1,4}}[a-z]?{_GAP}(?P<street>{_WORD}(?:[- ]{_WORD})?){_GAP}(?:(?:Road|Lane|Street|Avenue|Drive|Court|Boulevard)(?!\w)|(?:St|Rd|Ave)(?:\.|(?!\w)))(?:(?:,{_GAP}\d{{4,5}}{_GAP}|(?<=Lane),{_GAP}|(?<=LANE),{_GAP}|(?<=lane),{_GAP}){_TOWN})?"
-    rf"|\d{{1,4}}(?:{_GAP}(?:bis|ter|quater))?,?{_GAP}(?:rue|avenue|boulevard|place|chemin|allée|allée|impasse|quai|route|cours){_GAP}(?:(?:de{_GAP}la|de{_GAP}l['’]|des|de|du){_GAP}|d['’]|de{_GAP}l['’])?{_WORD}(?:-{_WORD})*{_POST}"
-    rf"|(?:Calle|C/|Avda\.|Av\.|Avenida|Plaza|Paseo){_GAP}?(?:(?:de{_GAP}la|de{_GAP}los|del|de){_GAP})?{_WORD}(?:[ -]{_WORD}){{0,2}}?,?{_GAP}(?:n\.?[º°]?{_GAP}?)?\d{{1,4}}[a-z]?(?:,{_GAP}\d{{1,2}}\.?[º°ª]{_GAP}?[A-Z]?(?![\w]))?{_POST}"
-    rf"|(?:Am|An{_GAP}der|Im|In{_GAP}der|Zum|Zur|Auf{_GAP}der|Auf{_GAP}dem){_GAP}{_WORD}{_GAP}(?:Platz|Weg|Ring|Allee|Markt|Ufer|Damm|Straße|Strasse){_GAP}\d{{1,4}}(?:[a-z](?![\w]))?{_POST}"
-    rf"|{_WORD}(?:str\.|straße|strasse|weg|platz|allee|gasse|ring|damm|ufer){_GAP}?\d{{1,4}}(?:[a-z](?![\w]))?{_POST}"
-    rf")",
-    re.I,
+_STREET_ENDS = ("str.", "straße", "strasse", "weg", "platz", "allee", "gasse", "ring", "damm", "ufer", "markt")
+#: Each form of address, after words in lower case of which a text must hold one; None stands for the ends of German
+#: street names before a number.
+ADDRESSES = (
+    (
+        ("road", "lane", "street", "avenue", "drive", "court", "boulevard", " st.", "\u00a0st.", " st,", " st ", " rd", " ave"),
+        re.compile(
+            rf"{_EDGE}(?:(?:Flat|Apt\.?|Apartment|Unit|Suite){_GAP}\d+[a-z]?,{_GAP})?\d{{1,4}}[a-z]?{_GAP}(?P<street>{_WORD}(?:[- ]{_WORD})?){_GAP}"
+            rf"(?:(?:Road|Lane|Street|Avenue|Drive|Court|Boulevard)(?!\w)|(?:St|Rd|Ave)(?:\.|(?!\w)))"
+            rf"(?:(?:,{_GAP}\d{{4,5}}{_GAP}|(?<=Lane),{_GAP}|(?<=LANE),{_GAP}|(?<=lane),{_GAP}){_TOWN})?",
+            re.I,
+        ),
+    ),
+    (
+        ("rue", "avenue", "boulevard", "place", "chemin", "all", "impasse", "quai", "route", "cours"),
+        re.compile(
+            rf"{_EDGE}\d{{1,4}}(?:{_GAP}(?:bis|ter|quater))?,?{_GAP}(?:rue|avenue|boulevard|place|chemin|all(?:é|e\u0301|e)e|impasse|quai|route|cours){_GAP}"
+            rf"(?:(?:de{_GAP}la|des|de|du){_GAP}|d['’]|de{_GAP}l['’])?{_WORD}(?:-{_WORD})*{_POST}",
+            re.I,
+        ),
+    ),
+    (
+        ("calle", "c/", "avda", "av.", "avenida", "plaza", "paseo"),
+        re.compile(
+            rf"{_EDGE}(?:Calle|C/|Avda\.|Av\.|Avenida|Plaza|Paseo){_GAP}?(?:(?:de{_GAP}la|de{_GAP}los|del|de){_GAP})?{_WORD}(?:[ -]{_WORD}){{0,2}}?,?{_GAP}"
+            rf"(?:n\.?[º°]?{_GAP}?)?\d{{1,4}}[a-z]?(?:,{_GAP}\d{{1,2}}\.?[º°ª]{_GAP}?[A-Z]?(?!\w))?{_POST}",
+            re.I,
+        ),
+    ),
+    (
+        None,
+        re.compile(
+            rf"{_EDGE}(?:Am|An{_GAP}der|Im|In{_GAP}der|Zum|Zur|Auf{_GAP}der|Auf{_GAP}dem){_GAP}{_WORD}{_GAP}(?:Platz|Weg|Ring|Allee|Markt|Ufer|Damm|Straße|Strasse)"
+            rf"{_GAP}\d{{1,4}}(?:[a-z](?!\w))?{_POST}",
+            re.I,
+        ),
+    ),
+    (
+        None,
+        re.compile(rf"{_EDGE}{_WORD}(?:str\.|straße|strasse|weg|platz|allee|gasse|ring|damm|ufer){_GAP}?\d{{1,4}}(?:[a-z](?!\w))?{_POST}", re.I),
+    ),
 )
 
 #: Words that stand before a name and are no part of one, and others that end like given names.
@@ -120,6 +152,7 @@ class Finder:
         self.family = frozenset(f for f, k in rows if k == "family")
         self.given = frozenset(f for f, k in rows if k == "given")
         self.family_ends = tuple(endings(self.family, 3, 6, max(3, len(self.family) // 50)))
+        self.other_families = tuple(sorted(f for f in self.family if not f.endswith(self.family_ends)))
         self.given_ends = tuple(endings(self.given, 1, 4, max(2, len(self.given) // 50)))
 
     def _given_like(self, word: str, any_case: bool) -> bool:
@@ -213,23 +246,34 @@ class Finder:
         if not text:
             return out
         any_case = not any(c.isupper() for c in text)
-        for kind, pattern, group in (("email", EMAIL, 0), ("id_number", ID_NUMBER, "value"), ("address", ADDRESS, 0), ("phone", PHONE, 0)):
-            if kind == "email" and "@" not in text and "[" not in text and "(" not in text:
-                continue
-            for m in pattern.finditer(text):
-                begin, end = m.span(group)
-                if kind == "phone" and text[begin] == "(":
-                    begin += 1
-                if kind == "address" and m.group("street") and not self._street(m.group("street"), any_case):
-                    continue
-                if kind == "id_number" and sum(c.isdigit() for c in m.group(group)) < 5:
+        if any(c in text for c in "@[("):
+            out += [Found(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
+        lower = text.lower()
+        numbers = [m.start() for m in _DIGITS.finditer(text)]
+        if numbers:
+            for m in ID_NUMBER.finditer(text):
+                begin, end = m.span("value")
+                if sum(c.isdigit() for c in text[begin:end]) >= 5 and not _inside(out, begin, end):
+                    out.append(Found(begin, end, "id_number"))
+            german = len(lower) != len(text) or any(lower[max(0, i - 10) : i].rstrip().endswith(_STREET_ENDS) for i in numbers)
+            for words, pattern in ADDRESSES:
+                if not (german if words is None else any(w in lower for w in words)):
                     continue
+                for m in pattern.finditer(text):
+                    street = m.groupdict().get("street")
+                    if (street is None or self._street(street, any_case)) and not _inside(out, *m.span()):
+                        out.append(Found(m.start(), m.end(), "address"))
+            for m in PHONE.finditer(text):
+                begin, end = m.span()
+                begin += text[begin] == "("
                 if not _inside(out, begin, end):
-                    out.append(Found(begin, end, kind))
-        out += self.persons(text, out)
+                    out.append(Found(begin, end, "phone"))
+        if any(e in lower for e in self.family_ends) or any(f in lower for f in self.other_families) or not text.isascii():
+            out += self.persons(text, out)
         return sorted(out)
 
 
+_DIGITS = re.compile(r"\d+")
 _TOKEN = re.compile(rf"{_LETTER}+")
 
 
