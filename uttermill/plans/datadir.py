@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from uttermill.functions.storage import table
+from uttermill.functions.times import finite
 from uttermill.operators import datadir as O
 
 _RECORDING = r"^(.*)-(\d{8})-(\d{8})$"
@@ -28,7 +29,7 @@ def dd_longer_than(spark, sf_dir):
 
 
 def dd_positive_durations(spark, sf_dir):
-    return table(spark, sf_dir, "reco2dur").where((F.col("dur") > 0) & ~F.isnan("dur")).select("reco", "dur")
+    return table(spark, sf_dir, "reco2dur").where((F.col("dur") > 0) & finite(F.col("dur"))).select("reco", "dur")
 
 
 def dd_min_segment(spark, sf_dir):
@@ -256,7 +257,7 @@ _W = "w AS (SELECT utt, max(wav) AS wav FROM raw_list GROUP BY utt), a AS (SELEC
 SQL = {
     "dd_min_utts": f"WITH {_U} SELECT * FROM u WHERE spk IN (SELECT spk FROM u WHERE spk IS NOT NULL GROUP BY spk HAVING count(DISTINCT utt) >= 3)",
     "dd_longer_than": f"WITH {_U}, {_D} SELECT u.* FROM u JOIN d USING (utt) WHERE dur > 5",
-    "dd_positive_durations": "SELECT reco, dur FROM reco2dur WHERE dur > 0 AND NOT isnan(dur)",
+    "dd_positive_durations": "SELECT reco, dur FROM reco2dur WHERE dur > 0 AND isfinite(dur)",
     "dd_min_segment": "SELECT seg, begin_sec, end_sec FROM segments WHERE end_sec - begin_sec >= 0.255",
     "dd_with_features": f"WITH {_U} SELECT * FROM u WHERE utt IN (SELECT utt FROM feats_scp WHERE feat_path IS NOT NULL)",
     "dd_without_features": f"WITH {_U} SELECT * FROM u WHERE utt NOT IN (SELECT utt FROM feats_scp WHERE feat_path IS NOT NULL)",

@@ -159,12 +159,12 @@ SQL = {
       n AS (SELECT *, row_number() OVER (PARTITION BY reco ORDER BY b, e, seg) AS ordinal FROM t),
       j AS (SELECT piece, n.spk, least(x.e, n.e) - greatest(x.b, n.b) AS o, ordinal FROM x JOIN n ON x.reco = n.reco AND x.b < n.e AND n.b < x.e WHERE x.e > x.b)
       SELECT piece, spk, CAST(o AS BIGINT) AS overlap_ms FROM (SELECT *, row_number() OVER (PARTITION BY piece ORDER BY o DESC, ordinal) AS r FROM j) WHERE r = 1""",
-    "d_speaker_centroids": f"WITH {_E} SELECT reco, spk, n, CAST(generate_subscripts(c, 1) - 1 AS INT) AS pos, round(unnest(c), 6) AS x FROM ce",
-    "d_overlap_candidates": f"WITH {_E} SELECT piece, other, round(round(sim, 6), 5) AS sim FROM sim",
+    "d_speaker_centroids": f"WITH {_E} SELECT reco, spk, n, CAST(generate_subscripts(c, 1) - 1 AS INT) AS pos, round(unnest(c), 6) + 0.0 AS x FROM ce",
+    "d_overlap_candidates": f"WITH {_E} SELECT piece, other, round(round(sim, 6), 5) + 0.0 AS sim FROM sim",
     "d_overlap_regions": f"""WITH {_E}, rs AS (SELECT *, round(sim, 4) AS s4 FROM sim),
       o AS (SELECT a.reco, a.piece, a.b, a.e, a.other, CAST(a.other <> a.spk AND a.s4 >= 0.05 AND p.s4 - a.s4 <= 0.95 AS INT) AS v FROM rs a JOIN rs p ON p.piece = a.piece AND p.other = a.spk),
       g AS {_smooth('o', 'reco, other', 'b, e, piece', 1)} {_regions('g', 'reco, other', 'b, e, piece', 100)}""",
-    "d_nearest_other_speaker": f"""WITH {_E}, x AS (SELECT a.reco, a.spk, o.spk AS other, round(list_dot_product(a.c, o.c), 5) AS sim FROM ce a JOIN ce o ON o.reco = a.reco AND o.spk <> a.spk)
+    "d_nearest_other_speaker": f"""WITH {_E}, x AS (SELECT a.reco, a.spk, o.spk AS other, round(list_dot_product(a.c, o.c), 5) + 0.0 AS sim FROM ce a JOIN ce o ON o.reco = a.reco AND o.spk <> a.spk)
       SELECT reco, spk, other, sim FROM (SELECT *, row_number() OVER (PARTITION BY reco, spk ORDER BY sim DESC, other) AS r FROM x) WHERE r = 1""",
     "d_rttm_lines": f"WITH {_T} SELECT format('SPEAKER {{}} 1 {{:.3f}} {{:.3f}} <NA> <NA> {{}} <NA> <NA>', reco, b / 1000.0, (e - b) / 1000.0, spk) AS line FROM t",
     "d_segment_ids": f"WITH {_S} SELECT seg, format('{{}}-{{:08d}}-{{:08d}}', reco, b, e) AS written FROM s",

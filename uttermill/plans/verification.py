@@ -139,16 +139,16 @@ _T = """t AS (
   SELECT e.enroll, v.utt AS test, CASE WHEN e.spk = v.spk THEN 'target' ELSE 'nontarget' END AS label
   FROM (SELECT spk, min(utt) AS enroll FROM v GROUP BY spk) e, v WHERE v.utt <> e.enroll)"""
 _COS = "list_dot_product({a}, {b}) / sqrt(list_dot_product({a}, {a}) * list_dot_product({b}, {b}))"
-_S = f"""s AS (SELECT t.enroll, t.test, round({_COS.format(a='a.emb', b='b.emb')}, 5) AS score, t.label
+_S = f"""s AS (SELECT t.enroll, t.test, round({_COS.format(a='a.emb', b='b.emb')}, 5) + 0.0 AS score, t.label
   FROM t JOIN v a ON a.utt = t.enroll JOIN v b ON b.utt = t.test)"""
 _BASE = f"WITH {_V}, {_T}, {_S}"
 _MEAN = "SELECT pos, avg(x) AS m {by} FROM (SELECT unnest(emb) AS x, generate_subscripts(emb, 1) AS pos {by} FROM v) GROUP BY pos {by}"
 _COHORT = f"""cohort AS (SELECT spk, list(round(m, 9) ORDER BY pos) AS c FROM ({_MEAN.format(by=', spk')}) GROUP BY spk),
 pairs AS (SELECT v.utt, sqrt(list_dot_product(v.emb, v.emb)) AS magnitude, round({_COS.format(a='v.emb', b='c')}, 12) AS x FROM v, cohort),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY utt ORDER BY x DESC) AS r FROM pairs)"""
-_STATS = "SELECT utt, round(min(magnitude), 6) AS magnitude, round(avg(x), 6) AS cohort_mean, round(stddev_pop(x), 6) AS cohort_std FROM ranked {where} GROUP BY utt"
+_STATS = "SELECT utt, round(min(magnitude), 6) AS magnitude, round(avg(x), 6) + 0.0 AS cohort_mean, round(stddev_pop(x), 6) AS cohort_std FROM ranked {where} GROUP BY utt"
 _NORMED = f"""{_BASE}, {_COHORT}, st AS ({_STATS.format(where='WHERE r <= 5')}),
-normed AS (SELECT s.enroll, s.test, round(0.5 * ((s.score - e.cohort_mean) / e.cohort_std + (s.score - q.cohort_mean) / q.cohort_std), 5) AS score, s.label,
+normed AS (SELECT s.enroll, s.test, round(0.5 * ((s.score - e.cohort_mean) / e.cohort_std + (s.score - q.cohort_mean) / q.cohort_std), 5) + 0.0 AS score, s.label,
   e.magnitude AS enroll_magnitude, q.magnitude AS test_magnitude, e.cohort_mean AS enroll_cohort_mean, q.cohort_mean AS test_cohort_mean
   FROM s JOIN st e ON e.utt = s.enroll JOIN st q ON q.utt = s.test)"""
 _CURVE = """c AS (SELECT score, enroll, test, row_number() OVER w AS n,
@@ -173,17 +173,17 @@ QUERIES = {
 
 SQL = {
     "v_scores": f"{_BASE} SELECT * FROM s",
-    "v_global_mean": f"WITH {_V} SELECT CAST(pos - 1 AS INT) AS pos, round(m, 6) AS mean FROM ({_MEAN.format(by='')})",
-    "v_speaker_mean": f"WITH {_V} SELECT spk, n, CAST(pos - 1 AS INT) AS pos, round(m, 6) AS mean FROM ({_MEAN.format(by=', spk')}) JOIN (SELECT spk, count(*) AS n FROM v GROUP BY spk) USING (spk)",
+    "v_global_mean": f"WITH {_V} SELECT CAST(pos - 1 AS INT) AS pos, round(m, 6) + 0.0 AS mean FROM ({_MEAN.format(by='')})",
+    "v_speaker_mean": f"WITH {_V} SELECT spk, n, CAST(pos - 1 AS INT) AS pos, round(m, 6) + 0.0 AS mean FROM ({_MEAN.format(by=', spk')}) JOIN (SELECT spk, count(*) AS n FROM v GROUP BY spk) USING (spk)",
     "v_centred_scores": f"""WITH {_V}, m AS (SELECT list(round(m, 9) ORDER BY pos) AS m FROM ({_MEAN.format(by='')})), {_T},
       z AS (SELECT utt, list_transform(list_zip(emb, m), lambda p: p[1] - p[2]) AS emb FROM v, m)
-      SELECT t.enroll, t.test, round({_COS.format(a='a.emb', b='b.emb')}, 5) AS score, t.label
+      SELECT t.enroll, t.test, round({_COS.format(a='a.emb', b='b.emb')}, 5) + 0.0 AS score, t.label
       FROM t JOIN z a ON a.utt = t.enroll JOIN z b ON b.utt = t.test""",
     "v_cohort_top5": f"WITH {_V}, {_COHORT} {_STATS.format(where='WHERE r <= 5')}",
     "v_cohort_all": f"WITH {_V}, {_COHORT} {_STATS.format(where='')}",
     "v_normed_scores": f"{_NORMED} SELECT * FROM normed",
     "v_calibration_factors": f"{_NORMED} SELECT enroll, test, label, score, {_factors('magnitude', 'enroll_magnitude', 'test_magnitude')}, {_factors('cohort', 'enroll_cohort_mean', 'test_cohort_mean')} FROM normed",
-    "v_detection_curve": f"{_BASE}, {_CURVE} SELECT score, enroll, test, round(fnr, 9) AS fnr, round(fpr, 9) AS fpr FROM c",
+    "v_detection_curve": f"{_BASE}, {_CURVE} SELECT score, enroll, test, round(fnr, 9) AS fnr, round(fpr, 9) + 0.0 AS fpr FROM c",
     "v_equal_error_rate": f"""{_BASE}, {_CURVE}, h AS (SELECT * FROM c WHERE fnr - fpr >= 0 ORDER BY n LIMIT 1), l AS (SELECT * FROM c WHERE fnr - fpr < 0 ORDER BY n DESC LIMIT 1)
       SELECT round(h.fnr + (h.fnr - h.fpr) / ((l.fpr - h.fpr) - (l.fnr - h.fnr)) * (l.fnr - h.fnr), 6) AS eer, h.score AS threshold FROM h, l""",
     "v_minimum_cost": f"""{_BASE}, {_CURVE}, p AS (SELECT CAST(unnest([0.01, 0.005, 0.001]) AS DOUBLE) AS p_target)
@@ -204,6 +204,6 @@ SQL = {
     "v_plda_scores": f"""WITH {_V}, {_T}, x AS (
         SELECT t.enroll, t.test, t.label, unnest(a.emb) AS e, unnest(b.emb) AS q, 8.0 / generate_subscripts(a.emb, 1) AS p
         FROM t JOIN v a ON a.utt = t.enroll JOIN v b ON b.utt = t.test)
-      SELECT enroll, test, round(sum(-0.5 * (ln(1 + p / (p + 1)) + pow(q - p / (p + 1) * e, 2) / (1 + p / (p + 1))) + 0.5 * (ln(1 + p) + q * q / (1 + p))), 5) AS score, label
+      SELECT enroll, test, round(sum(-0.5 * (ln(1 + p / (p + 1)) + pow(q - p / (p + 1) * e, 2) / (1 + p / (p + 1))) + 0.5 * (ln(1 + p) + q * q / (1 + p))), 5) + 0.0 AS score, label
       FROM x GROUP BY enroll, test, label""",
 }
