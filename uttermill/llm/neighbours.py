@@ -17,6 +17,8 @@ from uttermill.llm.routing import Router, unpacked
 PROBES = 6
 #: Queries that are compared with a block at once.
 _CHUNK = 1_024
+#: Digits of a cosine that half-precision vectors bear; closer ones are ties.
+_DIGITS = 5
 
 _SENT = "block int, kept boolean, asks boolean, name string, vec binary"
 _PAIRS = "name string, other string, cosine double"
@@ -61,31 +63,28 @@ def _search(k: int, floor: float | None):
     """Within each block, compare the rows that ask with those that are kept. Kept rows come first."""
 
     def pairs(names: np.ndarray, x: np.ndarray, base_names: np.ndarray, base: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Base rows lie by name, so that of equal cosines the earlier row counts. At most ``k + 1`` per row leave."""
+        m = min(k + 1, len(base))
+        later = np.arange(len(base)) * 1e-12
         for i in range(0, len(names), _CHUNK):
             s = x[i : i + _CHUNK] @ base.T
             own = names[i : i + _CHUNK]
-            if floor is not None:
-                q, b = np.nonzero(s >= floor - 1e-4)
-                keep = own[q] != base_names[b]
-                q, b = q[keep], b[keep]
-                near = s[q, b]
-                order = np.lexsort((base_names[b].astype(str), -near, q)) if len(q) else np.zeros(0, np.int64)
-                q, b, near = q[order], b[order], near[order]
-                place = np.arange(len(q)) - np.searchsorted(q, q)
-                few = place < k
-                q, b, near = q[few], b[few], near[few]
+            if floor is None:
+                full, q, b = np.arange(len(s)), np.zeros(0, np.int64), np.zeros(0, np.int64)
             else:
-                m = min(k + 1, s.shape[1])
-                some = np.argpartition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m :]
-                q, b = np.repeat(np.arange(len(s)), m), some.ravel()
-                keep = own[q] != base_names[b]
-                q, b = q[keep], b[keep]
-                near = s[q, b]
+                near_enough = s >= floor
+                count = near_enough.sum(axis=1)
+                full = np.flatnonzero(count > m)
+                near_enough[full] = False
+                q, b = np.nonzero(near_enough)
+            if len(full):
+                some = np.argpartition(np.round(s[full].astype(np.float64), _DIGITS) - later, len(base) - m, axis=1)[:, len(base) - m :]
+                q, b = np.r_[q, np.repeat(full, m)], np.r_[b, some.ravel()]
+            keep = own[q] != base_names[b]
+            q, b = q[keep], b[keep]
             if len(q):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[q], pa.string()), pa.array(base_names[b], pa.string()), pa.array(np.minimum(near, 1).astype(np.float64))],
-                    names=["name", "other", "cosine"],
-                )
+                near = np.round(np.minimum(s[q, b].astype(np.float64), 1.0), _DIGITS)
+                yield pa.RecordBatch.from_arrays([pa.array(own[q], pa.string()), pa.array(base_names[b], pa.string()), pa.array(near)], names=["name", "other", "cosine"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, base_names, base, open_block = None, [], [], False
@@ -109,15 +108,19 @@ def _search(k: int, floor: float | None):
                     open_block = True
                 elif base:
                     if fixed is None:
-                        fixed = (np.concatenate([n for n, _ in base_names]), np.concatenate(base))
+                        fixed = by_name(np.concatenate([n for n, _ in base_names]), np.concatenate(base))
                     yield from pairs(names, x, *fixed)
         if open_block:
             yield from close(base_names, base)
 
+    def by_name(names: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(names.astype(str), kind="stable")
+        return names[order], np.ascontiguousarray(x[order])
+
     def close(base_names: list, base: list) -> Iterator[pa.RecordBatch]:
         """The kept rows of a block among themselves."""
         names, asks, x = np.concatenate([n for n, _ in base_names]), np.concatenate([a for _, a in base_names]), np.concatenate(base)
-        yield from pairs(names[asks], x[asks], names, x)
+        yield from pairs(names[asks], x[asks], *by_name(names, x))
 
     return run
 
@@ -139,8 +142,6 @@ def nearest(vectors: DataFrame, router: Router, k: int = 10, probes: int = PROBE
     sent = vectors.select("name", "vec").mapInArrow(_send(router, probes, ask_share), _SENT)
     laid = sent.repartition(width, "block").sortWithinPartitions("block", F.desc("kept"))
     found = laid.mapInArrow(_search(k, min_cosine), _PAIRS)
-    if min_cosine is not None:
-        found = found.where(F.col("cosine") >= min_cosine)
     order = Window.partitionBy("name").orderBy(F.desc("cosine"), "other")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 

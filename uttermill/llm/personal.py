@@ -128,15 +128,14 @@ class Found(NamedTuple):
 
 
 def endings(forms: Iterable[str], shortest: int, longest: int, support: int) -> list[str]:
-    """Endings that names share: for each form the one that the most forms have, weighted by its length."""
+    """Endings that names share: for each form, of those with enough support, the one that the most forms have, weighted by its length."""
     forms = {f.lower() for f in forms}
     counts = Counter(f[-n:] for f in forms for n in range(shortest, longest + 1) if len(f) > n + 1)
     kept: set[str] = set()
     for f in forms:
-        own = [f[-n:] for n in range(shortest, longest + 1) if len(f) > n + 1]
-        best = max(own, key=lambda e: (counts[e] * (len(e) - shortest + 1), len(e)), default="")
-        if counts[best] >= support:
-            kept.add(best)
+        own = [f[-n:] for n in range(shortest, longest + 1) if len(f) > n + 1 and counts[f[-n:]] >= support]
+        if own:
+            kept.add(max(own, key=lambda e: (counts[e] * (len(e) - shortest + 1), len(e))))
     return sorted(kept, key=lambda e: (-len(e), e))
 
 
