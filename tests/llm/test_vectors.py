@@ -132,3 +132,18 @@ def test_density_peaks_point_to_denser_vectors():
     assert (rank[to][moved] < rank[moved]).all() and (near[moved] >= 0.6).all()
     peak = clusters.followed(to)
     assert (to[peak] == peak).all()
+
+
+def test_local_clusters_meet_whatever_their_parts(spark):
+    """Two vectors of each voice with a cosine of 0.68 whose 20 most probable parts of 40 have none in common."""
+    rng = np.random.default_rng(7)
+    u = rng.standard_normal((30, 128))
+    u[:, 0] = 0
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    x = np.concatenate([np.sqrt(0.84) * u + 0.4 * np.eye(128)[0], np.sqrt(0.84) * u - 0.4 * np.eye(128)[0]])
+    weights = np.zeros((128, 40), np.float32)
+    weights[0] = np.where(np.arange(40) < 20, 50, -50)
+    router = routing.Router(weights, np.zeros(40, np.float32), np.ones(40, np.int64))
+    df = _table(spark, [(f"u{i:02}", v.tolist(), T0) for i, v in enumerate(x)])
+    members, _ = clusters.cluster(routing.unit_vectors(df, "utt", "emb", "loaded_at"), router)
+    assert {r["name"]: r["first"] for r in members.collect()} == {f"u{i:02}": f"u{i % 30:02}" for i in range(60)}

@@ -13,15 +13,15 @@ from uttermill.functions.storage import drop_written, shuffle_width, written
 from uttermill.llm.neighbours import _spots
 from uttermill.llm.routing import Router, packed, unpacked
 
-#: Parts in which the local clusters of different blocks meet.
-PROBES = 8
+#: Tiles of local clusters that even a small table is laid out in, so that all cores compare.
+LEAST_TILES = 5
 #: Most typical members that a cluster is described by.
 TYPICAL = 3
 _CHUNK = 1_024
 
 _BLOCKED = "block int, name string, vec binary"
 _LOCAL = "name string, peak string, size bigint, first string, typical array<string>, vec binary"
-_SENT = "block int, peak string, size bigint, vec binary"
+_SENT = "block int, tile int, peak string, size bigint, vec binary"
 _POINTERS = "peak string, to string, cosine double"
 
 
@@ -114,8 +114,24 @@ def _local_clusters(least: float):
     return run
 
 
+def _nearest_earlier(x: np.ndarray, at: np.ndarray, other: np.ndarray, least: float, to: np.ndarray, near: np.ndarray) -> None:
+    """For each row ``at``, the most similar of the rows ``other`` that come before it, if its cosine is at least ``least``."""
+    y = x[other]
+    for i in range(0, len(at), _CHUNK):
+        own = at[i : i + _CHUNK]
+        some, upto = np.searchsorted(other, own[0]), np.searchsorted(other, own[-1])
+        if not upto:
+            continue
+        s = x[own] @ y[:upto].T
+        s[:, some:][own[:, None] <= other[None, some:upto]] = -2
+        best = np.argmax(s, axis=1)
+        value = s[np.arange(len(s)), best]
+        has = value >= least
+        to[own[has]], near[own[has]] = other[best[has]], value[has]
+
+
 def _meet(least: float):
-    """Within one block of local clusters, the most similar larger one of each."""
+    """Between the two tiles of a block, the most similar larger local cluster of each one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -136,15 +152,16 @@ def _meet(least: float):
 
     def solve(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
-        names, size = np.array(t.column("peak").to_pylist(), object), t.column("size").to_numpy()
+        names, size, tile = np.array(t.column("peak").to_pylist(), object), t.column("size").to_numpy(), t.column("tile").to_numpy()
         x = np.concatenate([unpacked(b.column("vec")) for b in held])
-        rank = np.empty(len(x), np.int64)
-        rank[np.lexsort((names.astype(str), -size))] = np.arange(len(x))
-        to, near = density_peaks(x, rank, least)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array(names[to], pa.string()), pa.array(np.where(to == np.arange(len(x)), -1.0, near))],
-            names=["peak", "to", "cosine"],
-        )
+        # The largest come first, so that only earlier rows count.
+        order = np.lexsort((names.astype(str), -size))
+        names, tile, x = names[order], tile[order], x[order]
+        sides = [np.flatnonzero(tile == k) for k in np.unique(tile)]
+        to, near = np.arange(len(x)), np.full(len(x), -1.0)
+        for side, other in zip(sides, sides[::-1]):
+            _nearest_earlier(x, side, other, least, to, near)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(names[to], pa.string()), pa.array(near)], names=["peak", "to", "cosine"])
 
     return run
 
@@ -160,25 +177,28 @@ def _to_home(router: Router):
     return run
 
 
-def _to_parts(router: Router, probes: int, slices: int):
+def _to_tiles(tiles: int):
+    """Each local cluster to the blocks in which its tile, by hash, meets every tile."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                top = router.top(unpacked(batch.column("vec")), probes)
-                at = np.repeat(np.arange(batch.num_rows), top.shape[1])
-                part = top.ravel()
-                if slices > 1:
-                    part = part * slices + _spots(batch.column("peak").to_pylist())[at] % slices
-                out = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), out.column("peak"), out.column("size"), out.column("vec")], names=["block", "peak", "size", "vec"])
+            if not batch.num_rows:
+                continue
+            tile = _spots(batch.column("peak").to_pylist()) % tiles
+            for other in range(tiles):
+                block = np.minimum(tile, other) * tiles + np.maximum(tile, other)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block.astype(np.int32)), pa.array(tile.astype(np.int32)), batch.column("peak"), batch.column("size"), batch.column("vec")],
+                    names=["block", "tile", "peak", "size", "vec"],
+                )
 
     return run
 
 
-def _meeting(found: DataFrame, router: Router, least: float, probes: int, slices: int) -> DataFrame:
-    """``peak, to``: each local cluster's most similar larger one over all blocks in which it meets others, else itself."""
-    width = max(shuffle_width(found.sparkSession), router.parts * slices)
-    sent = found.select("peak", "size", "vec").mapInArrow(_to_parts(router, probes, slices), _SENT)
+def _meeting(found: DataFrame, least: float, tiles: int) -> DataFrame:
+    """``peak, to``: each local cluster's most similar larger one of all, else itself."""
+    width = max(shuffle_width(found.sparkSession), tiles * (tiles + 1) // 2)
+    sent = found.select("peak", "size", "vec").mapInArrow(_to_tiles(tiles), _SENT)
     met = sent.repartition(width, "block").sortWithinPartitions("block").mapInArrow(_meet(least), _POINTERS)
     return met.groupBy("peak").agg(F.max(F.struct("cosine", "to")).alias("best")).select("peak", F.col("best.to").alias("to"))
 
@@ -198,7 +218,7 @@ def _roots(pointers: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"pointers did not end in {max_rounds} rounds")
 
 
-def cluster(vectors: DataFrame, router: Router, least: float = 0.63, probes: int = PROBES, meet_rows: int = 16_384) -> tuple[DataFrame, DataFrame]:
+def cluster(vectors: DataFrame, router: Router, least: float = 0.63, meet_rows: int = 16_384) -> tuple[DataFrame, DataFrame]:
     """Clusters of vectors that lie within a cosine of ``least`` of a denser one, by density peaks.
 
     ``vectors`` has ``name, vec`` as :func:`uttermill.llm.routing.unit_vectors` makes them, one row per name. Returns
@@ -208,10 +228,9 @@ def cluster(vectors: DataFrame, router: Router, least: float = 0.63, probes: int
 
     A vector's density is the number of vectors within ``least`` in its block; it points to the most similar denser
     one there, and pointers are followed to peaks. The local clusters that this gives, as centres with their sizes,
-    then meet in all of their ``probes`` most probable parts, where each points to the most similar larger one, and
-    pointers are followed again. Pairs never leave a block, blocks are bounded by the router, and a voice that holds
-    most rows only makes more blocks, whose centres meet in turn. Where the centres are more than ``meet_rows`` to a
-    part on average they first meet in slices, and what still leads a group meets in whole parts.
+    then all meet each other, whatever their parts: each points to the most similar larger one of all, and pointers are
+    followed again. They are laid out in tiles of at most about ``meet_rows``, and a task compares two tiles, so that
+    no task grows with the table; the comparisons grow with the square of the number of local clusters.
 
     Equal densities go by name. A lone vector is a cluster of one. No rows give no clusters. Extra columns are ignored.
     """
@@ -220,14 +239,8 @@ def cluster(vectors: DataFrame, router: Router, least: float = 0.63, probes: int
     laid = vectors.select("name", "vec").mapInArrow(_to_home(router), _BLOCKED).repartition(width, "block").sortWithinPartitions("block")
     local = written(laid.mapInArrow(_local_clusters(least), _LOCAL), "local")
     found = local.where("name is null").drop("name")
-    slices = max(1, -(-found.count() * min(probes, router.parts) // (router.parts * meet_rows)))
-    if slices > 1:
-        early = _roots(_meeting(found, router, least, probes, slices))
-        leaders = found.join(early.where("peak = root").select("peak"), "peak", "left_semi")
-        late = _roots(_meeting(leaders, router, least, probes, 1))
-        roots = early.join(late.select(F.col("peak").alias("lead"), F.col("root").alias("last")), F.col("root") == F.col("lead")).select("peak", F.col("last").alias("root"))
-    else:
-        roots = _roots(_meeting(found, router, least, probes, 1))
+    n = found.count()
+    roots = _roots(_meeting(found, least, max(-(-n // meet_rows), min(LEAST_TILES, -(-n // _CHUNK)), 1)))
     placed = found.drop("vec").join(roots, "peak")
     groups = written(
         placed.groupBy("root").agg(
