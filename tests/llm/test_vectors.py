@@ -147,3 +147,20 @@ def test_local_clusters_meet_whatever_their_parts(spark):
     df = _table(spark, [(f"u{i:02}", v.tolist(), T0) for i, v in enumerate(x)])
     members, _ = clusters.cluster(routing.unit_vectors(df, "utt", "emb", "loaded_at"), router)
     assert {r["name"]: r["first"] for r in members.collect()} == {f"u{i:02}": f"u{i % 30:02}" for i in range(60)}
+
+
+def test_typical_members_are_those_of_all_blocks(spark):
+    """One voice over eight blocks, and another one: the members nearest the centre of all, as in a single block."""
+    x, y = _voices(400, 2, seed=8, spread=0.45)
+    df = _table(spark, [(f"u{i:03}", v.tolist(), T0) for i, v in enumerate(x)])
+    vectors = routing.unit_vectors(df, "utt", "emb", "loaded_at")
+    x = routing.unpacked(routing.packed(x))
+    want = {}
+    for k in range(2):
+        own = np.flatnonzero(y == k)
+        centre = x[own].sum(0) / np.linalg.norm(x[own].sum(0))
+        want[f"u{own[0]:03}"] = [f"u{own[i]:03}" for i in np.argsort(-(x[own] @ centre))[:3]]
+    for blocks in (1, 8):
+        router = routing.Router(np.zeros((128, 1), np.float32), np.zeros(1, np.float32), np.array([blocks]))
+        _, groups = clusters.cluster(vectors, router)
+        assert {r["first"]: list(r["typical"]) for r in groups.collect()} == want

@@ -20,9 +20,11 @@ TYPICAL = 3
 _CHUNK = 1_024
 
 _BLOCKED = "block int, name string, vec binary"
-_LOCAL = "name string, peak string, size bigint, first string, typical array<string>, vec binary"
+_LOCAL = "name string, peak string, size bigint, first string, vec binary, total binary"
 _SENT = "block int, tile int, peak string, size bigint, vec binary"
 _POINTERS = "peak string, to string, cosine double"
+_SUMS = "cluster string, total binary"
+_FITS = "cluster string, fit double, name string"
 
 
 def density_peaks(x: np.ndarray, rank: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -57,6 +59,16 @@ def density(x: np.ndarray, least: float) -> np.ndarray:
     return np.concatenate([(x[i : i + _CHUNK] @ x.T >= least).sum(1) for i in range(0, len(x), _CHUNK)])
 
 
+def _sum_bytes(x: np.ndarray) -> pa.Array:
+    """Rows as single-precision bytes."""
+    return pa.array([row.tobytes() for row in x.astype(np.float32)], pa.binary())
+
+
+def _sums(column: pa.Array) -> np.ndarray:
+    """The rows of :func:`_sum_bytes`, in double precision."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1).astype(np.float64)
+
+
 def _local_clusters(least: float):
     """Density peaks within one block, whose size the router bounds."""
 
@@ -82,6 +94,7 @@ def _local_clusters(least: float):
         names = np.array(t.column("name").to_pylist(), object)
         order = np.argsort(names.astype(str), kind="stable")
         names, x = names[order], np.concatenate([unpacked(b.column("vec")) for b in held])[order]
+        vecs = t.column("vec").take(order).to_pylist()
         dense = density(x, least)
         rank = np.empty(len(x), np.int64)
         rank[np.lexsort((np.arange(len(x)), -dense))] = np.arange(len(x))
@@ -91,13 +104,8 @@ def _local_clusters(least: float):
         sums = np.zeros((len(peaks), x.shape[1]))
         np.add.at(sums, label, x)
         centre = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-        fit = np.einsum("ij,ij->i", x, centre[label])
-        # Members of a cluster lie together, the most typical first; names are sorted already, so ties go by name.
-        by = np.lexsort((np.arange(len(x)), -np.round(fit, 6), label))
-        starts = np.searchsorted(label[by], np.arange(len(peaks)))
         first = np.full(len(peaks), len(x), np.int64)
         np.minimum.at(first, label, np.arange(len(x)))
-        heads = [names[by[s : min(s + TYPICAL, s + n)]].tolist() for s, n in zip(starts, size)]
         none = [None] * len(x)
         yield pa.RecordBatch.from_arrays(
             [
@@ -105,10 +113,10 @@ def _local_clusters(least: float):
                 pa.array([*names[peak], *names[peaks]], pa.string()),
                 pa.array([*none, *size.tolist()], pa.int64()),
                 pa.array([*none, *names[first]], pa.string()),
-                pa.array([*none, *heads], pa.list_(pa.string())),
-                pa.array([*none, *packed(centre).to_pylist()], pa.binary()),
+                pa.array([*vecs, *packed(centre).to_pylist()], pa.binary()),
+                pa.array([*none, *_sum_bytes(sums).to_pylist()], pa.binary()),
             ],
-            names=["name", "peak", "size", "first", "typical", "vec"],
+            names=["name", "peak", "size", "first", "vec", "total"],
         )
 
     return run
@@ -218,13 +226,69 @@ def _roots(pointers: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"pointers did not end in {max_rounds} rounds")
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One sum for each cluster of rows that lie together."""
+
+    def rows(clusters: list[str], sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(clusters, pa.string()), _sum_bytes(sums)], names=["cluster", "total"])
+
+    last, held = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = np.array(batch.column("cluster").to_pylist(), object)
+        cuts = np.r_[0, np.flatnonzero(names[1:] != names[:-1]) + 1]
+        owners, sums = names[cuts], np.add.reduceat(_sums(batch.column("total")), cuts, axis=0)
+        if held is not None:
+            if owners[0] == last:
+                sums[0] += held
+            else:
+                yield rows([last], held[None])
+        if len(owners) > 1:
+            yield rows(owners[:-1].tolist(), sums[:-1])
+        last, held = owners[-1], sums[-1]
+    if held is not None:
+        yield rows([last], held[None])
+
+
+def _best_fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch and cluster, the members nearest the cluster's centre."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        centre = _sums(batch.column("total"))
+        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
+        fit = np.round(np.einsum("ij,ij->i", unpacked(batch.column("vec")), centre), 6)
+        _, label = np.unique(np.array(batch.column("cluster").to_pylist(), object).astype(str), return_inverse=True)
+        names = np.array(batch.column("name").to_pylist(), object).astype(str)
+        by = np.lexsort((names, -fit, label))
+        place = np.arange(len(by)) - np.searchsorted(label[by], label[by])
+        kept = by[place < TYPICAL]
+        yield pa.RecordBatch.from_arrays([batch.column("cluster").take(pa.array(kept)), pa.array(fit[kept]), batch.column("name").take(pa.array(kept))], names=["cluster", "fit", "name"])
+
+
+def _typical(local: DataFrame, placed: DataFrame) -> DataFrame:
+    """``cluster, typical``: the members of all of a cluster's parts that are nearest the centre of all its members.
+
+    Members meet the centre by their local cluster, which is no larger than a block, and a few of each batch go on.
+    """
+    width = shuffle_width(local.sparkSession)
+    parts = placed.select("peak", F.col("root").alias("cluster"), "total")
+    centres = parts.select("cluster", "total").repartition(width, "cluster").sortWithinPartitions("cluster").mapInArrow(_summed, _SUMS)
+    of_peak = parts.drop("total").join(centres, "cluster")
+    members = local.where("name is not null").select("name", "peak", "vec").join(of_peak, "peak")
+    fits = members.select("cluster", "total", "name", "vec").mapInArrow(_best_fits, _FITS)
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("fit")).alias("far"), F.col("name").alias("name")))), 1, TYPICAL)
+    return fits.groupBy("cluster").agg(best.alias("best")).select("cluster", F.col("best.name").alias("typical"))
+
+
 def cluster(vectors: DataFrame, router: Router, least: float = 0.63, meet_rows: int = 16_384) -> tuple[DataFrame, DataFrame]:
     """Clusters of vectors that lie within a cosine of ``least`` of a denser one, by density peaks.
 
     ``vectors`` has ``name, vec`` as :func:`uttermill.llm.routing.unit_vectors` makes them, one row per name. Returns
     ``name, cluster, first`` for every vector and ``cluster, size, first, typical`` for every cluster: its name is that
     of its strongest peak, ``first`` its smallest member, ``typical`` up to ``TYPICAL`` members nearest the centre of
-    its largest part.
+    all its members, best first.
 
     A vector's density is the number of vectors within ``least`` in its block; it points to the most similar denser
     one there, and pointers are followed to peaks. The local clusters that this gives, as centres with their sizes,
@@ -242,12 +306,7 @@ def cluster(vectors: DataFrame, router: Router, least: float = 0.63, meet_rows:
     n = found.count()
     roots = _roots(_meeting(found, least, max(-(-n // meet_rows), min(LEAST_TILES, -(-n // _CHUNK)), 1)))
     placed = found.drop("vec").join(roots, "peak")
-    groups = written(
-        placed.groupBy("root").agg(
-            F.sum("size").alias("size"), F.min("first").alias("first"), F.max(F.struct(F.col("peak") == F.col("root"), "typical")).alias("lead")
-        ).select(F.col("root").alias("cluster"), "size", "first", F.col("lead.typical").alias("typical")),
-        "clusters",
-    )
+    groups = written(placed.groupBy("root").agg(F.sum("size").alias("size"), F.min("first").alias("first")).withColumnRenamed("root", "cluster"), "clusters")
     of_peak = roots.join(groups.select("cluster", "first"), F.col("root") == F.col("cluster")).select("peak", "cluster", "first")
     members = local.where("name is not null").select("name", "peak").join(of_peak, "peak").select("name", "cluster", "first")
-    return members, groups
+    return members, groups.join(_typical(local, placed), "cluster")
