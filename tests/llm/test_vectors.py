@@ -164,3 +164,12 @@ def test_typical_members_are_those_of_all_blocks(spark):
         router = routing.Router(np.zeros((128, 1), np.float32), np.zeros(1, np.float32), np.array([blocks]))
         _, groups = clusters.cluster(vectors, router)
         assert {r["first"]: list(r["typical"]) for r in groups.collect()} == want
+
+
+def test_recall_holds_when_there_are_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(routing, "PART_ROWS", 47)
+    x, _ = _voices(3_000, 600, spread=0.6)
+    df = _table(spark, [(f"u{i:05}", v.tolist(), T0) for i, v in enumerate(x)])
+    vectors, router = routing.unit_vectors(df, "utt", "emb", "loaded_at"), routing.learned_router(df, "utt", "emb", "loaded_at")
+    assert router.parts == 64
+    assert neighbours.recall(vectors, router, ask_share=2).first()["recall"] >= 0.9

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from uttermill.functions.storage import shuffle_width
 from uttermill.llm.routing import Router, unpacked
 
-#: Parts that each vector is looked up in.
-PROBES = 6
+#: Parts that each vector is looked up in: the fewest, and of so many parts that many, so that recall does not fall
+#: with the number of parts.
+PROBES, PROBED_OF = 6, 28
 #: Queries that are compared with a block at once.
 _CHUNK = 1_024
 #: Digits of a cosine that half-precision vectors bear; closer ones are ties.
@@ -28,6 +29,11 @@ def _spots(names: list[str]) -> np.ndarray:
     return (pd.util.hash_array(np.array(names, object), categorize=False) >> np.uint64(1)).astype(np.int64)
 
 
+def probe_count(parts: int) -> int:
+    """Parts to look a vector up in, of so many: a fixed share, but ``PROBES`` at least."""
+    return max(PROBES, -(-parts * PROBES // PROBED_OF))
+
+
 def _send(router: Router, probes: int, ask_share: int | None):
     """Rows to the block that keeps them and to the blocks that they are looked up in."""
 
@@ -40,21 +46,25 @@ def _send(router: Router, probes: int, ask_share: int | None):
             top = router.top(unpacked(batch.column("vec")), probes)
             home = router.block_of(top[:, 0], spot)
             asks = np.ones(len(names), bool) if ask_share is None else spot % ask_share == 0
-            rows, blocks, kept = [np.arange(len(names))], [home], [np.ones(len(names), bool)]
+            yield laid(batch, np.arange(len(names)), home, np.ones(len(names), bool), asks)
+            # A batch for each probe, however many there are.
             for j in range(top.shape[1]):
+                rows, blocks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for part in np.unique(top[:, j]):
                     mine = np.flatnonzero((top[:, j] == part) & asks)
                     for block in router.blocks_of(part):
                         there = mine[home[mine] != block]
                         rows.append(there)
                         blocks.append(np.full(len(there), block))
-                        kept.append(np.zeros(len(there), bool))
-            at, block, keep = np.concatenate(rows), np.concatenate(blocks), np.concatenate(kept)
-            out = batch.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(block.astype(np.int32)), pa.array(keep), pa.array(asks[at]), out.column("name"), out.column("vec")],
-                names=["block", "kept", "asks", "name", "vec"],
-            )
+                at, block = np.concatenate(rows), np.concatenate(blocks)
+                yield laid(batch, at, block, np.zeros(len(at), bool), asks)
+
+    def laid(batch: pa.RecordBatch, at: np.ndarray, block: np.ndarray, kept: np.ndarray, asks: np.ndarray) -> pa.RecordBatch:
+        out = batch.take(pa.array(at))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(block.astype(np.int32)), pa.array(kept), pa.array(asks[at]), out.column("name"), out.column("vec")],
+            names=["block", "kept", "asks", "name", "vec"],
+        )
 
     return run
 
@@ -125,12 +135,12 @@ def _search(k: int, floor: float | None):
     return run
 
 
-def nearest(vectors: DataFrame, router: Router, k: int = 10, probes: int = PROBES, min_cosine: float | None = None, ask_share: int | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, router: Router, k: int = 10, probes: int | None = None, min_cosine: float | None = None, ask_share: int | None = None) -> DataFrame:
     """For every vector the ``k`` most similar others: ``name, other, cosine, place``.
 
     ``vectors`` has ``name, vec`` as :func:`uttermill.llm.routing.unit_vectors` makes them, one row per name. Each
     vector is kept in one block of its most probable part and looked up in all blocks of its ``probes`` most probable
-    parts, so nothing but the parts' borders is lost. ``min_cosine`` leaves out less similar pairs before they are
+    parts (:func:`probe_count` of the parts, if not given), so nothing but the parts' borders is lost. ``min_cosine`` leaves out less similar pairs before they are
     sent on; it changes none of the others. ``ask_share`` asks only for one name in so many, by hash, and with as many
     probes as there are parts the search is exact: that is how recall is measured.
 
@@ -139,14 +149,14 @@ def nearest(vectors: DataFrame, router: Router, k: int = 10, probes: int = PROBE
     one vector or none gives no rows. Equal vectors are neighbours like any others. Extra columns are ignored.
     """
     width = max(shuffle_width(vectors.sparkSession), int(router.blocks.sum()))
-    sent = vectors.select("name", "vec").mapInArrow(_send(router, probes, ask_share), _SENT)
+    sent = vectors.select("name", "vec").mapInArrow(_send(router, probe_count(router.parts) if probes is None else probes, ask_share), _SENT)
     laid = sent.repartition(width, "block").sortWithinPartitions("block", F.desc("kept"))
     found = laid.mapInArrow(_search(k, min_cosine), _PAIRS)
     order = Window.partitionBy("name").orderBy(F.desc("cosine"), "other")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def recall(vectors: DataFrame, router: Router, k: int = 10, probes: int = PROBES, ask_share: int = 20) -> DataFrame:
+def recall(vectors: DataFrame, router: Router, k: int = 10, probes: int | None = None, ask_share: int = 20) -> DataFrame:
     """Share of the true ``k`` nearest that the routed search finds, for one name in ``ask_share`` against all rows."""
     true = nearest(vectors, router, k, router.parts, None, ask_share).select("name", "other")
     found = nearest(vectors, router, k, probes, None, ask_share).select("name", "other", F.lit(1).alias("hit"))
