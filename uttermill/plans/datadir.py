@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from uttermill.functions.storage import table
@@ -20,6 +20,17 @@ def _durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "utt2dur").where("dur > 0 and not isnan(dur) and dur <= 1000").groupBy("utt").agg(F.max("dur").alias("dur"))
 
 
+def seconds_of_any_unit(dur: Column) -> Column:
+    """Lengths in seconds. Seconds never exceed 1,000, so larger values are milliseconds."""
+    return F.when(dur > 1_000, dur / 1_000).otherwise(dur)
+
+
+def all_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``utt, dur``: the longest usable length of every utterance, whatever its unit."""
+    usable = table(spark, sf_dir, "utt2dur").where(finite(F.col("dur")) & (F.col("dur") > 0))
+    return usable.groupBy("utt").agg(F.max(seconds_of_any_unit(F.col("dur"))).alias("dur"))
+
+
 def dd_min_utts(spark, sf_dir):
     return O.frequent_only(_u2s(spark, sf_dir).where("spk is not null"), "spk", "utt", 3)
 
@@ -214,7 +225,7 @@ def dd_strided_part(spark, sf_dir):
 
 
 def dd_calibration_trials(spark, sf_dir):
-    u = _u2s(spark, sf_dir).where("spk is not null").join(_durations(spark, sf_dir), "utt")
+    u = _u2s(spark, sf_dir).where("spk is not null").join(all_durations(spark, sf_dir), "utt")
     return O.calibration_trials(u, 2_000)
 
 

@@ -11,6 +11,7 @@ from uttermill.functions.storage import table
 from uttermill.operators import backend as B
 from uttermill.operators import cluster as C
 from uttermill.operators.verify import mean_vector
+from uttermill.plans.datadir import all_durations
 from uttermill.plans.diarization import _pieces
 from uttermill.plans.verification import _normed, _trials, _vectors
 from uttermill.streaming.stateful import framed, speech_stretches
@@ -91,8 +92,7 @@ def m_refined_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m_combined_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Utterances of each speaker joined to at least 5 s."""
     u = table(spark, sf_dir, "utt2spk").where("removed_at is null and spk is not null").select("utt", "spk").distinct()
-    d = table(spark, sf_dir, "utt2dur").where("dur > 0 and not isnan(dur) and dur <= 1000").groupBy("utt").agg(F.max("dur").alias("dur"))
-    return C.combined_utterances(u.join(d, "utt"), "spk", "utt", "dur", 5.0).select("spk", "new_utt", F.size("utts").alias("n"), F.round("dur", 3).alias("dur"))
+    return C.combined_utterances(u.join(all_durations(spark, sf_dir), "utt"), "spk", "utt", "dur", 5.0).select("spk", "new_utt", F.size("utts").alias("n"), F.round("dur", 3).alias("dur"))
 
 
 def m_speech_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
