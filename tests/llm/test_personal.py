@@ -81,3 +81,10 @@ def test_masking_leaves_the_rest_and_links_across_documents(spark):
     assert re.findall(r"PERSON (\w+)|PHONE ([\d ]+)", m) == re.findall(r"PERSON (\w+)|PHONE ([\d ]+)", n)
     assert [(f["kind"], f["start_pos"]) for f in by[1]["found"]] == [("person", 3), ("phone", 24), ("email", 40)]
     assert P.find_personal(docs.limit(0), names).count() == 0
+
+
+def test_codes_of_many_values_are_distinct():
+    values = [f"user{i}@mail.test" for i in range(60_000)]
+    codes = {P.linked_code(v, b"k", "email") for v in values}
+    assert len(codes) == len(values) and all(len(c) == 6 and c.isalpha() for c in codes)
+    assert P.linked_code("Rela Tussardi", b"k", "person") == P.linked_code("RELA  TUSSARDI", b"k", "person") != P.linked_code("Rela Tussardi", b"k", "email")
