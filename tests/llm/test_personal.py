@@ -88,3 +88,9 @@ def test_codes_of_many_values_are_distinct():
     codes = {P.linked_code(v, b"k", "email") for v in values}
     assert len(codes) == len(values) and all(len(c) == 6 and c.isalpha() for c in codes)
     assert P.linked_code("Rela Tussardi", b"k", "person") == P.linked_code("RELA  TUSSARDI", b"k", "person") != P.linked_code("Rela Tussardi", b"k", "email")
+
+
+@pytest.mark.parametrize("text", ["he lives at 12 Baker St", "(12 Baker St)", "12 Baker St; yes", "12 Baker St: yes", "12 Baker Rd is far", "12 Baker Ave", "12 Baker St\nyes", "12 Baker St?"])
+def test_short_street_words_need_no_mark_or_blank_around_them(finder, text):
+    found = finder.find(text)
+    assert [f.kind for f in found] == ["address"] and text[found[0].start : found[0].end].startswith("12 Baker")

@@ -64,11 +64,11 @@ ID_NUMBER = re.compile(
 _TOWN = rf"{_WORD}(?:-{_WORD})?"
 _POST = rf"(?:,?{_GAP}\d{{4,5}}{_GAP}{_TOWN})?"
 _STREET_ENDS = ("str.", "straße", "strasse", "weg", "platz", "allee", "gasse", "ring", "damm", "ufer", "markt")
-#: Each form of address, after words in lower case of which a text must hold one; None stands for the ends of German
-#: street names before a number.
+#: Each form of address, after words in lower case of which a text must hold one, or a pattern that it must hold; None
+#: stands for the ends of German street names before a number.
 ADDRESSES = (
     (
-        ("road", "lane", "street", "avenue", "drive", "court", "boulevard", " st.", "\u00a0st.", " st,", " st ", " rd", " ave"),
+        re.compile(r"[^\S\n](?:Road|Lane|Street|Avenue|Drive|Court|Boulevard|St|Rd|Ave)(?!\w)", re.I),
         re.compile(
             rf"{_EDGE}(?:(?:Flat|Apt\.?|Apartment|Unit|Suite){_GAP}\d+[a-z]?,{_GAP})?\d{{1,4}}[a-z]?{_GAP}(?P<street>{_WORD}(?:[- ]{_WORD})?){_GAP}"
             rf"(?:(?:Road|Lane|Street|Avenue|Drive|Court|Boulevard)(?!\w)|(?:St|Rd|Ave)(?:\.|(?!\w)))"
@@ -256,7 +256,7 @@ class Finder:
                     out.append(Found(begin, end, "id_number"))
             german = len(lower) != len(text) or any(lower[max(0, i - 10) : i].rstrip().endswith(_STREET_ENDS) for i in numbers)
             for words, pattern in ADDRESSES:
-                if not (german if words is None else any(w in lower for w in words)):
+                if not (german if words is None else words.search(text) if isinstance(words, re.Pattern) else any(w in lower for w in words)):
                     continue
                 for m in pattern.finditer(text):
                     street = m.groupdict().get("street")
