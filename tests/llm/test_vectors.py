@@ -173,3 +173,19 @@ def test_recall_holds_when_there_are_many_parts(spark, monkeypatch):
     vectors, router = routing.unit_vectors(df, "utt", "emb", "loaded_at"), routing.learned_router(df, "utt", "emb", "loaded_at")
     assert router.parts == 64
     assert neighbours.recall(vectors, router, ask_share=2).first()["recall"] >= 0.9
+
+
+def test_small_tiles_give_the_same_clusters(spark):
+    """A, B and C of falling size in one plane: C is near B only, B near A. In whatever tiles they lie, they are one cluster."""
+    rows, weights = [], np.zeros((128, 3), np.float32)
+    for k in range(12):
+        for role, n in enumerate((3, 2, 1)):
+            v = np.zeros(128)
+            v[2 * k], v[2 * k + 1] = np.cos(role * np.radians(50)), np.sin(role * np.radians(50))
+            weights[:, role] += 50 * v
+            rows += [(f"u{k:02}-{role}-{i}", v.tolist(), T0) for i in range(n)]
+    vectors = routing.unit_vectors(_table(spark, rows), "utt", "emb", "loaded_at")
+    router = routing.Router(weights, np.zeros(3, np.float32), np.ones(3, np.int64))
+    for meet_rows in (16_384, 12):
+        members, _ = clusters.cluster(vectors, router, meet_rows=meet_rows)
+        assert {r["name"]: r["first"] for r in members.collect()} == {n: f"{n[:3]}-0-0" for n, _, _ in rows}
