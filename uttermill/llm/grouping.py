@@ -75,7 +75,7 @@ def _mark(edges: DataFrame) -> tuple:
 def assign_splits(groups: DataFrame, shares: Sequence[tuple[str, float]], seed: int = 17) -> DataFrame:
     """Assign each ``component`` with its ``weight`` to one split, in shares as near as possible.
 
-    The few heavy components (see ``HEAVY_SHARE``) go, heaviest first, to the split that lacks most; the identifier of
+    The heavy components (see ``HEAVY_SHARE``; in a small table nearly all are) go, heaviest first, to the split that lacks most; the identifier of
     every other one is hashed, and the hash falls into one of the ranges that what the splits still lack divides the
     unit interval into. Shares are scaled to sum to 1; splits of null or non-positive share get nothing. Returns
     ``component, weight, split_name``; null components and weights are ignored, and no shares is an error.
