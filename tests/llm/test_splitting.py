@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from uttermill.llm.splitting import bisected, spans_of_texts, split_oversized, stretches
+from uttermill.llm.splitting import bisected, kept_whole, spans_of_texts, split_oversized, stretches
 
 KIND = "item string, length_ms bigint, spans array<struct<begin_ms: bigint, end_ms: bigint>>, cut string, x int"
 
@@ -59,6 +59,37 @@ def test_defined_cases(spark):
     assert _run(spark, []) == {}
 
 
+def test_any_spans_give_whole_pieces():
+    """Leading, trailing and short pauses and stretches close to the limit: pieces cover the item, rise, and keep to the limit."""
+    for seed in range(4_000):
+        rng = random.Random(seed)
+        n, at, spans = rng.randrange(30_001, 200_000), rng.choice([0, 100, 400, 600, 20_000]), []
+        while at < n:
+            end = at + rng.choice([rng.randrange(200, 8_000), rng.randrange(28_000, 30_001), 29_500, 30_000, 31_000 if seed % 3 == 0 else 1_000])
+            spans.append((at, end))
+            at = end + rng.choice([300, 301, 310, 500, 900, 5_000])
+        spoken = [(b, min(e, n)) for b, e in stretches(spans, 300)]
+        edges = [0, *(x for s in spoken for x in s), n]
+        pauses = [(b, e) for b, e in zip(edges[::2], edges[1::2]) if e - b >= 300]
+        cuts = kept_whole(bisected(n, pauses, 29_500, 500), spoken, 30_000, 500)
+        begin, last = 0, -1
+        for end, how in cuts:
+            assert last < begin and 0 <= begin < end <= begin + 30_000, seed
+            last, begin = begin, end - 500
+        assert cuts[-1] == (n, "end")
+        assert any(how == "forced" for _, how in cuts) == any(e - b > 30_000 for b, e in spoken), seed
+
+
+def test_pauses_at_the_edges(spark):
+    got = _run(spark, [("lead", 40_000, [(400, 40_000)]), ("tail", 60_000, [(0, 59_700)]), ("long", 60_500, [(0, 300), (700, 30_600), (31_000, 60_500)])])
+    assert [(r["begin_ms"], r["end_ms"]) for r in got["lead"]] == [(0, 20_000), (19_500, 40_000)]
+    assert all(r["begin_ms"] >= 0 for rows in got.values() for r in rows)
+    # Both stretches of just under 30 s come out whole.
+    assert {r["cut_kind"] for r in got["long"]} == {"pause"}
+    for b, e in ((700, 30_600), (31_000, 60_500)):
+        assert any(r["begin_ms"] <= b and e <= r["end_ms"] for r in got["long"])
+
+
 def test_strongest_boundary_near_the_midpoint():
     assert bisected(100, [(10, 30), (44, 48), (58, 64)], 70) == [(61, "pause"), (100, "end")]
     assert bisected(100, [(10, 30)], 85) == [(20, "pause"), (100, "end")]
