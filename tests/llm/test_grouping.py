@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -47,7 +48,7 @@ def test_stars_are_linear(spark):
 
 def _shares(spark, weights, shares):
     df = spark.createDataFrame(weights, "component string, weight bigint")
-    rows = assign_splits(df, shares).collect()
+    rows = assign_splits(df, spark.createDataFrame(shares, "split_name string, target_share double")).collect()
     total = sum(r["weight"] for r in rows)
     out = {}
     for r in rows:
@@ -63,6 +64,25 @@ def test_shares_are_met_by_hash_and_by_weight(spark):
     assert all(abs(got[n] - s) < 0.005 for n, s in shares)
 
 
+def test_hash_ranges_follow_the_weights(spark):
+    """No component is heavy, so the hash decides: the ranges are whole, and the weights in them are as the shares."""
+    shares = [("a", 0.5), ("b", 0.3), ("c", 0.2)]
+    weights = [(f"c{i}", 1 + (i * i) % 50) for i in range(3_000)]
+    rows, got = _shares(spark, weights, shares)
+    assert all(abs(got[n] - s) < 0.002 for n, s in shares)
+    point = {r["component"]: int(hashlib.md5(f"17|{r['component']}".encode()).hexdigest()[:8], 16) // 2**16 for r in rows}
+    order = [r["split_name"] for r in sorted(rows, key=lambda r: point[r["component"]])]
+    assert order == sorted(order)
+    more, _ = _shares(spark, [(f"{c}-{k}", w) for c, w in weights for k in range(10)], shares)
+    assert {r["split_name"] for r in more} == {"a", "b", "c"}
+
+
+def test_a_third_of_the_weight_in_one_component(spark):
+    for hot in ("hot", "warm", "x1", "x2"):
+        _, got = _shares(spark, [(f"c{i}", 3) for i in range(2_000)] + [(hot, 3_000)], [("train", 0.8), ("valid", 0.1), ("test", 0.1)])
+        assert abs(got["train"] - 0.8) < 0.002 and abs(got["test"] - 0.1) < 0.002
+
+
 def test_defined_cases(spark):
     rows, got = _shares(spark, [("a", 5)], [("x", 2.0), ("y", 1.0), ("z", 0.0), (None, 1.0), ("w", None)])
     assert got == {"x": 1.0}

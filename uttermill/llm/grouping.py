@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from uttermill.functions.storage import drop_written, written
 
 #: A component with at least this part of the total weight is placed by weight, not by hash. There are at most
-#: 1 / HEAVY_SHARE of them, which bounds what the driver sees.
-HEAVY_SHARE = 0.0001
-_SCALE = 10**9
+#: 1 / HEAVY_SHARE of them.
+HEAVY_SHARE = 0.01
+#: Points that identifiers are hashed to.
+POINTS = 2**16
 
 
 def star_edges(memberships: DataFrame) -> DataFrame:
@@ -72,42 +71,50 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
-def assign_splits(groups: DataFrame, shares: Sequence[tuple[str, float]], seed: int = 17) -> DataFrame:
+def assign_splits(groups: DataFrame, shares: DataFrame, seed: str = "17") -> DataFrame:
     """Assign each ``component`` with its ``weight`` to one split, in shares as near as possible.
 
-    The heavy components (see ``HEAVY_SHARE``; in a small table nearly all are) go, heaviest first, to the split that lacks most; the identifier of
-    every other one is hashed, and the hash falls into one of the ranges that what the splits still lack divides the
-    unit interval into. Shares are scaled to sum to 1; splits of null or non-positive share get nothing. Returns
-    ``component, weight, split_name``; null components and weights are ignored, and no shares is an error.
+    ``shares`` has ``split_name, target_share``. The identifier of a component is hashed to a point, and each split has
+    one range of points, whose borders are laid so that the components in it weigh what the split is to get: the weight
+    at each of ``POINTS`` points is summed in Spark, and the sums are cut at the shares. Only components of at least
+    ``HEAVY_SHARE`` of all weight, of which there cannot be more than ``1 / HEAVY_SHARE``, would burst a range; they go
+    first, heaviest first, to the split that lacks most, and the ranges of the others narrow to what is then lacking.
+    Both rules go by shares of the whole, so they are the same at every size.
+
+    Shares are scaled to sum to 1; splits of null or non-positive share get nothing; repeated names count once, with
+    the largest share. Returns ``component, weight, split_name``; null components and weights are ignored, and no
+    shares is an error.
     """
-    known = sorted((n, float(s)) for n, s in shares if n is not None and s is not None and s > 0)
-    if not known:
-        raise ValueError("no split has a share above 0")
-    whole = sum(s for _, s in known)
+    known = shares.where("split_name is not null and target_share > 0").groupBy("split_name").agg(F.max("target_share").cast("double").alias("share"))
     groups = groups.select("component", "weight").dropna()
-    total = groups.agg(F.sum("weight")).first()[0] or 0
-    limit = max(1, int(total * HEAVY_SHARE))
-    heavy = groups.where(F.col("weight") >= limit).orderBy(F.desc("weight"), "component").limit(int(1 / HEAVY_SHARE)).collect()
-    lacks = {n: s / whole * total for n, s in known}
-    placed: dict[str, list[str]] = {n: [] for n in lacks}
-    for row in heavy:
-        to = max(sorted(lacks), key=lambda n: lacks[n])
+    # A point is the first 32 bits of a hash that other engines have, too.
+    point = F.floor(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "component").cast("binary")), 1, 8), 16, 10).cast("bigint") / (2**32 // POINTS)).cast("bigint")
+    total = groups.agg(F.coalesce(F.sum("weight"), F.lit(0)).cast("double").alias("total"))
+    placed = groups.withColumn("point", point).withColumn("heavy", F.col("weight") >= total.scalar() * HEAVY_SHARE)
+    wanted = {r["split_name"]: r["share"] for r in known.orderBy("split_name").collect()}  # a row per split
+    if not wanted:
+        raise ValueError("no split has a share above 0")
+    weight = float(total.first()[0])
+    lacks = {n: s / sum(wanted.values()) * weight for n, s in wanted.items()}
+    by_weight: dict[str, str] = {}
+    for row in placed.where("heavy").orderBy(F.desc("weight"), "component").collect():  # at most 1 / HEAVY_SHARE rows
+        to = max(lacks, key=lambda n: lacks[n])
         lacks[to] -= row["weight"]
-        placed[to].append(row["component"])
-    open_room = {n: max(0.0, x) for n, x in lacks.items()}
-    if not sum(open_room.values()):
-        open_room = dict(known)
-    unit, upto = 0.0, []
-    for name, room in open_room.items():
-        unit += room / sum(open_room.values())
-        upto.append((name, round(unit * _SCALE)))
-    point = F.pmod(F.xxhash64(F.col("component"), F.lit(seed)), F.lit(_SCALE))
-    by_hash = F.lit(max(open_room, key=lambda n: open_room[n]))
-    for name, end in reversed(upto):
-        by_hash = F.when(point < end, F.lit(name)).otherwise(by_hash)
-    spark = groups.sparkSession
-    rows = [(c, n) for n, cs in placed.items() for c in cs]
-    by_weight = spark.createDataFrame(rows, "component string, placed string")  # at most 1 / HEAVY_SHARE rows
-    return groups.join(F.broadcast(by_weight), "component", "left").select(
-        "component", "weight", F.coalesce("placed", by_hash).alias("split_name")
-    )
+        by_weight[row["component"]] = to
+    room = {n: max(0.0, x) for n, x in lacks.items()}
+    sums = placed.where("not heavy").groupBy("point").agg(F.sum("weight").alias("w")).orderBy("point").collect()  # at most POINTS rows
+    borders, upto, left = [], 0.0, list(room.items())
+    for at, r in enumerate(sums):
+        # The range ends where its weight is nearest to the room.
+        while len(left) > 1 and upto + r["w"] / 2 > left[0][1]:
+            upto -= left.pop(0)[1]
+            borders.append(r["point"])
+        upto += r["w"]
+    names = list(room)
+    by_hash = F.lit(names[len(borders)])
+    for name, border in reversed(list(zip(names, borders))):
+        by_hash = F.when(F.col("point") < border, F.lit(name)).otherwise(by_hash)
+    split = by_hash
+    if by_weight:
+        split = F.coalesce(F.create_map(*(F.lit(x) for kv in by_weight.items() for x in kv))[F.col("component")], by_hash)
+    return placed.select("component", "weight", split.alias("split_name"))
