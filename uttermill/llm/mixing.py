@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 #: Documents of one cell, the part of a source that one task puts in order.
 CELL_DOCS = 1_000_000
-#: Random offsets that are tried for each source; the one whose tokens come nearest to the quota is drawn.
-OFFSETS = 64
 
 
 @dataclass(frozen=True)
@@ -62,14 +60,14 @@ def quotas(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total_t
 def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 41) -> tuple[DataFrame, dict[str, Quota]]:
     """Draw texts so that each source has its target share of all tokens; returns the copies and the quotas.
 
-    ``docs`` has ``doc_id, source, n_tokens`` and is read three times, so it should be a stored table; ``targets`` has
+    ``docs`` has ``doc_id, source, n_tokens`` and is read twice, so it should be a stored table; ``targets`` has
     ``source, target_share, max_repeats``, a row per source, and is small. The copies are ``doc_id, source, copy_no,
     n_tokens``.
 
     A source's documents lie in the order of a hash of their ids; the running sum of their expected copies, shifted by
-    one random offset per source, gives a copy at each integer that it crosses. Of ``OFFSETS`` random offsets the one
-    whose tokens come nearest to the quota is taken. The running sum is built from counts per cell of the hash, so no
-    source, however large, is sorted in one task. No text comes out more than ``max_repeats`` times. Null sources take no part, null sizes count 0,
+    one random offset per source, gives a copy at each integer that it crosses, so every document has its expected
+    copies and a source's tokens miss its quota by chance only. The running sum is built from counts per cell of the
+    hash, so no source, however large, is sorted in one task. No text comes out more than ``max_repeats`` times. Null sources take no part, null sizes count 0,
     repeated targets of one source count once (the largest share, the smallest repeats), repeated documents are drawn
     each on their own, and an empty table on either side gives no rows.
     """
@@ -94,24 +92,10 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     rank = F.row_number().over(Window.partitionBy("source", "cell").orderBy("spot", "doc_id", "n_tokens"))
     ranked = placed.withColumn("rank", rank).join(before, ["source", "cell"]).withColumn("at", F.col("before") + F.col("rank"))
 
-    def copies_at(offset: Column) -> Column:
-        # The same expression at both ends of a document's step: no boundary is lost or met twice.
-        crossed = lambda i: F.floor(F.col("rate") * i + offset)
-        return F.least(crossed(F.col("at")) - crossed(F.col("at") - 1), F.col("most")).cast("bigint")
-
-    offsets = {s: [random.Random(f"{seed}|{s}|{k}").random() for k in range(OFFSETS)] for s in plan}
-    tried = spark.createDataFrame([(s, x) for s, x in offsets.items()], "source string, offsets array<double>")
-    totals = (
-        ranked.join(F.broadcast(tried), "source").groupBy("source")
-        .agg(*(F.sum(copies_at(F.col("offsets")[k]) * F.col("n_tokens")).alias(f"t{k}") for k in range(OFFSETS)))
-        .collect()
-    )
-    chosen = []
-    for r in totals:
-        want = plan[r["source"]].copies * plan[r["source"]].tokens
-        k = min(range(OFFSETS), key=lambda k: (abs(r[f"t{k}"] - want), k))
-        chosen.append((r["source"], offsets[r["source"]][k]))
-    best = spark.createDataFrame(chosen, "source string, offset double")
-    drawn = ranked.join(F.broadcast(best), "source").withColumn("copies", copies_at(F.col("offset")).cast("int")).where("copies > 0")
+    starts = spark.createDataFrame([(s, random.Random(f"{seed}|{s}").random()) for s in plan], "source string, offset double")  # a row per source
+    # The same expression at both ends of a document's step: no boundary is lost or met twice.
+    crossed = lambda i: F.floor(F.col("rate") * i + F.col("offset"))
+    copies_here = F.least(crossed(F.col("at")) - crossed(F.col("at") - 1), F.col("most")).cast("int")
+    drawn = ranked.join(F.broadcast(starts), "source").withColumn("copies", copies_here).where("copies > 0")
     copies = drawn.select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"), "n_tokens")
     return copies, plan
