@@ -3,9 +3,10 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from uttermill.llm import clusters, neighbours, routing
+from uttermill.llm import clusters, neighbours, routing, tiles
 
 T0 = datetime(2024, 1, 1)
+ONE_PART = routing.Linear(np.zeros((128, 1), np.float32), np.zeros(1, np.float32))
 KIND = "utt string, emb array<float>, loaded_at timestamp, vec int, block string"
 
 
@@ -21,6 +22,10 @@ def _voices(n, k, seed=0, d=128, spread=0.53):
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32), y
 
 
+def _small(df):
+    return routing.unit_vectors(df, "utt", "emb", "loaded_at", small=True)
+
+
 @pytest.fixture
 def small_parts(monkeypatch):
     monkeypatch.setattr(routing, "PART_ROWS", 256)
@@ -76,11 +81,13 @@ def test_recall_and_threshold(spark, small_parts):
     assert len(near & got) >= 0.99 * len(near) and all(s[int(a[1:]), int(b[1:])] > 0.899 for a, b in got)
 
 
-def test_blocks_of_one_part_are_searched_together(spark):
+def test_tiles_of_one_part_are_searched_together(spark, monkeypatch):
     x, _ = _voices(300, 3)
     df = _table(spark, [(f"u{i:05}", v.tolist(), T0) for i, v in enumerate(x)])
     vectors = routing.unit_vectors(df, "utt", "emb", "loaded_at")
-    router = routing.Router(np.zeros((128, 1), np.float32), np.zeros(1, np.float32), np.array([4]))
+    monkeypatch.setattr(routing, "TILE_ROWS", 100)
+    router = routing.Router(ONE_PART, expected=np.array([300.0]))
+    assert routing.Tiles.of(router).count == 21
     at, _ = _exact(routing.unpacked(routing.packed(x)), 5)
     got = {(r["name"], r["other"]) for r in neighbours.nearest(vectors, router, k=5).collect()}
     assert len(got & {(f"u{i:05}", f"u{j:05}") for i, row in enumerate(at) for j in row}) >= 0.998 * 1_500 and len(got) == 1_500
@@ -96,17 +103,18 @@ def test_ties_few_rows_and_empty(spark):
         df = _table(spark, rows)
         vectors, router = routing.unit_vectors(df, "utt", "emb", "loaded_at"), routing.learned_router(df, "utt", "emb", "loaded_at")
         assert neighbours.nearest(vectors, router).count() == 0
-        members, groups = clusters.cluster(vectors, router)
+        members, groups = clusters.cluster(_small(df), router)
         assert members.count() == len(rows) and groups.count() == len(rows)
 
 
-@pytest.mark.parametrize("meet_rows", [16_384, 20])
-def test_clusters_are_voices(spark, small_parts, meet_rows):
+@pytest.mark.parametrize("tile_rows", [16_384, 200])
+def test_clusters_are_voices(spark, small_parts, monkeypatch, tile_rows):
+    monkeypatch.setattr(routing, "TILE_ROWS", tile_rows)
     x, y = _voices(2_000, 60, seed=4, spread=0.45)
     y[:700], x[:700] = 0, (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(x[y == 0][:1] + 0.03 * np.random.default_rng(2).standard_normal((700, 128)).astype(np.float32))
     df = _table(spark, [(f"u{i:05}", v.tolist(), T0) for i, v in enumerate(x)])
     vectors, router = routing.unit_vectors(df, "utt", "emb", "loaded_at"), routing.learned_router(df, "utt", "emb", "loaded_at")
-    members, groups = clusters.cluster(vectors, router, least=0.6, meet_rows=meet_rows)
+    members, groups = clusters.cluster(_small(df), router, least=0.6)
     got = {r["name"]: (r["cluster"], r["first"]) for r in members.collect()}
     assert len(got) == 2_000
     s = x @ x.T
@@ -122,16 +130,30 @@ def test_clusters_are_voices(spark, small_parts, meet_rows):
     assert all(r["typical"][0] in got and got[r["typical"][0]][0] == r["cluster"] for r in rows)
 
 
-def test_density_peaks_point_to_denser_vectors():
+def test_pointers_go_to_the_nearest_denser_vector():
     x, _ = _voices(200, 4, seed=3, spread=0.4)
-    dense = clusters.density(x, 0.6)
+    dense = (x @ x.T >= 0.6).sum(1)
     rank = np.empty(200, np.int64)
     rank[np.lexsort((np.arange(200), -dense))] = np.arange(200)
-    to, near = clusters.density_peaks(x, rank, 0.6)
-    moved = to != np.arange(200)
-    assert (rank[to][moved] < rank[moved]).all() and (near[moved] >= 0.6).all()
-    peak = clusters.followed(to)
-    assert (to[peak] == peak).all()
+    to, near, every = np.arange(200), np.full(200, -2.0, np.float32), np.arange(200)
+    clusters.denser(x, rank, every, every, to, near)
+    s = np.where(rank[:, None] > rank[None, :], x @ x.T, -2)
+    assert (s.argmax(1)[rank > 0] == to[rank > 0]).all() and np.allclose(s.max(1)[rank > 0], near[rank > 0], atol=1e-6)
+    peak = clusters.followed(np.where(near >= 0.6, to, every))
+    assert (near[peak] < 0.6).all() and (rank[peak] <= rank).all()
+
+
+def test_density_counts_all_parts(spark, small_parts):
+    """Over parts that share rows, every neighbour counts once."""
+    x, _ = _voices(1_500, 20, seed=5, spread=0.4)
+    df = _table(spark, [(f"u{i:05}", v.tolist(), T0) for i, v in enumerate(x)])
+    vectors, router = _small(df), routing.learned_router(df, "utt", "emb", "loaded_at")
+    assert router.parts == 6
+    laid = tiles.routed(vectors, router, 6, clusters._unpacked).mapInArrow(clusters._count(0.63, tiles.part_of_tile(router)), "name string, n bigint")
+    got = {r["name"]: r["n"] for r in laid.groupBy("name").agg({"n": "sum"}).toDF("name", "n").collect()}
+    x = routing.unpacked(routing.packed(x, small=True), small=True)
+    want = (x @ x.T >= 0.63).sum(1) - 1
+    assert sum(got.get(f"u{i:05}", 0) == n for i, n in enumerate(want)) >= 1_498  # sums of bytes may round otherwise at the border
 
 
 def test_local_clusters_meet_whatever_their_parts(spark):
@@ -143,39 +165,71 @@ def test_local_clusters_meet_whatever_their_parts(spark):
     x = np.concatenate([np.sqrt(0.84) * u + 0.4 * np.eye(128)[0], np.sqrt(0.84) * u - 0.4 * np.eye(128)[0]])
     weights = np.zeros((128, 40), np.float32)
     weights[0] = np.where(np.arange(40) < 20, 50, -50)
-    router = routing.Router(weights, np.zeros(40, np.float32), np.ones(40, np.int64))
+    router = routing.Router(routing.Linear(weights, np.zeros(40, np.float32)))
     df = _table(spark, [(f"u{i:02}", v.tolist(), T0) for i, v in enumerate(x)])
-    members, _ = clusters.cluster(routing.unit_vectors(df, "utt", "emb", "loaded_at"), router)
+    members, _ = clusters.cluster(_small(df), router)
     assert {r["name"]: r["first"] for r in members.collect()} == {f"u{i:02}": f"u{i % 30:02}" for i in range(60)}
 
 
-def test_typical_members_are_those_of_all_blocks(spark):
-    """One voice over eight blocks, and another one: the members nearest the centre of all, as in a single block."""
+def test_typical_members_are_those_of_all_tiles(spark, monkeypatch):
+    """One voice over many tiles, and another one: the members nearest the centre of all, as in a single tile."""
     x, y = _voices(400, 2, seed=8, spread=0.45)
     df = _table(spark, [(f"u{i:03}", v.tolist(), T0) for i, v in enumerate(x)])
-    vectors = routing.unit_vectors(df, "utt", "emb", "loaded_at")
-    x = routing.unpacked(routing.packed(x))
+    x = routing.unpacked(routing.packed(x, small=True), small=True)
     want = {}
     for k in range(2):
         own = np.flatnonzero(y == k)
         centre = x[own].sum(0) / np.linalg.norm(x[own].sum(0))
         want[f"u{own[0]:03}"] = [f"u{own[i]:03}" for i in np.argsort(-(x[own] @ centre))[:3]]
-    for blocks in (1, 8):
-        router = routing.Router(np.zeros((128, 1), np.float32), np.zeros(1, np.float32), np.array([blocks]))
-        _, groups = clusters.cluster(vectors, router)
+    for tile_rows in (16_384, 100):
+        monkeypatch.setattr(routing, "TILE_ROWS", tile_rows)
+        _, groups = clusters.cluster(_small(df), routing.Router(ONE_PART, expected=np.array([400.0])))
         assert {r["first"]: list(r["typical"]) for r in groups.collect()} == want
 
 
-def test_recall_holds_when_there_are_many_parts(spark, monkeypatch):
-    monkeypatch.setattr(routing, "PART_ROWS", 47)
-    x, _ = _voices(3_000, 600, spread=0.6)
+def test_recall_holds_with_two_levels_of_parts(spark, monkeypatch):
+    """More parts than one model may tell apart: groups are told first, then the parts of several groups."""
+    monkeypatch.setattr(routing, "PART_ROWS", 10)
+    monkeypatch.setattr(routing, "FLAT_PARTS", 64)
+    x, _ = _voices(3_000, 600, spread=0.5)
     df = _table(spark, [(f"u{i:05}", v.tolist(), T0) for i, v in enumerate(x)])
     vectors, router = routing.unit_vectors(df, "utt", "emb", "loaded_at"), routing.learned_router(df, "utt", "emb", "loaded_at")
-    assert router.parts == 64
-    assert neighbours.recall(vectors, router, ask_share=2).first()["recall"] >= 0.9
+    assert len(router.inner) == 10 and router.parts == 300
+    loose = neighbours.nearest(vectors, router, lookups=8, min_cosine=0.6).select("name", "other").collect()
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    near = {(f"u{i:05}", f"u{j:05}") for i, j in zip(*np.nonzero(s >= 0.6))}
+    assert len(near & {tuple(r) for r in loose}) >= 0.9 * len(near)
 
 
-def test_small_tiles_give_the_same_clusters(spark):
+def test_exact_search_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "TILE_ROWS", 64)
+    x, _ = _voices(500, 30, seed=6)
+    df = _table(spark, [(f"u{i:05}", v.tolist(), T0) for i, v in enumerate(x)])
+    got = {}
+    for r in neighbours.nearest_exact(routing.unit_vectors(df, "utt", "emb", "loaded_at"), 5, ask_share=2).collect():
+        got.setdefault(r["name"], {})[r["place"]] = r["other"]
+    at, _ = _exact(routing.unpacked(routing.packed(x)), 5)
+    assert 200 <= len(got) <= 300
+    assert sum(got[n].get(p + 1) == f"u{at[int(n[1:]), p]:05}" for n in got for p in range(5)) >= 0.995 * 5 * len(got)
+
+
+def test_candidates_hold_the_best_of_each_row():
+    rng = np.random.default_rng(0)
+    s = rng.random((50, 700)).astype(np.float32)
+    s[3] = 0.5  # all alike
+    s[4, ::2] = 0.99
+    for floor in (None, 0.97):
+        q, b = neighbours.candidates(s, 11, floor)
+        for i in range(50):
+            best = np.sort(s[i])[::-1][:11]
+            mine = np.sort(s[i, b[q == i]])[::-1]
+            best = best if floor is None else best[best >= floor]
+            assert (mine[: len(best)] == best).all() and len(mine) <= 44
+    assert set(neighbours.candidates(s[3:4], 11, None)[1]) == set(range(11))
+
+
+def test_small_tiles_give_the_same_clusters(spark, monkeypatch):
     """A, B and C of falling size in one plane: C is near B only, B near A. In whatever tiles they lie, they are one cluster."""
     rows, weights = [], np.zeros((128, 3), np.float32)
     for k in range(12):
@@ -184,8 +238,9 @@ def test_small_tiles_give_the_same_clusters(spark):
             v[2 * k], v[2 * k + 1] = np.cos(role * np.radians(50)), np.sin(role * np.radians(50))
             weights[:, role] += 50 * v
             rows += [(f"u{k:02}-{role}-{i}", v.tolist(), T0) for i in range(n)]
-    vectors = routing.unit_vectors(_table(spark, rows), "utt", "emb", "loaded_at")
-    router = routing.Router(weights, np.zeros(3, np.float32), np.ones(3, np.int64))
-    for meet_rows in (16_384, 12):
-        members, _ = clusters.cluster(vectors, router, meet_rows=meet_rows)
+    vectors = _small(_table(spark, rows))
+    for tile_rows in (16_384, 12):
+        monkeypatch.setattr(routing, "TILE_ROWS", tile_rows)
+        router = routing.Router(routing.Linear(weights, np.zeros(3, np.float32)), expected=np.full(3, 72.0))
+        members, _ = clusters.cluster(vectors, router)
         assert {r["name"]: r["first"] for r in members.collect()} == {n: f"{n[:3]}-0-0" for n, _, _ in rows}

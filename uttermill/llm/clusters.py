@@ -10,39 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from uttermill.functions.storage import drop_written, shuffle_width, written
-from uttermill.llm.neighbours import _spots
-from uttermill.llm.routing import Router, packed, unpacked
+from uttermill.llm.routing import Router, router_of, unpacked
+from uttermill.llm.tiles import CHUNK, counts_here, part_of_tile, parts_of, routed, sides_of, solved
 
-#: Tiles of local clusters that even a small table is laid out in, so that all cores compare.
-LEAST_TILES = 5
+#: Most probable parts in which each vector meets others, and in which those that found no denser one meet again.
+LOOKUPS, PEAK_LOOKUPS = 3, 10
 #: Most typical members that a cluster is described by.
 TYPICAL = 3
-_CHUNK = 1_024
 
-_BLOCKED = "block int, name string, vec binary"
-_LOCAL = "name string, peak string, size bigint, first string, vec binary, total binary"
-_SENT = "block int, tile int, peak string, size bigint, vec binary"
-_POINTERS = "peak string, to string, cosine double"
+_COUNTS = "name string, n bigint"
+_LINKS = "name string, peak string, cosine double, density bigint, vec binary"
 _SUMS = "cluster string, total binary"
 _FITS = "cluster string, fit double, name string"
 
 
-def density_peaks(x: np.ndarray, rank: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each unit vector the most similar one of lower ``rank`` with a cosine of at least ``least``, else itself.
-
-    Also that cosine. Ranks are distinct, and 0 is the densest, so the pointers lead to peaks without cycles.
-    """
-    n = len(x)
-    to, near = np.arange(n), np.full(n, 1.0)
-    for i in range(0, n, _CHUNK):
-        s = x[i : i + _CHUNK] @ x.T
-        s[rank[i : i + _CHUNK][:, None] <= rank[None, :]] = -2
-        best = np.argmax(s, axis=1)
-        value = s[np.arange(len(s)), best]
-        has = value >= least
-        to[i : i + _CHUNK][has] = best[has]
-        near[i : i + _CHUNK][has] = value[has]
-    return to, near
+def _unpacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return unpacked(column, small=True)
 
 
 def followed(to: np.ndarray) -> np.ndarray:
@@ -54,178 +37,115 @@ def followed(to: np.ndarray) -> np.ndarray:
         to = further
 
 
-def density(x: np.ndarray, least: float) -> np.ndarray:
-    """How many vectors have a cosine of at least ``least`` with each one."""
-    return np.concatenate([(x[i : i + _CHUNK] @ x.T >= least).sum(1) for i in range(0, len(x), _CHUNK)])
-
-
-def _sum_bytes(x: np.ndarray) -> pa.Array:
-    """Rows as single-precision bytes."""
-    return pa.array([row.tobytes() for row in x.astype(np.float32)], pa.binary())
+def denser(x: np.ndarray, rank: np.ndarray, own: np.ndarray, other: np.ndarray, to: np.ndarray, near: np.ndarray) -> None:
+    """For each row of ``own`` the most similar row of ``other`` with a lower ``rank``, into ``to``, and its cosine, into ``near``.
 
+    Ranks are distinct, and 0 is the densest, so pointers to denser rows lead to peaks without cycles.
+    """
+    other = other[np.argsort(rank[other])]
+    base, order = np.ascontiguousarray(x[other].T), rank[other]
+    for i in range(0, len(own), CHUNK):
+        mine = own[i : i + CHUNK]
+        s = x[mine] @ base
+        s[rank[mine][:, None] <= order[None, :]] = -2
+        best = np.argmax(s, axis=1)
+        value = s[np.arange(len(s)), best]
+        has = value > near[mine]
+        to[mine[has]], near[mine[has]] = other[best[has]], value[has]
 
-def _sums(column: pa.Array) -> np.ndarray:
-    """The rows of :func:`_sum_bytes`, in double precision."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1).astype(np.float64)
 
+def _count(least: float, part_at: np.ndarray):
+    """Neighbours of each row within a tile, of pairs that share several parts in one of them only."""
 
-def _local_clusters(least: float):
-    """Density peaks within one block, whose size the router bounds."""
+    def solve(tile: int, t: pa.Table) -> Iterator[pa.RecordBatch]:
+        x, parts = _unpacked(t.column("vec")), parts_of(t)
+        n = np.zeros(len(x), np.int64)
+        for own, other in sides_of(t.column("side").to_numpy()):
+            base = np.ascontiguousarray(x[other].T)
+            for i in range(0, len(own), CHUNK):
+                mine = own[i : i + CHUNK]
+                q, b = np.nonzero(x[mine] @ base >= least)
+                a, b = mine[q], other[b]
+                here = (a != b) & counts_here(int(part_at[tile]), parts[a], parts[b])
+                n += np.bincount(a[here], minlength=len(n))
+        some = np.flatnonzero(n)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([t.column("name").take(pa.array(some)).combine_chunks(), pa.array(n[some])], names=["name", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        block = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            blocks = batch.column("block").to_numpy()
-            cuts = np.r_[0, np.flatnonzero(blocks[1:] != blocks[:-1]) + 1, len(blocks)]
-            for i, j in zip(cuts[:-1], cuts[1:]):
-                if blocks[i] != block and held:
-                    yield from solve(held)
-                    held = []
-                block = blocks[i]
-                held.append(batch.slice(i, j - i))
-        if held:
-            yield from solve(held)
-
-    def solve(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held)
-        names = np.array(t.column("name").to_pylist(), object)
-        order = np.argsort(names.astype(str), kind="stable")
-        names, x = names[order], np.concatenate([unpacked(b.column("vec")) for b in held])[order]
-        vecs = t.column("vec").take(order).to_pylist()
-        dense = density(x, least)
-        rank = np.empty(len(x), np.int64)
-        rank[np.lexsort((np.arange(len(x)), -dense))] = np.arange(len(x))
-        peak = followed(density_peaks(x, rank, least)[0])
-        peaks, label = np.unique(peak, return_inverse=True)
-        size = np.bincount(label)
-        sums = np.zeros((len(peaks), x.shape[1]))
-        np.add.at(sums, label, x)
-        centre = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-        first = np.full(len(peaks), len(x), np.int64)
-        np.minimum.at(first, label, np.arange(len(x)))
-        none = [None] * len(x)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([*names, *[None] * len(peaks)], pa.string()),
-                pa.array([*names[peak], *names[peaks]], pa.string()),
-                pa.array([*none, *size.tolist()], pa.int64()),
-                pa.array([*none, *names[first]], pa.string()),
-                pa.array([*vecs, *packed(centre).to_pylist()], pa.binary()),
-                pa.array([*none, *_sum_bytes(sums).to_pylist()], pa.binary()),
-            ],
-            names=["name", "peak", "size", "first", "vec", "total"],
-        )
-
-    return run
-
-
-def _nearest_earlier(x: np.ndarray, at: np.ndarray, other: np.ndarray, least: float, to: np.ndarray, near: np.ndarray) -> None:
-    """For each row ``at``, the most similar of the rows ``other`` that come before it, if its cosine is at least ``least``."""
-    y = x[other]
-    for i in range(0, len(at), _CHUNK):
-        own = at[i : i + _CHUNK]
-        some, upto = np.searchsorted(other, own[0]), np.searchsorted(other, own[-1])
-        if not upto:
-            continue
-        s = x[own] @ y[:upto].T
-        s[:, some:][own[:, None] <= other[None, some:upto]] = -2
-        best = np.argmax(s, axis=1)
-        value = s[np.arange(len(s)), best]
-        has = value >= least
-        to[own[has]], near[own[has]] = other[best[has]], value[has]
+    return solved(solve)
 
 
-def _meet(least: float):
-    """Between the two tiles of a block, the most similar larger local cluster of each one."""
+def _link(least: float, part_at: np.ndarray):
+    """Within a tile, each row's cosine with the nearest denser one, and the peak that such pointers lead to from it.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        block = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            blocks = batch.column("block").to_numpy()
-            cuts = np.r_[0, np.flatnonzero(blocks[1:] != blocks[:-1]) + 1, len(blocks)]
-            for i, j in zip(cuts[:-1], cuts[1:]):
-                if blocks[i] != block and held:
-                    yield from solve(held)
-                    held = []
-                block = blocks[i]
-                held.append(batch.slice(i, j - i))
-        if held:
-            yield from solve(held)
-
-    def solve(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held)
-        names, size, tile = np.array(t.column("peak").to_pylist(), object), t.column("size").to_numpy(), t.column("tile").to_numpy()
-        x = np.concatenate([unpacked(b.column("vec")) for b in held])
-        # The largest come first, so that only earlier rows count.
-        order = np.lexsort((names.astype(str), -size))
-        names, tile, x = names[order], tile[order], x[order]
-        sides = [np.flatnonzero(tile == k) for k in np.unique(tile)]
-        to, near = np.arange(len(x)), np.full(len(x), -1.0)
-        for side, other in zip(sides, sides[::-1]):
-            _nearest_earlier(x, side, other, least, to, near)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(names[to], pa.string()), pa.array(near)], names=["peak", "to", "cosine"])
-
-    return run
-
-
-def _to_home(router: Router):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                part = router.top(unpacked(batch.column("vec")), 1)[:, 0]
-                block = router.block_of(part, _spots(batch.column("name").to_pylist()))
-                yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), batch.column("name"), batch.column("vec")], names=["block", "name", "vec"])
+    Pointers count if their cosine is at least ``least``. A row that has none in its most probable part bears its
+    vector, as it may be a peak.
+    """
 
-    return run
+    def solve(tile: int, t: pa.Table) -> Iterator[pa.RecordBatch]:
+        names, dense, x = np.array(t.column("name").to_pylist(), object), t.column("density").to_numpy(), _unpacked(t.column("vec"))
+        rank = np.empty(len(x), np.int64)
+        rank[np.lexsort((names.astype(str), -dense))] = np.arange(len(x))
+        to, near = np.arange(len(x)), np.full(len(x), -2.0, np.float32)
+        for own, other in sides_of(t.column("side").to_numpy()):
+            denser(x, rank, own, other, to, near)
+        peak = followed(np.where(near >= least, to, np.arange(len(x))))
+        alone = (near < least) & (parts_of(t)[:, 0] == part_at[tile])
+        vec = pa.array([v if a else None for v, a in zip(t.column("vec").to_pylist(), alone)], pa.binary())
+        cols = [pa.array(names, pa.string()), pa.array(names[peak], pa.string()), pa.array(near.astype(np.float64)), pa.array(dense), vec]
+        yield pa.RecordBatch.from_arrays(cols, names=["name", "peak", "cosine", "density", "vec"])
 
+    return solved(solve)
 
-def _to_tiles(tiles: int):
-    """Each local cluster to the blocks in which its tile, by hash, meets every tile."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            tile = _spots(batch.column("peak").to_pylist()) % tiles
-            for other in range(tiles):
-                block = np.minimum(tile, other) * tiles + np.maximum(tile, other)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(block.astype(np.int32)), pa.array(tile.astype(np.int32)), batch.column("peak"), batch.column("size"), batch.column("vec")],
-                    names=["block", "tile", "peak", "size", "vec"],
-                )
+def _linked(rows: DataFrame, router: Router, lookups: int, least: float) -> DataFrame:
+    """``name, peak, cosine, density, vec``: of the tiles of each row, what that with the nearest denser row says."""
+    links = routed(rows.select("name", "density", "vec"), router, lookups, _unpacked).mapInArrow(_link(least, part_of_tile(router)), _LINKS)
+    best = links.groupBy("name").agg(F.max(F.struct("cosine", "peak")).alias("b"), F.max("density").alias("density"), F.max("vec").alias("vec"))
+    return best.select("name", F.when(F.col("b.cosine") >= least, F.col("b.peak")).otherwise(F.col("name")).alias("peak"), "b.cosine", "density", "vec")
 
-    return run
 
+def _met(peaks: DataFrame, lookups: int, least: float, max_rounds: int = 20) -> DataFrame:
+    """``peak, over``: the denser peak within ``least`` that each peak has met, if any.
 
-def _meeting(found: DataFrame, least: float, tiles: int) -> DataFrame:
-    """``peak, to``: each local cluster's most similar larger one of all, else itself."""
-    width = max(shuffle_width(found.sparkSession), tiles * (tiles + 1) // 2)
-    sent = found.select("peak", "size", "vec").mapInArrow(_to_tiles(tiles), _SENT)
-    met = sent.repartition(width, "block").sortWithinPartitions("block").mapInArrow(_meet(least), _POINTERS)
-    return met.groupBy("peak").agg(F.max(F.struct("cosine", "to")).alias("best")).select("peak", F.col("best.to").alias("to"))
+    Peaks meet in the parts of a partition that is learned from peaks; those that are left meet again in those of
+    another one, until a meeting changes nothing. So none is lost for the number of parts.
+    """
+    left, links = written(peaks.select("name", "density", "vec"), "peaks"), None
+    for k in range(max_rounds):
+        found = written(_linked(left, router_of(left, seed=100 + k, small=True), lookups, least), "met")
+        new = found.where("name <> peak").select(F.col("name").alias("peak"), F.col("peak").alias("over"))
+        links = new if links is None else links.unionAll(new)
+        drop_written(left)
+        if not new.limit(1).count():
+            return links
+        left = written(found.where("name = peak").select("name", "density", "vec"), "peaks")
+    raise RuntimeError(f"peaks still met denser ones after {max_rounds} rounds")
 
 
 def _roots(pointers: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """``peak, root``: pointers followed to their ends by doubling, a join a round."""
-    now = written(pointers.select("peak", F.col("to").alias("root")), "pointers")
+    """``peak, root``: pointers ``peak, to`` followed to their ends by doubling, a join a round."""
+    now = written(pointers.select("peak", F.col("to").alias("root"), (F.col("peak") != F.col("to")).alias("moved")), "pointers")
     for _ in range(max_rounds):
-        if not now.where("peak <> root").join(now.select(F.col("peak").alias("p"), F.col("root").alias("r")), F.col("root") == F.col("p")).where("r <> p").limit(1).count():
-            return now
-        nxt = written(
-            now.join(now.select(F.col("peak").alias("p"), F.col("root").alias("r")), F.col("root") == F.col("p")).select("peak", F.col("r").alias("root")),
-            "pointers",
-        )
+        if not now.where("moved").limit(1).count():
+            return now.select("peak", "root")
+        ends = now.select(F.col("peak").alias("p"), F.col("root").alias("r"))
+        nxt = written(now.join(ends, F.col("root") == F.col("p")).select("peak", F.col("r").alias("root"), (F.col("r") != F.col("root")).alias("moved")), "pointers")
         drop_written(now)
         now = nxt
     raise RuntimeError(f"pointers did not end in {max_rounds} rounds")
 
 
+def _sum_bytes(x: np.ndarray) -> pa.Array:
+    """Rows as single-precision bytes."""
+    return pa.array([row.tobytes() for row in x.astype(np.float32)], pa.binary())
+
+
+def _sums(column: pa.Array) -> np.ndarray:
+    """The rows of :func:`_sum_bytes`, in double precision."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1).astype(np.float64)
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One sum for each cluster of rows that lie together."""
 
@@ -258,7 +178,7 @@ def _best_fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         centre = _sums(batch.column("total"))
         centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
-        fit = np.round(np.einsum("ij,ij->i", unpacked(batch.column("vec")), centre), 6)
+        fit = np.round(np.einsum("ij,ij->i", unpacked(batch.column("vec"), small=True), centre), 6)
         _, label = np.unique(np.array(batch.column("cluster").to_pylist(), object).astype(str), return_inverse=True)
         names = np.array(batch.column("name").to_pylist(), object).astype(str)
         by = np.lexsort((names, -fit, label))
@@ -267,46 +187,61 @@ def _best_fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("cluster").take(pa.array(kept)), pa.array(fit[kept]), batch.column("name").take(pa.array(kept))], names=["cluster", "fit", "name"])
 
 
-def _typical(local: DataFrame, placed: DataFrame) -> DataFrame:
-    """``cluster, typical``: the members of all of a cluster's parts that are nearest the centre of all its members.
+def _typical(vectors: DataFrame, local: DataFrame, roots: DataFrame) -> DataFrame:
+    """``cluster, typical``: the members of the whole cluster that are nearest the centre of all its members.
 
-    Members meet the centre by their local cluster, which is no larger than a block, and a few of each batch go on.
+    Vectors are summed by the peak that they point to, of which no more come than a few tiles hold, then by cluster.
+    Members meet the centre by their peak, and a few of each batch go on.
     """
     width = shuffle_width(local.sparkSession)
-    parts = placed.select("peak", F.col("root").alias("cluster"), "total")
-    centres = parts.select("cluster", "total").repartition(width, "cluster").sortWithinPartitions("cluster").mapInArrow(_summed, _SUMS)
-    of_peak = parts.drop("total").join(centres, "cluster")
-    members = local.where("name is not null").select("name", "peak", "vec").join(of_peak, "peak")
-    fits = members.select("cluster", "total", "name", "vec").mapInArrow(_best_fits, _FITS)
+    members = written(vectors.join(local.select("name", "peak"), "name").repartition(width, "peak").sortWithinPartitions("peak"), "members")
+
+    def as_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("peak"), _sum_bytes(_unpacked(batch.column("vec")))], names=["cluster", "total"])
+
+    def of_peak(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _summed(as_sums(batches))
+
+    sums = members.mapInArrow(of_peak, _SUMS).withColumnRenamed("cluster", "peak").join(roots, "peak").select(F.col("root").alias("cluster"), "total")
+    centres = sums.repartition(width, "cluster").sortWithinPartitions("cluster").mapInArrow(_summed, _SUMS)
+    at_peak = roots.withColumnRenamed("root", "cluster").join(centres, "cluster")
+    fits = members.join(at_peak, "peak").select("cluster", "total", "name", "vec").mapInArrow(_best_fits, _FITS)
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("fit")).alias("far"), F.col("name").alias("name")))), 1, TYPICAL)
     return fits.groupBy("cluster").agg(best.alias("best")).select("cluster", F.col("best.name").alias("typical"))
 
 
-def cluster(vectors: DataFrame, router: Router, least: float = 0.63, meet_rows: int = 16_384) -> tuple[DataFrame, DataFrame]:
-    """Clusters of vectors that lie within a cosine of ``least`` of a denser one, by density peaks.
+def cluster(vectors: DataFrame, router: Router, least: float = 0.63, lookups: int = LOOKUPS, peak_lookups: int = PEAK_LOOKUPS) -> tuple[DataFrame, DataFrame]:
+    """Clusters by density peaks, from neighbours that meet in the parts of a learned partition.
 
-    ``vectors`` has ``name, vec`` as :func:`uttermill.llm.routing.unit_vectors` makes them, one row per name. Returns
-    ``name, cluster, first`` for every vector and ``cluster, size, first, typical`` for every cluster: its name is that
-    of its strongest peak, ``first`` its smallest member, ``typical`` up to ``TYPICAL`` members nearest the centre of
-    all its members, best first.
+    ``vectors`` has ``name, vec`` as :func:`uttermill.llm.routing.unit_vectors` makes them with one byte for a value,
+    one row per name. Returns ``name, cluster, first`` for every vector and ``cluster, size, first, typical`` for every
+    cluster: its name is that of its peak, ``first`` its smallest member, ``typical`` up to ``TYPICAL`` members nearest
+    the centre of all its members, best first.
 
-    A vector's density is the number of vectors within ``least`` in its block; it points to the most similar denser
-    one there, and pointers are followed to peaks. The local clusters that this gives, as centres with their sizes,
-    then all meet each other, whatever their parts: each points to the most similar larger one of all, and pointers are
-    followed again. They are laid out in tiles of at most about ``meet_rows``, and a task compares two tiles, so that
-    no task grows with the table; the comparisons grow with the square of the number of local clusters.
+    Each vector meets those with which it shares any of its ``lookups`` most probable parts. Its density is the number
+    of those within a cosine of ``least``, itself included, over all of these parts; among them, the nearest one of
+    higher density is found next. Peaks are the vectors whose distance to a denser one is more than ``least`` allows.
+    As a voice's vectors may share no part, peaks then meet each other in ``peak_lookups`` parts of partitions learned
+    from peaks, until a meeting changes nothing, and one within ``least`` of a denser one is none. Every other vector points towards its nearest denser one, and pointers are
+    followed to labels.
 
-    Equal densities go by name. A lone vector is a cluster of one. No rows give no clusters. Extra columns are ignored.
+    What is sent per vector is the same at every size, no task holds more than a tile, and only pointers of peaks are
+    joined repeatedly. Equal densities go by name. A lone vector is a cluster of one. No rows give no clusters. Extra
+    columns are ignored.
     """
-    spark = vectors.sparkSession
-    width = max(shuffle_width(spark), int(router.blocks.sum()))
-    laid = vectors.select("name", "vec").mapInArrow(_to_home(router), _BLOCKED).repartition(width, "block").sortWithinPartitions("block")
-    local = written(laid.mapInArrow(_local_clusters(least), _LOCAL), "local")
-    found = local.where("name is null").drop("name")
-    n = found.count()
-    roots = _roots(_meeting(found, least, max(-(-n // meet_rows), min(LEAST_TILES, -(-n // _CHUNK)), 1)))
-    placed = found.drop("vec").join(roots, "peak")
-    groups = written(placed.groupBy("root").agg(F.sum("size").alias("size"), F.min("first").alias("first")).withColumnRenamed("root", "cluster"), "clusters")
+    vectors = vectors.select("name", "vec")
+    counted = routed(vectors, router, lookups, _unpacked).mapInArrow(_count(least, part_of_tile(router)), _COUNTS)
+    density = vectors.join(counted.groupBy("name").agg(F.sum("n").alias("n")), "name", "left")
+    ranked = density.select("name", (F.coalesce("n", F.lit(0)) + 1).alias("density"), "vec")
+    local = written(_linked(ranked, router, lookups, least), "local")
+    met = _met(local.where(F.col("cosine") < least), peak_lookups, least)
+    aims = local.select(F.col("peak").alias("p")).distinct()
+    pointers = local.select(F.col("name").alias("peak"), F.col("peak").alias("to")).join(aims, F.col("peak") == F.col("p"), "left_semi").join(met, "peak", "left")
+    roots = _roots(pointers.select("peak", F.coalesce("over", "to").alias("to")))
+    sized = local.groupBy("peak").agg(F.count(F.lit(1)).alias("size"), F.min("name").alias("first")).join(roots, "peak")
+    groups = written(sized.groupBy(F.col("root").alias("cluster")).agg(F.sum("size").alias("size"), F.min("first").alias("first")), "clusters")
     of_peak = roots.join(groups.select("cluster", "first"), F.col("root") == F.col("cluster")).select("peak", "cluster", "first")
-    members = local.where("name is not null").select("name", "peak").join(of_peak, "peak").select("name", "cluster", "first")
-    return members, groups.join(_typical(local, placed), "cluster")
+    members = local.select("name", "peak").join(of_peak, "peak").select("name", "cluster", "first")
+    return members, groups.join(_typical(vectors, local, roots), "cluster")

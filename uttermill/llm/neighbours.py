@@ -5,161 +5,133 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from uttermill.functions.storage import shuffle_width
-from uttermill.llm.routing import Router, unpacked
+from uttermill.llm.routing import LOOKUPS, TILE_ROWS, Router, unpacked
+from uttermill.llm.tiles import CHUNK, counts_here, laid_out, part_of_tile, parts_of, routed, sides_of, solved, spots
 
-#: Parts that each vector is looked up in: the fewest, and of so many parts that many, so that recall does not fall
-#: with the number of parts.
-PROBES, PROBED_OF = 6, 28
-#: Queries that are compared with a block at once.
-_CHUNK = 1_024
 #: Digits of a cosine that half-precision vectors bear; closer ones are ties.
 _DIGITS = 5
+#: Columns of which the best one stands for all, where the best of a row are sought.
+_STRIDE = 16
 
-_SENT = "block int, kept boolean, asks boolean, name string, vec binary"
 _PAIRS = "name string, other string, cosine double"
 
 
-def _spots(names: list[str]) -> np.ndarray:
-    return (pd.util.hash_array(np.array(names, object), categorize=False) >> np.uint64(1)).astype(np.int64)
-
-
-def probe_count(parts: int) -> int:
-    """Parts to look a vector up in, of so many: a fixed share, but ``PROBES`` at least."""
-    return max(PROBES, -(-parts * PROBES // PROBED_OF))
+def candidates(s: np.ndarray, m: int, floor: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of a matrix of cosines that hold each row's ``m`` best of at least ``floor``, and few others.
 
+    The ``m``-th best of the bests of groups of columns is a bound that at least ``m`` values of the row reach. Rows in
+    which many more do, as copies make them, are sorted out exactly; of equal values the earlier column counts.
+    """
+    n = s.shape[1]
+    m = min(m, n)
+    if floor is None:
+        k = n // _STRIDE
+        if k < m:
+            return np.repeat(np.arange(len(s)), n), np.tile(np.arange(n), len(s))
+        best = s[:, : k * _STRIDE].reshape(len(s), _STRIDE, k).max(axis=1)
+        bound = np.partition(best, k - m, axis=1)[:, k - m] - 2 * 10.0**-_DIGITS
+        good = s >= bound[:, None]
+    else:
+        good = s >= floor
+    full = np.flatnonzero(good.sum(axis=1) > 4 * m)
+    good[full] = False
+    q, b = np.nonzero(good)
+    if len(full):
+        later = np.arange(n) * 1e-12
+        some = np.argpartition(np.round(s[full].astype(np.float64), _DIGITS) - later, n - m, axis=1)[:, n - m :]
+        if floor is not None:
+            keep = np.take_along_axis(s[full], some, 1).ravel() >= floor
+        else:
+            keep = np.ones(some.size, bool)
+        q, b = np.r_[q, np.repeat(full, m)[keep]], np.r_[b, some.ravel()[keep]]
+    return q, b
+
+
+def _search(k: int, floor: float | None, ask_share: int | None, part_at: np.ndarray | None):
+    """Within each tile, the best others of each row that asks. Without ``part_at`` the second side asks the first one only."""
+
+    def solve(tile: int, t: pa.Table) -> Iterator[pa.RecordBatch]:
+        names = np.array(t.column("name").to_pylist(), object)
+        order = np.argsort(names.astype(str), kind="stable")  # so that of equal cosines the smaller name counts
+        names, side = names[order], t.column("side").to_numpy()[order]
+        x = unpacked(t.column("vec"))[order]
+        asks = np.ones(len(names), bool) if ask_share is None else spots(names.tolist()) % ask_share == 0
+        if part_at is None:
+            met = [(np.flatnonzero(side == 2), np.flatnonzero(side == 1))]
+        else:
+            met, parts = sides_of(side), parts_of(t)[order]
+        for own, other in met:
+            own, base = own[asks[own]], np.ascontiguousarray(x[other].T)
+            for i in range(0, len(own), CHUNK):
+                mine = own[i : i + CHUNK]
+                if not len(other):
+                    continue
+                s = x[mine] @ base
+                q, b = candidates(s, k + 1, floor)
+                near, a, b = s[q, b], mine[q], other[b]
+                keep = names[a] != names[b]
+                if part_at is not None:
+                    keep &= counts_here(int(part_at[tile]), parts[a], parts[b])
+                a, b, near = a[keep], b[keep], np.round(np.minimum(near[keep].astype(np.float64), 1.0), _DIGITS)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(names[a], pa.string()), pa.array(names[b], pa.string()), pa.array(near)], names=["name", "other", "cosine"])
+
+    return solved(solve)
+
+
+def _first_k(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("name").orderBy(F.desc("cosine"), "other")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
-def _send(router: Router, probes: int, ask_share: int | None):
-    """Rows to the block that keeps them and to the blocks that they are looked up in."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = batch.column("name").to_pylist()
-            spot = _spots(names)
-            top = router.top(unpacked(batch.column("vec")), probes)
-            home = router.block_of(top[:, 0], spot)
-            asks = np.ones(len(names), bool) if ask_share is None else spot % ask_share == 0
-            yield laid(batch, np.arange(len(names)), home, np.ones(len(names), bool), asks)
-            # A batch for each probe, however many there are.
-            for j in range(top.shape[1]):
-                rows, blocks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for part in np.unique(top[:, j]):
-                    mine = np.flatnonzero((top[:, j] == part) & asks)
-                    for block in router.blocks_of(part):
-                        there = mine[home[mine] != block]
-                        rows.append(there)
-                        blocks.append(np.full(len(there), block))
-                at, block = np.concatenate(rows), np.concatenate(blocks)
-                yield laid(batch, at, block, np.zeros(len(at), bool), asks)
-
-    def laid(batch: pa.RecordBatch, at: np.ndarray, block: np.ndarray, kept: np.ndarray, asks: np.ndarray) -> pa.RecordBatch:
-        out = batch.take(pa.array(at))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(block.astype(np.int32)), pa.array(kept), pa.array(asks[at]), out.column("name"), out.column("vec")],
-            names=["block", "kept", "asks", "name", "vec"],
-        )
-
-    return run
-
-
-def _search(k: int, floor: float | None):
-    """Within each block, compare the rows that ask with those that are kept. Kept rows come first."""
-
-    def pairs(names: np.ndarray, x: np.ndarray, base_names: np.ndarray, base: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Base rows lie by name, so that of equal cosines the earlier row counts. At most ``k + 1`` per row leave."""
-        m = min(k + 1, len(base))
-        later = np.arange(len(base)) * 1e-12
-        for i in range(0, len(names), _CHUNK):
-            s = x[i : i + _CHUNK] @ base.T
-            own = names[i : i + _CHUNK]
-            if floor is None:
-                full, q, b = np.arange(len(s)), np.zeros(0, np.int64), np.zeros(0, np.int64)
-            else:
-                near_enough = s >= floor
-                count = near_enough.sum(axis=1)
-                full = np.flatnonzero(count > m)
-                near_enough[full] = False
-                q, b = np.nonzero(near_enough)
-            if len(full):
-                some = np.argpartition(np.round(s[full].astype(np.float64), _DIGITS) - later, len(base) - m, axis=1)[:, len(base) - m :]
-                q, b = np.r_[q, np.repeat(full, m)], np.r_[b, some.ravel()]
-            keep = own[q] != base_names[b]
-            q, b = q[keep], b[keep]
-            if len(q):
-                near = np.round(np.minimum(s[q, b].astype(np.float64), 1.0), _DIGITS)
-                yield pa.RecordBatch.from_arrays([pa.array(own[q], pa.string()), pa.array(base_names[b], pa.string()), pa.array(near)], names=["name", "other", "cosine"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, base_names, base, open_block = None, [], [], False
-        fixed: tuple[np.ndarray, np.ndarray] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            blocks = batch.column("block").to_numpy()
-            kept = batch.column("kept").to_numpy(zero_copy_only=False)
-            cuts = np.r_[0, np.flatnonzero((blocks[1:] != blocks[:-1]) | (kept[1:] != kept[:-1])) + 1, len(blocks)]
-            for i, j in zip(cuts[:-1], cuts[1:]):
-                part = batch.slice(i, j - i)
-                names, x = np.array(part.column("name").to_pylist(), object), unpacked(part.column("vec"))
-                if blocks[i] != block:
-                    if open_block:
-                        yield from close(base_names, base)
-                    block, base_names, base, open_block, fixed = blocks[i], [], [], False, None
-                if kept[i]:
-                    base_names.append((names, part.column("asks").to_numpy(zero_copy_only=False)))
-                    base.append(x)
-                    open_block = True
-                elif base:
-                    if fixed is None:
-                        fixed = by_name(np.concatenate([n for n, _ in base_names]), np.concatenate(base))
-                    yield from pairs(names, x, *fixed)
-        if open_block:
-            yield from close(base_names, base)
-
-    def by_name(names: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(names.astype(str), kind="stable")
-        return names[order], np.ascontiguousarray(x[order])
-
-    def close(base_names: list, base: list) -> Iterator[pa.RecordBatch]:
-        """The kept rows of a block among themselves."""
-        names, asks, x = np.concatenate([n for n, _ in base_names]), np.concatenate([a for _, a in base_names]), np.concatenate(base)
-        yield from pairs(names[asks], x[asks], *by_name(names, x))
-
-    return run
-
-
-def nearest(vectors: DataFrame, router: Router, k: int = 10, probes: int | None = None, min_cosine: float | None = None, ask_share: int | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, router: Router, k: int = 10, lookups: int = LOOKUPS, min_cosine: float | None = None, ask_share: int | None = None) -> DataFrame:
     """For every vector the ``k`` most similar others: ``name, other, cosine, place``.
 
     ``vectors`` has ``name, vec`` as :func:`uttermill.llm.routing.unit_vectors` makes them, one row per name. Each
-    vector is kept in one block of its most probable part and looked up in all blocks of its ``probes`` most probable
-    parts (:func:`probe_count` of the parts, if not given), so nothing but the parts' borders is lost. ``min_cosine`` leaves out less similar pairs before they are
-    sent on; it changes none of the others. ``ask_share`` asks only for one name in so many, by hash, and with as many
-    probes as there are parts the search is exact: that is how recall is measured.
-
-    A block's kept rows are bounded by the router's blocks and lie in memory; the rows that ask stream past them, so
-    a part that many ask is no group in memory. Ties go to the smaller name. Fewer than ``k`` others give fewer rows;
-    one vector or none gives no rows. Equal vectors are neighbours like any others. Extra columns are ignored.
+    vector is sent to its ``lookups`` most probable parts, keeps a place there and asks there, so two vectors meet if
+    they have any of these parts in common; what is sent does not grow with the table. A pair that shares several parts
+    leaves from one of them only. ``min_cosine`` leaves out less similar pairs before they are sent on; it changes none
+    of the others. ``ask_share`` asks only for one name in so many, by hash, against all rows.
+
+    A part holds about ``PART_ROWS`` times ``lookups`` rows in memory; one that is expected to see more than
+    ``TILE_ROWS``, as many copies make it, is compared in tiles of so many. Ties go to the smaller name. Fewer than
+    ``k`` others give fewer rows; one vector or none gives no rows. Equal vectors are neighbours like any others. Extra
+    columns are ignored.
     """
-    width = max(shuffle_width(vectors.sparkSession), int(router.blocks.sum()))
-    sent = vectors.select("name", "vec").mapInArrow(_send(router, probe_count(router.parts) if probes is None else probes, ask_share), _SENT)
-    laid = sent.repartition(width, "block").sortWithinPartitions("block", F.desc("kept"))
-    found = laid.mapInArrow(_search(k, min_cosine), _PAIRS)
-    order = Window.partitionBy("name").orderBy(F.desc("cosine"), "other")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    laid = routed(vectors.select("name", "vec"), router, lookups, unpacked)
+    return _first_k(laid.mapInArrow(_search(k, min_cosine, ask_share, part_of_tile(router)), _PAIRS), k)
+
+
+def nearest_exact(vectors: DataFrame, k: int = 10, ask_share: int = 20) -> DataFrame:
+    """The same for one name in ``ask_share``, by hash, against all rows: slices of both sides meet in tiles of bounded size."""
+    n = vectors.count()
+    slices, chunks = max(1, -(-n // TILE_ROWS)), max(1, -(-n // (ask_share * TILE_ROWS)))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def laid(out: pa.RecordBatch, tile: np.ndarray, side: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(tile.astype(np.int32)), pa.array(np.full(len(tile), side, np.int8)), *out.columns], names=["tile", "side", "name", "vec"])
+
+        for batch in batches:
+            if batch.num_rows:
+                spot = spots(batch.column("name").to_pylist())
+                for c in range(chunks):
+                    yield laid(batch, c * slices + spot // ask_share % slices, 1)
+                at = np.flatnonzero(spot % ask_share == 0)
+                for j in range(slices):
+                    yield laid(batch.take(pa.array(at)), spot[at] // ask_share % chunks * slices + j, 2)
+
+    laid = laid_out(vectors.select("name", "vec").mapInArrow(send, "tile int, side tinyint, name string, vec binary"), slices * chunks)
+    return _first_k(laid.mapInArrow(_search(k, None, None, None), _PAIRS), k)
 
 
-def recall(vectors: DataFrame, router: Router, k: int = 10, probes: int | None = None, ask_share: int = 20) -> DataFrame:
+def recall(vectors: DataFrame, router: Router, k: int = 10, lookups: int = LOOKUPS, ask_share: int = 20) -> DataFrame:
     """Share of the true ``k`` nearest that the routed search finds, for one name in ``ask_share`` against all rows."""
-    true = nearest(vectors, router, k, router.parts, None, ask_share).select("name", "other")
-    found = nearest(vectors, router, k, probes, None, ask_share).select("name", "other", F.lit(1).alias("hit"))
+    true = nearest_exact(vectors, k, ask_share).select("name", "other")
+    found = nearest(vectors, router, k, lookups, None, ask_share).select("name", "other", F.lit(1).alias("hit"))
     return true.join(found, ["name", "other"], "left").agg(
         F.count(F.lit(1)).alias("n_true"), F.coalesce(F.sum("hit"), F.lit(0)).alias("n_found"), (F.coalesce(F.sum("hit"), F.lit(0)) / F.count(F.lit(1))).alias("recall")
     )

@@ -100,8 +100,7 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     utts, groups = _recording_groups(spark, sf_dir)
     groups = written(groups, "groups")
     weights = utts.groupBy("recording").agg(F.count(F.lit(1)).alias("n")).join(groups, "recording").groupBy("component").agg(F.sum("n").alias("weight"))
-    shares = [(r["split_name"], r["target_share"]) for r in table(spark, sf_dir, "split_targets").limit(1_000).collect()]
-    splits = assign_splits(written(weights, "weights"), shares)
+    splits = assign_splits(written(weights, "weights"), table(spark, sf_dir, "split_targets"))
     return utts.join(groups.join(splits, "component").select("recording", "component", "split_name"), "recording").select("utt", "component", "split_name")
 
 
@@ -123,10 +122,10 @@ def _everything():
 # ---------------------------------------------------------------- 5: neighbours
 
 
-def _voices(spark: SparkSession, sf_dir: str):
+def _voices(spark: SparkSession, sf_dir: str, small: bool = False):
     """Usable vectors of utterances, and a router fitted to them."""
     rows = table(spark, sf_dir, "utt_embeddings").select("utt_name", "emb", "loaded_at")
-    return unit_vectors(rows, "utt_name", "emb", "loaded_at"), learned_router(rows, "utt_name", "emb", "loaded_at")
+    return unit_vectors(rows, "utt_name", "emb", "loaded_at", small=small), learned_router(rows, "utt_name", "emb", "loaded_at")
 
 
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +150,7 @@ def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cluster of every utterance with a usable vector."""
-    return cluster(*_voices(spark, sf_dir))[0].select(F.col("name").alias("utt_name"), "cluster", F.col("first").alias("first_utt"))
+    return cluster(*_voices(spark, sf_dir, small=True))[0].select(F.col("name").alias("utt_name"), "cluster", F.col("first").alias("first_utt"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +160,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cluster with its size, most typical utterances and total speech time from segments."""
-    members, groups = cluster(*_voices(spark, sf_dir))
+    members, groups = cluster(*_voices(spark, sf_dir, small=True))
     span = latest_key(F.col("loaded_at"), F.col("end_ms") - F.col("begin_ms"))
     spoken = usable_segments(spark, sf_dir).groupBy("seg").agg(latest_value(F.max(span)).alias("ms"))
     time = members.join(spoken, F.col("name") == F.col("seg")).groupBy("cluster").agg(F.sum("ms").alias("speech_ms"), F.count(F.lit(1)).alias("n_timed"))
