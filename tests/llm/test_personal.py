@@ -34,6 +34,7 @@ def _found(finder, text):
         ("in room 14, Station Road is closed; 314 letters on the way to X; die Bahnhofstraße ist gesperrt", []),
         ("The Tussardi prize, Der Berova-Preis, Leimuez & Partners Ltd, Die Berova GmbH, la société Pelova", []),
         ("Dr. Rela Tussardi and Ms F. Kömström; Leimuez, Zizando; Vasko von Berova; Dovra M. PELOVA-Yamova", [("person", p) for p in ("Rela Tussardi", "F. Kömström", "Leimuez, Zizando", "Vasko von Berova", "Dovra M. PELOVA-Yamova")]),
+        ("Frau Dr. Priya Ramanathan and Mr Okafor-Bello came", [("person", "Priya Ramanathan"), ("person", "Okafor-Bello")]),
         ("Ririando Xelström came", [("person", "Ririando Xelström")]),
         ("the keys are with vasko pelova on tuesday", [("person", "vasko pelova")]),
     ],
@@ -58,20 +59,66 @@ def test_permutation_keeps_form_links_values_and_can_be_undone():
     key = b"k"
     assert sorted(P.feistel(i, 997, key, "t") for i in range(997)) == list(range(997))
     assert all(P.feistel(P.feistel(i, 997, key, "t"), 997, key, "t", True) == i for i in range(997))
-    for v in ("+44 7700 900834", "QZ-6051-9207-3", "0387736949", "7", "x358 91504"):
-        p = P.pseudonym(v, key, "id_number")
-        assert [c if not c.isalnum() else "a" if c.isalpha() else "9" for c in p] == [c if not c.isalnum() else "a" if c.isalpha() else "9" for c in v]
-        assert P.pseudonym(p, key, "id_number", True) == v.upper()
+    form = lambda v: [c if not c.isalnum() else "a" if c.isalpha() else "9" for c in v]
+    for v in ("QZ-6051-9207-3", "0387736949", "7", "x358 91504", "00 026 471 595", "000-86-4838", "123-45-6789", "12345678-Z", "X1234567L", "1 78 05 99 009 181 50"):
+        p = P.pseudonym_id(v, key)
+        assert form(p) == form(v) and P.pseudonym_id(p, key, True) == v
     digits = lambda x: "".join(c for c in x if c.isdigit())
-    assert digits(P.pseudonym("+44 7700 900834", key, "phone")) == digits(P.pseudonym("+44-7700-900834", key, "phone"))
-    assert P.pseudonym("12345678", key, "a") != P.pseudonym("12345678", b"other", "a")
+    assert digits(P.pseudonym_id("QZ-6051-9207-3", key)) == digits(P.pseudonym_id("QZ 6051 9207 3", key))
+    assert all(P.pseudonym_id(P.pseudonym_id(f"{n:011}", key), key, True) == f"{n:011}" for n in range(10**10, 10**10 + 300))
+    assert P.pseudonym_id("12345678", key) != P.pseudonym_id("12345678", b"other")
+
+
+def test_phones_keep_country_trunk_and_plan():
+    key = b"k"
+    digits = lambda x: "".join(c for c in x if c.isdigit())
+    for v in ("+44 7700 900834", "0044 7700 900834", "+49 30 1234567", "030/23125542", "+33 (0)1 99 00 84 29", "1 512 555 0119 ext. 67", "(512) 555-0126", "+1-212-555-0102", "+351 21 000 0000", "0", "+"):
+        p = P.pseudonym_phone(v, key)
+        assert [c for c in p if not c.isdigit()] == [c for c in v if not c.isdigit()] and len(p) == len(v) and P.pseudonym_phone(p, key, True) == v
+        assert len(digits(v)) < 4 or p != v
+    assert P.pseudonym_phone("+44 7700 900834", key).startswith("+44 ") and P.pseudonym_phone("+351 21 000 0000", key).startswith("+351 ")
+    assert P.pseudonym_phone("+33 (0)1 99 00 84 29", key).startswith("+33 (0)")
+    # One number, with and without its country code.
+    assert digits(P.pseudonym_phone("+44 7700 900834", key))[2:] == digits(P.pseudonym_phone("07700 900834", key))[1:]
+    for i in range(300):  # valid numbers of the plan stay valid
+        assert P._NORTH_AMERICAN.fullmatch(digits(P.pseudonym_phone(f"{200 + i}-555-{i:04}", key)))
+
+
+def test_valid_numbers_give_valid_numbers():
+    key = b"k"
+    made = set()
+    for i in range(400):
+        n = 10_000_000 + i * 7_919
+        p = P.pseudonym_id(f"{n}{P._SPANISH[n % 23]}", key)
+        assert P._SPANISH[int(p[:8]) % 23] == p[8]
+        made.add(p)
+        n = 1_000_000_000_000 + i * 1_234_567_891
+        p = P.pseudonym_id(f"{n}{97 - n % 97:02d}", key)
+        assert p[0] in "12" and int(p[13:]) == 97 - int(p[:13]) % 97
+        n = str(1_000_000_000 + i * 22_222_221)
+        p = P.pseudonym_id(n + P._steuer_check(n), key)
+        assert P._steuer_check(p[:10]) == p[10] and p[0] != "0"
+        p = P.pseudonym_id(f"{1 + i * 2 % 899:03d}-{1 + i % 99:02d}-{1 + i:04d}" if i * 2 % 899 != 665 else "001-01-0001", key)
+        assert P._social_security(p.replace("-", "")) is not None
+    assert len(made) == 400
+    assert P._steuer_check("0123456789"[::-1]) and P._SPANISH[12345678 % 23] == "Z"
+
+
+def test_dates_are_permuted_only_if_asked_for(finder):
+    key = b"k"
+    for v in ("12.03.1980", "1980-03-12", "12/03/1980"):
+        p = P.pseudonym_date(v, key)
+        assert P.DATE.fullmatch(p) and p != v and P.pseudonym_date(p, key, True) == v
+    assert P.pseudonym_date("31.02.1980", key) == "31.02.1980" and P.pseudonym_date("soon", key) == "soon"
+    assert finder.find("born 12.03.1980 in X") == [] and [f.kind for f in finder.find("born 12.03.1980 in X", dates=True)] == ["date"]
+    assert P.masked("born 12.03.1980!", finder.find("born 12.03.1980!", True), key) == f"born [DATE {P.pseudonym_date('12.03.1980', key)}]!"
 
 
 def test_masking_leaves_the_rest_and_links_across_documents(spark):
     names = spark.createDataFrame([(*n, 1) for n in NAMES] + [(None, "given", 1)], "name_form string, kind string, found int")
     text = "Hi Rela Tussardi,  call 07700 900834\nor a@b.test!"
     docs = spark.createDataFrame([(1, text, "x"), (2, "RELA TUSSARDI: 07700 900834", "x"), (3, None, "x"), (4, "", "x"), (1, text, "x")], "doc_id bigint, text string, masked string")
-    rows = P.find_personal(docs, names).collect()
+    rows = P.find_personal(docs, names, "secret").collect()
     by = {r["doc_id"]: r for r in rows}
     assert len(rows) == 5 and by[3]["masked"] is None and by[4]["masked"] == "" and by[3]["found"] == []
     import re
@@ -80,7 +127,10 @@ def test_masking_leaves_the_rest_and_links_across_documents(spark):
     assert re.fullmatch(r"Hi \[PERSON (\w{6})\],  call \[PHONE (\d{5} \d{6})\]\nor \[EMAIL \w{6}\]!", m)
     assert re.findall(r"PERSON (\w+)|PHONE ([\d ]+)", m) == re.findall(r"PERSON (\w+)|PHONE ([\d ]+)", n)
     assert [(f["kind"], f["start_pos"]) for f in by[1]["found"]] == [("person", 3), ("phone", 24), ("email", 40)]
-    assert P.find_personal(docs.limit(0), names).count() == 0
+    assert P.find_personal(docs.limit(0), names, "secret").count() == 0
+    with pytest.raises(ValueError):
+        P.find_personal(docs, names, "")
+    assert {r["masked"] for r in P.find_personal(docs, names, "other").where("doc_id = 1").collect()} != {m}
 
 
 def test_codes_of_many_values_are_distinct():

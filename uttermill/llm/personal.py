@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from datetime import date
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -116,6 +118,10 @@ NO_FAMILY = frozenset("mardi inhabituelle nouvelle laquelle quelle belle elle an
 _SMALL = frozenset("the on in of at by to for from and or near behind between a an is was der die das auf in bei la le les de du el los en".split())
 _TITLES = frozenset("dr prof mr mrs ms miss sir herr frau mme mlle m sr sra don doña herrn fräulein maître".split())
 _PARTICLES = frozenset("von van de der den di da del du la le zu ten ter af".split())
+_CAPITAL = rf"(?:[^\W\d_a-zß-öø-ÿ][\u0300-\u036f]*{_LETTER}+)"
+_TITLED_NAME = re.compile(
+    rf"{_EDGE}(?:Dr|Prof|Mr|Mrs|Ms|Miss|Herrn?|Frau|Mme|Mlle|Sra?)\.?{_GAP}(?:Dr\.?{_GAP}|Prof\.?{_GAP})*(?P<name>(?:{_CAPITAL}\.?{_GAP}|(?:von|van|de|del|di|da){_GAP}){{0,2}}{_CAPITAL}(?:-{_CAPITAL})?)(?!\w)"
+)
 _ORGANISATION = re.compile(
     rf"(?:[^\S\n]?-|[^\S\n]+)(?:&|Preis|prize|award|GmbH|Ltd|Inc|AG|KG|SA|SL|SARL|Institut|Institute|Stiftung|foundation|company|und[^\S\n]Partner|et[^\S\n]associés|y[^\S\n]asociados)(?![\w])", re.I
 )
@@ -201,6 +207,12 @@ class Finder:
             if start is not None and not _inside(taken, start, stop):
                 out.append(Found(start, stop, "person"))
                 free = stop
+        if not any_case:
+            # A title tells a name that neither the lexicon nor its endings know.
+            for m in _TITLED_NAME.finditer(text):
+                begin, stop = m.span("name")
+                if not _inside(taken, begin, stop) and not _inside(out, begin, stop) and not _ORGANISATION.match(text, stop):
+                    out.append(Found(begin, stop, "person"))
         return out
 
     def _family_follows(self, text: str, words: list, i: int, any_case: bool) -> bool:
@@ -239,7 +251,7 @@ class Finder:
         parts = re.split(r"[- ]", name)
         return all((any_case or p[0].isupper()) and p.lower() not in _SMALL for p in parts)
 
-    def find(self, text: str) -> list[Found]:
+    def find(self, text: str, dates: bool = False) -> list[Found]:
         """All findings in a text, in order, without overlaps. Positions count code points."""
         out: list[Found] = []
         if not text:
@@ -267,11 +279,14 @@ class Finder:
                 begin += text[begin] == "("
                 if not _inside(out, begin, end):
                     out.append(Found(begin, end, "phone"))
+            if dates:
+                out += [Found(m.start(), m.end(), "date") for m in DATE.finditer(text) if not _inside(out, *m.span())]
         if any(e in lower for e in self.family_ends) or any(f in lower for f in self.other_families) or not text.isascii():
             out += self.persons(text, out)
         return sorted(out)
 
 
+_ASCII_DIGITS = frozenset("0123456789")
 _DIGITS = re.compile(r"\d+")
 _TOKEN = re.compile(rf"{_LETTER}+")
 
@@ -309,30 +324,169 @@ def feistel(value: int, size: int, key: bytes, tweak: str, backwards: bool = Fal
             return value
 
 
-def pseudonym(value: str, key: bytes, kind: str, backwards: bool = False) -> str:
-    """The value with its digits permuted as one number and its ASCII letters as another; all else stays in place.
+# ---------------------------------------------------------------- pseudonyms that keep the format
+
+
+def _permuted(digits: str, lowest: Sequence[int], counts: Sequence[int], key: bytes, tweak: str, backwards: bool = False) -> str:
+    """Digits permuted within a number plan: at each place so many digits from the lowest on may stand."""
+    n = 0
+    for c, low, count in zip(digits, lowest, counts):
+        n = n * count + int(c) - low
+    n = feistel(n, math.prod(counts), key, tweak, backwards)
+    out = []
+    for low, count in zip(reversed(lowest), reversed(counts)):
+        n, r = divmod(n, count)
+        out.append(str(r + low))
+    return "".join(reversed(out))
+
+
+def _plain_digits(digits: str, key: bytes, kind: str, backwards: bool = False) -> str:
+    """Any digits: leading zeros stay, and the first digit after them stays none."""
+    zeros = len(digits) - len(digits.lstrip("0"))
+    rest = digits[zeros:]
+    if not rest:
+        return digits
+    return digits[:zeros] + _permuted(rest, [1] + [0] * (len(rest) - 1), [9] + [10] * (len(rest) - 1), key, f"{kind}|d{len(rest)}", backwards)
+
+
+#: Country codes of one and two digits; all others have three (fixed values of the public numbering plan).
+_SHORT_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+_NATIONAL = re.compile(r"(?:\+|(?<![0-9])00)[ .\-/]?([0-9]{1,3})")
+_NORTH_AMERICAN = re.compile(r"[2-9][0-9]{2}[2-9][0-9]{6}")
+_EXTENSION = re.compile(r"(?i)(?:ext|x|poste|durchwahl|dw)\.?\s?([0-9]{1,6})$")
+
 
-    The permutation depends on the key, the kind and the number of digits and letters only, so one number written with
-    other blanks or dashes gets the same digits. ``backwards`` undoes it.
+def pseudonym_phone(value: str, key: bytes, backwards: bool = False) -> str:
+    """A telephone number of the same country and form: country code, trunk zeros and punctuation stay.
+
+    A number that is valid in the plan of its country code 1, or is written like one, gives a valid one. The national
+    digits are permuted alike with and without a country code, so one number in several spellings stays one. An
+    extension is permuted by itself.
+    """
+    more = _EXTENSION.search(value)
+    body, tail = (value[: more.start(1)], value[more.start(1) :]) if more else (value, "")
+    fixed, country = 0, ""
+    code = _NATIONAL.match(body)
+    if code:
+        digits = code.group(1)
+        country = next((digits[:n] for n in (1, 2) if digits[:n] in _SHORT_CODES), digits)
+        fixed = code.start(1) + len(country)
+    elif re.match(r"1[ .\-/](?:\(?[2-9])", body):
+        fixed, country = 1, "1"
+    national = "".join(c for c in body[fixed:] if c in _ASCII_DIGITS)
+    if country in ("", "1") and _NORTH_AMERICAN.fullmatch(national):
+        new = _permuted(national, [2, 0, 0, 2, 0, 0, 0, 0, 0, 0], [8, 10, 10, 8, 10, 10, 10, 10, 10, 10], key, "phone|1", backwards)
+    else:
+        new = _plain_digits(national, key, "phone", backwards)
+        while country in ("", "1") and _NORTH_AMERICAN.fullmatch(new):
+            new = _plain_digits(new, key, "phone", backwards)
+    tail_new = _plain_digits(tail, key, "extension", backwards) if tail else ""
+    left = iter(new)
+    return body[:fixed] + "".join(next(left) if c in _ASCII_DIGITS else c for c in body[fixed:]) + tail_new
+
+
+#: Check letters of Spanish identity numbers, by the remainder (fixed values).
+_SPANISH = "TRWAGMYFPDXBNJZSQVHLCKE"
+_FOREIGN = str.maketrans("XYZ", "012")
+
+
+def _steuer_check(digits: str) -> str:
+    """Check digit of a German tax number's first ten digits (ISO 7064, mod 11,10)."""
+    p = 10
+    for c in digits:
+        s = (int(c) + p) % 10 or 10
+        p = 2 * s % 11
+    return str((11 - p) % 10)
+
+
+def _social_security(digits: str) -> int | None:
+    """The place of a US social security number among the valid ones, or None."""
+    area, group, serial = int(digits[:3]), int(digits[3:5]), int(digits[5:])
+    if area in (0, 666) or area > 899 or not group or not serial:
+        return None
+    return ((area - 1 - (area > 666)) * 99 + group - 1) * 9_999 + serial - 1
+
+
+def _valid_as(bare: str, written_as_us: bool) -> str | None:
+    """The kind of identity number, if any, whose check ``bare`` passes."""
+    if re.fullmatch(r"[XYZ0-9][0-9]{7}[A-Z]", bare) and _SPANISH[int(bare[:8].translate(_FOREIGN)) % 23] == bare[8]:
+        return "es"
+    if re.fullmatch(r"[12][0-9]{14}", bare) and int(bare[13:]) == 97 - int(bare[:13]) % 97:
+        return "fr"
+    if re.fullmatch(r"[1-9][0-9]{10}", bare) and _steuer_check(bare[:10]) == bare[10]:
+        return "de"
+    if written_as_us and _social_security(bare) is not None:
+        return "us"
+    return None
+
+
+def _any_form(bare: str, key: bytes, backwards: bool) -> str:
+    """Digits permuted as one number, and letters as another."""
+    digits, letters = "".join(c for c in bare if c.isdigit()), "".join(c for c in bare if not c.isdigit())
+    left = iter(_permuted(digits, [0] * len(digits), [10] * len(digits), key, f"id|d{len(digits)}", backwards)) if digits else iter("")
+    n = 0
+    for c in letters:
+        n = n * 26 + ord(c) - 65
+    n, out = feistel(n, 26 ** len(letters), key, f"id|l{len(letters)}", backwards), []
+    for _ in letters:
+        n, r = divmod(n, 26)
+        out.append(chr(65 + r))
+    right = iter(reversed(out))
+    return "".join(next(left) if c.isdigit() else next(right) for c in bare)
+
+
+def pseudonym_id(value: str, key: bytes, backwards: bool = False) -> str:
+    """An identity number of the same form. One that is valid gives a valid one: its check digits are made anew.
+
+    Known are Spanish identity numbers (check letter), French social security numbers (two check digits), German tax
+    numbers (check digit) and US social security numbers (ranges). All others, and what does not pass its check, have
+    digits and letters permuted until the result does not pass one either; blanks, marks and case stay, and the same
+    number with others gets the same digits.
     """
-    digits = [c for c in value if c in "0123456789"]
-    letters = [c.upper() for c in value if c.isascii() and c.isalpha()]
-    new_digits = iter(())
-    new_letters = iter(())
-    if digits:
-        n = feistel(int("".join(digits)), 10 ** len(digits), key, f"{kind}|d{len(digits)}", backwards)
-        new_digits = iter(f"{n:0{len(digits)}d}")
-    if letters:
-        n = 0
-        for c in letters:
-            n = n * 26 + ord(c) - 65
-        n = feistel(n, 26 ** len(letters), key, f"{kind}|l{len(letters)}", backwards)
-        out = []
-        for _ in letters:
-            n, r = divmod(n, 26)
-            out.append(chr(65 + r))
-        new_letters = iter(reversed(out))
-    return "".join(next(new_digits) if c in "0123456789" else next(new_letters) if c.isascii() and c.isalpha() else c for c in value)
+    bare = "".join(c for c in value if c.isascii() and c.isalnum()).upper()
+    us = re.fullmatch(r"[0-9]{3}([ -])[0-9]{2}\1[0-9]{4}", value) is not None
+    kind = _valid_as(bare, us)
+    if kind == "es":
+        first = bare[0] if bare[0] in "XYZ" else ""
+        digits = bare[len(first) : 8]
+        new = first + _permuted(digits, [0] * len(digits), [10] * len(digits), key, f"es|{bool(first)}", backwards)
+        new += _SPANISH[int(new.translate(_FOREIGN)) % 23]
+    elif kind == "fr":
+        new = _permuted(bare[:13], [1] + [0] * 12, [2] + [10] * 12, key, "fr", backwards)
+        new += f"{97 - int(new) % 97:02d}"
+    elif kind == "de":
+        new = _permuted(bare[:10], [1] + [0] * 9, [9] + [10] * 9, key, "de", backwards)
+        new += _steuer_check(new)
+    elif kind == "us":
+        at, serial = divmod(feistel(_social_security(bare), 898 * 99 * 9_999, key, "us", backwards), 9_999)
+        area, group = divmod(at, 99)
+        new = f"{area + 1 + (area + 1 >= 666):03d}{group + 1:02d}{serial + 1:04d}"
+    else:
+        new = _any_form(bare, key, backwards)
+        while new != bare and _valid_as(new, us):
+            new = _any_form(new, key, backwards)
+    made = iter(new)
+    return "".join((lambda d: d.lower() if c.islower() else d)(next(made)) if c.isascii() and c.isalnum() else c for c in value)
+
+
+_DAYS = (date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal())
+DATE = re.compile(r"(?<![0-9./-])(?:([0-9]{4})(-)([0-9]{2})-([0-9]{2})|([0-9]{1,2})([./])([0-9]{1,2})\6([0-9]{4}))(?![0-9])(?![./-][0-9])")
+
+
+def pseudonym_date(value: str, key: bytes, backwards: bool = False) -> str:
+    """A date of the same form, from 1900 to 2099; what is no date stays as it is."""
+    m = DATE.fullmatch(value)
+    if not m:
+        return value
+    y, mo, d = (m[1], m[3], m[4]) if m[2] else (m[8], m[7], m[5])
+    try:
+        at = date(int(y), int(mo), int(d)).toordinal() - _DAYS[0]
+    except ValueError:
+        return value
+    if not 0 <= at < _DAYS[1] - _DAYS[0]:
+        return value
+    new = date.fromordinal(feistel(at, _DAYS[1] - _DAYS[0], key, "date", backwards) + _DAYS[0])
+    return f"{new:%Y-%m-%d}" if m[2] else f"{new:%d}{m[6]}{new:%m}{m[6]}{new:%Y}"
 
 
 #: First of the 16,384 ideographs that codes are written in. They are letters, and no change of case or form alters them.
@@ -356,19 +510,19 @@ def masked(text: str, found: list[Found], key: bytes) -> str:
     out, at = [], 0
     for f in found:
         value = text[f.start : f.end]
-        # An extension's word is no letter of the number.
-        code = pseudonym(value, key, f.kind) if f.kind == "id_number" else re.sub(r"[\d][\s\S]*", lambda m: _digits_only(m.group(), key), value) if f.kind == "phone" else linked_code(value, key, f.kind)
+        if f.kind == "id_number":
+            code = pseudonym_id(value, key)
+        elif f.kind == "phone":
+            code = pseudonym_phone(value, key)
+        elif f.kind == "date":
+            code = pseudonym_date(value, key)
+        else:
+            code = linked_code(value, key, f.kind)
         out += [text[at : f.start], f"[{f.kind.upper()} {code}]"]
         at = f.end
     return "".join([*out, text[at:]])
 
 
-def _digits_only(value: str, key: bytes) -> str:
-    digits = "".join(c for c in value if c in "0123456789")
-    new = iter(pseudonym(digits, key, "phone"))
-    return "".join(next(new) if c in "0123456789" else c for c in value)
-
-
 def _lexicon(names: DataFrame) -> list[tuple[str, str]]:
     rows = names.select(F.col("name_form").cast("string"), F.col("kind").cast("string")).dropna().distinct().limit(LEXICON_BOUND + 1).collect()
     if len(rows) > LEXICON_BOUND:
@@ -376,20 +530,24 @@ def _lexicon(names: DataFrame) -> list[tuple[str, str]]:
     return [(r[0], r[1]) for r in rows]
 
 
-def find_personal(docs: DataFrame, names: DataFrame, key: str = "uttermill") -> DataFrame:
+def find_personal(docs: DataFrame, names: DataFrame, key: str, dates: bool = False) -> DataFrame:
     """Find and replace email addresses, phone numbers, identity numbers, street addresses and names in whole texts.
 
     ``docs`` has ``doc_id BIGINT, text STRING``; ``names`` has ``name_form, kind`` and at most ``LEXICON_BOUND`` rows.
     Returns ``doc_id, masked STRING, found ARRAY<STRUCT<kind, start_pos, end_pos>>``, one row per row of ``docs``.
 
-    In ``masked`` each finding is a placeholder such as ``[PHONE +81 2204 118377]``. Numbers are pseudonyms of the same
-    form, made by a keyed Feistel permutation, so equal numbers stay linked across documents; emails, addresses and
-    names carry a short keyed code instead, which links them likewise. All other text is unchanged.
+    In ``masked`` each finding is a placeholder such as ``[PHONE +49 40 118377]``. Numbers are pseudonyms of the same
+    form and, if they are valid, again valid ones, made by a keyed Feistel permutation, so equal numbers stay linked
+    across documents; emails, addresses and names carry a keyed code instead, which links them likewise. With ``dates``
+    dates are found and permuted as well. All other text is unchanged. Whoever has ``key`` can undo the numbers, so it
+    is a secret: there is no default, and an empty one is an error.
 
     A null text gives null and an empty list, an empty one the same text. Texts are handled row by row in Arrow
     batches in one narrow pass, so nothing is shuffled, and length, repeats and empty tables need no care. Extra columns are
     ignored.
     """
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
     lexicon = _lexicon(names)
     secret = key.encode()
 
@@ -398,7 +556,7 @@ def find_personal(docs: DataFrame, names: DataFrame, key: str = "uttermill") ->
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start_pos", pa.int64()), ("end_pos", pa.int64())]))
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            found = [finder.find(t) if t else [] for t in texts]
+            found = [finder.find(t, dates) if t else [] for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),

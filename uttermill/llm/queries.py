@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -220,14 +223,19 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- 9: personal information
 
 
+def _key(spark: SparkSession) -> str:
+    """The secret of the pseudonyms: a setting of the session or the environment, else a new one for this run."""
+    return spark.conf.get("spark.uttermill.pseudonymKey", None) or os.environ.get("UTTERMILL_PSEUDONYM_KEY") or secrets.token_hex(32)
+
+
 def p9_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with typed placeholders for what is personal."""
-    return find_personal(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_lexicon")).select("doc_id", F.col("masked").alias("text"), F.size("found").alias("n_found"))
+    return find_personal(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_lexicon"), _key(spark)).select("doc_id", F.col("masked").alias("text"), F.size("found").alias("n_found"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every occurrence: its document, kind and first code point."""
-    rows = find_personal(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_lexicon"))
+    rows = find_personal(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_lexicon"), _key(spark))
     return rows.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.kind", "f.start_pos")
 
 
