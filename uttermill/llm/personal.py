@@ -281,7 +281,7 @@ class Finder:
                     out.append(Found(begin, end, "phone"))
             if dates:
                 out += [Found(m.start(), m.end(), "date") for m in DATE.finditer(text) if not _inside(out, *m.span())]
-        if any(e in lower for e in self.family_ends) or any(f in lower for f in self.other_families) or not text.isascii():
+        if any(e in lower for e in self.family_ends) or any(f in lower for f in self.other_families) or not text.isascii() or _TITLED_NAME.search(text):
             out += self.persons(text, out)
         return sorted(out)
 
