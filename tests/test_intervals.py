@@ -1,7 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from uttermill.functions.times import block_start, time_block
 from uttermill.operators.intervals import periods_and_gaps
 
 
@@ -55,3 +57,18 @@ def test_hot_entity_and_empty_tables(spark):
     assert run(spark, rows, lengths, min_gap_ms=2, block_ms=1_000) == plain(rows, lengths, 2)
     assert run(spark, [], {"a": 5}) == set()
     assert run(spark, [("a", 0, 5)], {}) == set()
+
+
+def test_intervals_of_any_length(spark):
+    """One row that never seems to end costs no more than some blocks, and what it covers is no gap."""
+    rows = [("a", 5, 10**16), ("a", 100, 200), ("b", 10**12, 10**12 + 50), ("b", 10**12 + 40, 10**15), ("b", 3, 9)] + [("c", k * 1_000, k * 1_000 + 400) for k in range(3_000)] + [("c", 500_000, 2_000_000)]
+    lengths = {"a": 5_000, "b": 10**13, "c": 10**7}
+    assert run(spark, rows, lengths, min_gap_ms=1, block_ms=100) == plain(rows, lengths, 1)
+    assert run(spark, rows, lengths, min_gap_ms=1) == plain(rows, lengths, 1)
+
+
+def test_blocks_of_time(spark):
+    at = [0, 9, 10, 9_999, 10_000, 19_999, 20_000, 39_999, 40_000, 79_999, 80_000, 10**16]
+    df = spark.createDataFrame([(x,) for x in at], "x bigint").select("x", time_block(F.col("x"), 10).alias("b"))
+    got = df.select("x", "b", block_start(F.col("b"), 10).alias("s"), block_start(F.col("b") + 1, 10).alias("e")).orderBy("x").collect()
+    assert [r["b"] for r in got][:-1] == [0, 0, 1, 999, 1000, 1000, 1001, 1001, 1002, 1002, 1003] and all(r["s"] <= r["x"] < r["e"] for r in got)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from uttermill.functions import vectors as V
+from uttermill.functions.times import time_block
 
 
 def subsegments(segments: DataFrame, window: int = 150, period: int = 75, shift_ms: int = 10) -> DataFrame:
@@ -92,9 +93,10 @@ def most_overlapping(pieces: DataFrame, turns: DataFrame, key: str, piece_id: st
 
     ``pieces`` has ``key, piece_id, begin, end``; ``turns`` has ``key, ordinal, begin, end, spk``. Both sides are laid
     into buckets of time and meet on key and bucket, so a recording with many turns is no quadratic group; a pair
-    that shares several buckets counts in the one where its overlap begins. Ties go to the lowest ordinal.
+    that shares several buckets counts in the one where its overlap begins. Late buckets are longer, so that no stretch,
+    however long, spans more than a thousand and a few. Ties go to the lowest ordinal.
     """
-    bucket = lambda x: F.floor(x / bucket_ms).cast("bigint")
+    bucket = lambda x: time_block(x, bucket_ms)
     spread = lambda df: df.where("end > begin").withColumn("bucket", F.explode(F.sequence(bucket(F.col("begin")), bucket(F.col("end")))))
     a = spread(pieces.select(key, piece_id, "begin", "end"))
     b = spread(turns.select(key, "ordinal", "begin", "end", "spk")).select(F.col(key).alias("t_key"), F.col("bucket").alias("t_bucket"), "ordinal", F.col("begin").alias("t_begin"), F.col("end").alias("t_end"), "spk")

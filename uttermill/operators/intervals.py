@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from uttermill.functions.storage import shuffle_width
+from uttermill.functions.times import block_start, time_block
 
 #: Rows that the first level collects before it merges them.
 BUFFER_ROWS = 65_536
@@ -164,41 +165,48 @@ def _collapse_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Level three: one linear pass over the outer intervals of each entity's blocks."""
-    entity = None
-    held: list | None = None  # begin, end, own interval, joined, and whether the next union starts in the same block
-    out: list[tuple] = []
-
-    def close(upto: int) -> None:
-        begin, end, _, joined, inside = held
-        if joined:
-            out.append((entity, "period", begin, end))
-        if not inside and upto > end:
-            out.append((entity, "gap", end, upto))
-
-    def batch_of() -> pa.RecordBatch:
-        e, k, b, x = zip(*out)
-        return pa.RecordBatch.from_arrays([pa.array(e, pa.string()), pa.array(k, pa.string()), pa.array(b, pa.int64()), pa.array(x, pa.int64())], names=["entity", "kind", "begin_ms", "end_ms"])
+    """Level three: one linear merge of the outer intervals of each entity's blocks. The last union of each batch waits for the next one.
+
+    Between the first and the last interval of one block the gaps are known already.
+    """
+    held: pa.Table | None = None
+
+    def rows(entity: pa.ChunkedArray, at: np.ndarray, kind: str, begin: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(at):
+            names = entity.take(pa.array(at)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([names, pa.array([kind] * len(at), pa.string()), pa.array(begin), pa.array(end)], names=["entity", "kind", "begin_ms", "end_ms"])
+
+    def closed(entity: pa.ChunkedArray, cols: dict, kind: np.ndarray, upto: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Unions that nothing else can join, and the gaps behind them."""
+        begin, end = cols["begin_ms"], cols["end_ms"]
+        period = at[cols["joined"][at]]
+        yield from rows(entity, period, "period", begin[period], end[period])
+        gap = at[(kind[at] != "first") & (upto[at] > end[at])]
+        yield from rows(entity, gap, "gap", end[gap], upto[gap])
 
     for batch in batches:
-        d = batch.to_pydict()
-        for who, begin, end, ob, oe, joined, kind in zip(d["entity"], d["begin_ms"], d["end_ms"], d["own_begin"], d["own_end"], d["joined"], d["kind"]):
-            inside = kind == "first"
-            if held is not None and who == entity and begin <= held[1]:
-                held = [held[0], max(held[1], end), held[2], held[3] or joined or held[2] != (ob, oe), inside]
-                continue
-            if held is not None:
-                close(begin if who == entity else OPEN_END)
-            if who != entity and begin > 0:
-                out.append((who, "gap", 0, begin))
-            entity, held = who, [begin, end, (ob, oe), joined, inside]
-        if len(out) > 10_000:
-            yield batch_of()
-            out.clear()
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        fresh = held is None
+        t = t if fresh else pa.concat_tables([held, t])
+        code = _codes(t.column("entity"))
+        first, cols = _Runs.of(code, t).merged()
+        entity = t.column("entity").take(pa.array(first))
+        last = np.r_[first[1:], t.num_rows] - 1
+        kind = np.array(t.column("kind").take(pa.array(last)).to_pylist(), object)
+        new = np.r_[fresh, code[first[1:]] != code[first[:-1]]]  # the first union of its entity
+        upto = np.r_[np.where(new[1:], OPEN_END, cols["begin_ms"][1:]), OPEN_END]
+        head = np.flatnonzero(new & (cols["begin_ms"] > 0))
+        yield from rows(entity, head, "gap", np.zeros(len(head), np.int64), cols["begin_ms"][head])
+        yield from closed(entity, cols, kind, upto, np.arange(len(first) - 1))
+        held = t.take(pa.array(first[-1:]))
+        for name in _Runs.names:
+            held = held.set_column(held.schema.get_field_index(name), name, pa.array(cols[name][-1:]))
+        held = held.set_column(held.schema.get_field_index("kind"), "kind", pa.array(kind[-1:], pa.string())).combine_chunks()
     if held is not None:
-        close(OPEN_END)
-    if out:
-        yield batch_of()
+        cols = {n: held.column(n).to_numpy() for n in _Runs.names}
+        yield from closed(held.column("entity"), cols, np.array(held.column("kind").to_pylist(), object), np.array([OPEN_END]), np.array([0]))
 
 
 def periods_and_gaps(intervals: DataFrame, lengths: DataFrame, min_gap_ms: int = 2_000, block_ms: int = 3_600_000) -> DataFrame:
@@ -212,22 +220,21 @@ def periods_and_gaps(intervals: DataFrame, lengths: DataFrame, min_gap_ms: int =
 
     Defined cases: rows with a null, a negative begin or an end not above the begin are ignored; repeated rows count
     once; empty tables give no rows; ties need no rule, as equal intervals are one interval. An interval is cut at
-    multiples of ``block_ms``, so it costs one row per block that it spans. A null or non-positive length leaves the
-    entity out.
+    the borders of blocks of time (see :func:`uttermill.functions.times.time_block`), so it costs one row per block
+    that it spans, a thousand and a few however long it is. A null or non-positive length leaves the entity out.
     """
     spark = intervals.sparkSession
     width = shuffle_width(spark)
     usable = intervals.select(F.col("entity").cast("string"), "begin_ms", "end_ms").where(
         "entity is not null and begin_ms >= 0 and end_ms > begin_ms"
     )
-    last_block = F.floor((F.col("end_ms") - 1) / F.lit(block_ms)).cast("bigint")
-    first_block = F.floor(F.col("begin_ms") / F.lit(block_ms)).cast("bigint")
-    cut = usable.select("entity", "begin_ms", "end_ms", F.explode(F.sequence(first_block, last_block)).alias("block"))
+    spanned = F.sequence(time_block(F.col("begin_ms"), block_ms), time_block(F.col("end_ms") - 1, block_ms))
+    cut = usable.select("entity", "begin_ms", "end_ms", F.explode(spanned).alias("block"))
     pieces = cut.select(
         "entity",
         "block",
-        F.greatest("begin_ms", F.col("block") * block_ms).alias("begin_ms"),
-        F.least("end_ms", (F.col("block") + 1) * block_ms).alias("end_ms"),
+        F.greatest("begin_ms", block_start(F.col("block"), block_ms)).alias("begin_ms"),
+        F.least("end_ms", block_start(F.col("block") + 1, block_ms)).alias("end_ms"),
         F.col("begin_ms").alias("own_begin"),
         F.col("end_ms").alias("own_end"),
         F.lit(False).alias("joined"),
