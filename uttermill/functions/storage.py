@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests on one machine) gets a temporary folder, which is set once as its
-    checkpoint folder.
+    Only a local session without that setting (tests on one machine) gets a folder of its own in the working directory,
+    which is set once as its checkpoint folder.
     """
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
@@ -26,25 +27,47 @@ def shared_folder(spark: SparkSession) -> str:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="uttermill-"))
+        context.setCheckpointDir(os.path.abspath(os.path.join("spark-checkpoints", uuid.uuid4().hex)))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: Sessions and paths of the tables that :func:`written` made and nothing has dropped yet.
+_LEFT: dict[str, SparkSession] = {}
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: lineage ends here, and the loss of an executor costs nothing."""
+    """Write a table to the shared folder and read it again: lineage ends here, and the loss of an executor costs nothing.
+
+    The table lasts as long as the driver, as results may be computed from it at any time, unless it is dropped before.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _LEFT[path] = spark
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_written(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`written`, once nothing reads it any more."""
-    spark = df.sparkSession
-    hadoop = spark._jsc.hadoopConfiguration()
     for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(hadoop).delete(path, True)
+        _delete(df.sparkSession, folder)
+        for path in [p for p in _LEFT if folder.endswith(p.split(":", 1)[-1].lstrip("/"))]:
+            del _LEFT[path]
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _drop_all() -> None:
+    """What is left goes with the driver."""
+    for path, spark in list(_LEFT.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # the session's virtual machine has ended already
+            return
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -6,56 +6,71 @@ The cluster reduces a table to sufficient statistics of fixed size; only those a
 from __future__ import annotations
 
 import json
+import math
 import shlex
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from uttermill.functions import vectors as V
-from uttermill.functions.storage import written
+from uttermill.functions.storage import drop_written, written
+
+
+#: Groups in which the partial sums of tasks are added up before they meet in one.
+TREE_WIDTH = 64
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def second_moments(df: DataFrame, vector: str, weight: str | None = None, by: str | None = None) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """Weight, weighted sum and weighted sum of outer products of all vectors, or for each value of a small integer column.
+def second_moments(df: DataFrame, vector: str, weight: str | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weight, weighted sum and weighted sum of outer products of all vectors; vectors of one length, nulls left out.
 
-    Every task sums what it reads; as many matrices as there are tasks and values are added up in turn.
+    Every task sums what it reads. The sums of tasks are added up in ``TREE_WIDTH`` groups, as a stream that holds one
+    sum at a time, and those of the groups once more, so neither a task nor the driver holds more than a few matrices.
     """
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    g = F.lit(0) if by is None else F.col(by)
-    rows = df.where(F.col(vector).isNotNull()).select(g.cast("bigint").alias("g"), w.alias("w"), F.col(vector).alias("x"))
+    rows = df.where(F.col(vector).isNotNull()).select(w.alias("w"), F.col(vector).alias("x"))
+    kind = "at int, sums array<double>"  # weight, sum, and the upper triangle of the outer products
+
+    def out(total: np.ndarray | None, at: int) -> Iterator[pa.RecordBatch]:
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total], pa.list_(pa.float64()))], names=["at", "sums"])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        total, tri = None, None
         for b in batches:
-            if not b.num_rows:
-                continue
-            groups, weights, x = b.column("g").to_numpy(), b.column("w").to_numpy(), _matrix(b.column("x"))
-            for k in np.unique(groups):
-                at = groups == k
-                y, z = weights[at], x[at]
-                s = held.setdefault(int(k), [0.0, 0.0, 0.0])
-                s[0] += y.sum()
-                s[1] = s[1] + y @ z
-                s[2] = s[2] + (z * y[:, None]).T @ z
-        for k, (n, first, second) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([float(n)]), pa.array([first.tolist()]), pa.array([second.ravel().tolist()])], names=["g", "n", "first", "second"])
-
-    kind = "g bigint, n double, first array<double>, second array<double>"
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "n": [pdf["n"].sum()], "first": [np.sum(pdf["first"].tolist(), axis=0).tolist()], "second": [np.sum(pdf["second"].tolist(), axis=0).tolist()]})
-
-    found = rows.mapInArrow(part, kind).groupBy("g").applyInPandas(add, kind).collect()  # one row per value of the grouping
-    return {r["g"]: (r["n"], np.array(r["first"]), np.array(r["second"]).reshape(len(r["first"]), -1)) for r in found}
+            if b.num_rows:
+                y, x = b.column("w").to_numpy(), _matrix(b.column("x"))
+                tri = np.triu_indices(x.shape[1]) if tri is None else tri
+                new = np.r_[y.sum(), y @ x, ((x * y[:, None]).T @ x)[tri]]
+                total = new if total is None else total + new
+        yield from out(total, TaskContext.get().partitionId() % TREE_WIDTH)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            if b.num_rows:
+                new = _matrix(b.column("sums")).sum(axis=0)
+                total = new if total is None else total + new
+        yield from out(total, 0)
+
+    partial = rows.mapInArrow(part, kind)
+    found = partial.repartition(TREE_WIDTH, "at").mapInArrow(add, kind).repartition(1).mapInArrow(add, kind).collect()  # one row
+    if not found:
+        raise ValueError("there are no vectors")
+    sums = np.array(found[0]["sums"])
+    d = int((-3 + math.sqrt(9 + 8 * (len(sums) - 1))) / 2 + 0.5)
+    square = np.zeros((d, d))
+    square[np.triu_indices(d)] = sums[1 + d :]
+    return sums[0], sums[1 : 1 + d], square + np.triu(square, 1).T
 
 
 def _affine(matrix: np.ndarray, offset: np.ndarray, to_root_of_dims: bool = False) -> Callable[[Column], Column]:
@@ -77,6 +92,12 @@ def _affine(matrix: np.ndarray, offset: np.ndarray, to_root_of_dims: bool = Fals
     return run
 
 
+def _prepared(x: Column, mean: np.ndarray | None, normalize_length: bool) -> Column:
+    """Vectors less the mean and scaled to length root of their dimensions, as far as asked for."""
+    x = x if mean is None else V.subtract(x, V.literal_vector(mean))
+    return V.length_normalized(x, scale_by_dims=True) if normalize_length else F.transform(x, lambda v: v.cast("double"))
+
+
 def class_means(df: DataFrame, label: str, vector: str) -> DataFrame:
     """``label, n, mean`` of each class with a name."""
     from uttermill.operators.verify import mean_vector
@@ -95,6 +116,7 @@ class TwoCovariance:
     transform: np.ndarray
     psi: np.ndarray
     normalize_length: bool = False
+    mean: np.ndarray | None = None
 
     @property
     def offset(self) -> np.ndarray:
@@ -111,11 +133,22 @@ class TwoCovariance:
         return cls(mu, vectors[:, order].T @ white, np.maximum(values[order], 0.0))
 
     @classmethod
-    def fit(cls, df: DataFrame, label: str, vector: str, rounds: int = 10) -> TwoCovariance:
-        """Expectation maximisation. Classes of equal size share their posterior covariance, so one matrix per class size suffices."""
-        means = class_means(df, label, vector)
-        n_all, _, raw = second_moments(df.where(F.col(label).isNotNull()), vector)[0]
-        per_size = second_moments(means, "mean", by="n")
+    def fit(cls, df: DataFrame, label: str, vector: str, rounds: int = 10, normalize_length: bool = False, subtract_mean: bool = False) -> TwoCovariance:
+        """Expectation maximisation on the labelled vectors, after the mean of all vectors is taken off and they are scaled to length root of dims, if so asked.
+
+        The mean that is taken off is that of all vectors, labelled or not. Classes of equal size share their posterior
+        covariance, so one matrix for each size suffices; sizes are handled one after the other.
+        """
+        mean = None
+        if subtract_mean:
+            n, first, _ = second_moments(df, vector)
+            mean = first / n
+        ready = df.where(F.col(label).isNotNull()).withColumn(vector, _prepared(F.col(vector), mean, normalize_length))
+        means = written(class_means(ready, label, vector), "means")
+        n_all, _, raw = second_moments(ready, vector)
+        sizes = [r["n"] for r in means.select("n").distinct().orderBy("n").collect()]
+        per_size = {size: second_moments(means.where(F.col("n") == size), "mean") for size in sizes}
+        drop_written(means)
         classes = sum(m[0] for m in per_size.values())
         mu = sum(m[1] for m in per_size.values()) / classes
         # Sum of squares within classes: all of them less that of the means, each as often as its class has members.
@@ -133,11 +166,11 @@ class TwoCovariance:
                 w += size * (count * cov + (eye - gain) @ square @ (eye - gain).T)
             between, within = b / classes, w / n_all
             between, within = (between + between.T) / 2, (within + within.T) / 2
-        return cls.of(mu, between, within)
+        return replace(cls.of(mu, between, within), normalize_length=normalize_length, mean=mean)
 
     def adapted(self, df: DataFrame, vector: str, between_scale: float = 0.5, within_scale: float = 0.5) -> TwoCovariance:
         """Adapt to unlabelled vectors: variance beyond what the model expects is shared out between both covariances."""
-        n, first, second = second_moments(df, vector)[0]
+        n, first, second = second_moments(df.withColumn(vector, _prepared(F.col(vector), self.mean, self.normalize_length)), vector)
         mean = first / n
         cov = (second - n * np.outer(mean, mean)) / (n - 1)
         back = np.linalg.inv(self.transform)
@@ -148,11 +181,11 @@ class TwoCovariance:
         more = values > 1
         excess = root @ vectors[:, more] * np.sqrt(values[more] - 1)
         extra = excess @ excess.T
-        return TwoCovariance.of(mean, between + between_scale * extra, within + within_scale * extra)
+        return replace(TwoCovariance.of(mean, between + between_scale * extra, within + within_scale * extra), normalize_length=self.normalize_length, mean=self.mean)
 
     def transformed(self, x: Column) -> Column:
-        """A vector in the model's space, scaled to length root of its dimensions."""
-        return _affine(self.transform, self.offset, to_root_of_dims=True)(x)
+        """A vector in the model's space, scaled to length root of its dimensions if the model says so."""
+        return _affine(self.transform, self.offset, self.normalize_length)(_prepared(x, self.mean, self.normalize_length))
 
     def score(self, trials: DataFrame, enroll: DataFrame, test: DataFrame, count_sessions: bool = False) -> DataFrame:
         """``enroll, test, score, label`` of trials against enrolled means (``name, emb, n``) and test vectors (``utt, emb``)."""
@@ -162,13 +195,13 @@ class TwoCovariance:
         return joined.select("enroll", "test", V.plda_llr(F.col("e"), F.col("t"), V.literal_vector(self.psi), F.col("n")).alias("score"), "label")
 
     def save(self, spark, path: str) -> None:
-        row = (self.mu.tolist(), self.transform.tolist(), self.psi.tolist(), self.normalize_length)
-        spark.createDataFrame([row], "mu array<double>, transform array<array<double>>, psi array<double>, normalize_length boolean").write.parquet(path)
+        row = (self.mu.tolist(), self.transform.tolist(), self.psi.tolist(), self.normalize_length, None if self.mean is None else self.mean.tolist())
+        spark.createDataFrame([row], "mu array<double>, transform array<array<double>>, psi array<double>, normalize_length boolean, mean array<double>").write.parquet(path)
 
     @classmethod
     def load(cls, spark, path: str) -> TwoCovariance:
         r = spark.read.parquet(path).first()
-        return cls(np.array(r["mu"]), np.array(r["transform"]), np.array(r["psi"]), r["normalize_length"])
+        return cls(np.array(r["mu"]), np.array(r["transform"]), np.array(r["psi"]), r["normalize_length"], None if r["mean"] is None else np.array(r["mean"]))
 
 
 # ---------------------------------------------------------------- chains of transforms
@@ -177,15 +210,15 @@ class TwoCovariance:
 def discriminant(df: DataFrame, label: str, vector: str, dims: int, floor: float = 1e-6, equal_weight: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Mean and projection that separate classes best. Classes of one vector tell nothing and are left out."""
     kept = class_means(df, label, vector).where("n > 1")
-    counted = second_moments(kept, "mean", weight=None if equal_weight else "n")[0]
+    counted = second_moments(kept, "mean", weight=None if equal_weight else "n")
     mean = counted[1] / counted[0]
     between = counted[2] / counted[0] - np.outer(mean, mean)
     members = df.join(kept.select(label, F.col("n").alias("__n")), label)
     if equal_weight:
         members = members.withColumn("__w", 1 / F.col("__n"))
-        total, squares = second_moments(members, vector, "__w")[0], second_moments(kept, "mean")[0]
+        total, squares = second_moments(members, vector, "__w"), second_moments(kept, "mean")
     else:
-        total, squares = second_moments(members, vector)[0], counted
+        total, squares = second_moments(members, vector), counted
     within = (total[2] - squares[2]) / total[0]
     values, vectors = np.linalg.eigh((within + within.T) / 2)
     white = (vectors / np.sqrt(np.maximum(values, values.max() * floor))).T
@@ -230,7 +263,7 @@ class Chain:
         if name == "length-norm":
             return {"name": name}
         if name == "mean-subtract":
-            n, first, _ = second_moments(df, vector)[0]
+            n, first, _ = second_moments(df, vector)
             return {"name": name, "mean": (first / n).tolist()}
         if name == "lda":
             if label is None:
@@ -305,4 +338,5 @@ def fit_calibration(df: DataFrame, factors: list[str], label: str = "label", rou
         if done:
             break
         theta = theta - np.linalg.solve(curve + 1e-9 * np.eye(d + 1), grad)
+    drop_written(rows)
     return best[:d], float(best[d])

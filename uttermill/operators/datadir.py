@@ -19,6 +19,16 @@ def hashed_order(*cols: str, seed: int = 0) -> Column:
 # ---------------------------------------------------------------- filters
 
 
+def hex_order(*cols: str, seed: int = 0) -> Column:
+    """A pseudo-random order that other engines have, too: the MD5 of seed and keys."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in cols)).cast("binary"))
+
+
+def hex_number(x: Column) -> Column:
+    """The first 32 bits of a :func:`hex_order` as a number."""
+    return F.conv(F.substring(x, 1, 8), 16, 10).cast("bigint")
+
+
 def longer_than(rows: DataFrame, durations: DataFrame, least: float, key: str = "utt", dur: str = "dur") -> DataFrame:
     """Rows whose duration is known and strictly above ``least``; each key's longest stated duration counts."""
     known = durations.where(~F.isnan(dur)).groupBy(key).agg(F.max(dur).alias("__dur")).where(F.col("__dur") > least).select(key)
@@ -40,7 +50,7 @@ def by_ids(rows: DataFrame, ids: DataFrame, column: str, id_column: str, exclude
 def capped(rows: DataFrame, column: str, least: int, most: int, seed: int = 0, key: str = "utt") -> DataFrame:
     """Drop arrays below ``least`` elements and cut those above ``most`` to a chunk at a hashed place."""
     size = F.size(column)
-    start = F.pmod(hashed_order(key, seed=seed), F.greatest(size - most + 1, F.lit(1)).cast("bigint")).cast("int")
+    start = F.pmod(hex_number(hex_order(key, seed=seed)), F.greatest(size - most + 1, F.lit(1)).cast("bigint")).cast("int")
     cut = F.when(size > most, F.slice(column, start + 1, F.lit(most))).otherwise(F.col(column))
     return rows.where(F.col(column).isNotNull() & (size >= least)).withColumn(column, cut)
 
@@ -81,8 +91,8 @@ def incomplete_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def nested(rows: DataFrame, group: str, member: str) -> DataFrame:
-    """``group, members``: distinct members of each group in byte order."""
-    return rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.sort_array(F.collect_set(member)).alias("members"))
+    """``group, members``: distinct members of each group in byte order. A group's array is one value, which its size must allow."""
+    return rows.where(F.col(group).isNotNull() & F.col(member).isNotNull()).select(group, member).distinct().groupBy(group).agg(F.sort_array(F.collect_list(member)).alias("members"))
 
 
 def unnested(rows: DataFrame, group: str, members: str, member: str) -> DataFrame:
@@ -113,16 +123,40 @@ def common_keys(tables: Sequence[DataFrame], key: str) -> DataFrame:
     return reduce(lambda a, b: a.join(b, key, "left_semi"), keys)
 
 
-def repaired(tables: Mapping[str, DataFrame], keys: Mapping[str, str]) -> dict[str, DataFrame]:
-    """Every table with one row per key, cut down to the keys that all tables have."""
-    once = {n: t.dropDuplicates([keys[n]]) for n, t in tables.items()}
+def repaired(tables: Mapping[str, DataFrame], keys: Mapping[str, str], order: Mapping[str, Sequence[Column]]) -> dict[str, DataFrame]:
+    """Every table with the first row of each key, in an order that tells a key's rows apart, cut down to the keys that all tables have."""
+    once = {n: first_of_key(t, keys[n], order[n]) for n, t in tables.items()}
     shared = common_keys([t.select(F.col(keys[n]).alias("__key")) for n, t in once.items()], "__key")
     return {n: t.join(shared, F.col(keys[n]) == F.col("__key"), "left_semi") for n, t in once.items()}
 
 
+def repaired_directory(recordings: DataFrame, segments: DataFrame, utt2spk: DataFrame, per_utt: Sequence[DataFrame], spk2utt: DataFrame | None = None) -> dict[str, DataFrame]:
+    """A directory whose tables agree: recordings (``reco``), segments (``seg, reco``), utterances (``utt, spk``) and tables per utterance.
+
+    An utterance stays if it has a speaker, a segment of a recording that is there, and a row in every other table;
+    a recording, segment or speaker stays if an utterance that stays needs it. One pass settles this, as an utterance
+    names one recording and one speaker, so what falls away with it was needed by nothing else that stays. With
+    ``spk2utt`` (``spk``) only speakers that it lists stay.
+    """
+    speakers = utt2spk.where("spk is not null")
+    if spk2utt is not None:
+        speakers = speakers.join(spk2utt.select("spk"), "spk", "left_semi").select(*utt2spk.columns)
+    there = segments.join(recordings.select("reco"), "reco", "left_semi")
+    utts = common_keys([speakers, there.select(F.col("seg").alias("utt")), *(t.select("utt") for t in per_utt)], "utt")
+    good = speakers.join(utts, "utt", "left_semi").select(*utt2spk.columns)
+    kept = there.join(utts, F.col("seg") == F.col("utt"), "left_semi").select(*segments.columns)
+    out = {"utt2spk": good, "segments": kept, "recordings": recordings.join(kept.select("reco"), "reco", "left_semi"), "speakers": good.select("spk").distinct()}
+    return out | {f"per_utt_{i}": t.join(utts, "utt", "left_semi") for i, t in enumerate(per_utt)}
+
+
 def combined(directories: Sequence[Mapping[str, DataFrame]]) -> dict[str, DataFrame]:
-    """Data directories put together: a table comes out if all of them have it, with the columns that all share."""
+    """Data directories put together: a table comes out if all of them have it, with the columns that all share.
+
+    ``utt2uniq``, which tells the original of a copy, comes out if any has it; in the others each utterance is its own.
+    """
     out = {}
+    if any("utt2uniq" in d for d in directories):
+        directories = [d if "utt2uniq" in d else {**d, "utt2uniq": d["utt2spk"].select("utt", F.col("utt").alias("uniq")).distinct()} for d in directories]
     for name in directories[0]:
         if all(name in d for d in directories):
             cols = [c for c in directories[0][name].columns if all(c in d[name].columns for d in directories)]
@@ -147,7 +181,7 @@ def every_few(rows: DataFrame, group: str, member: str, n: int) -> DataFrame:
 
 def groups_up_to(rows: DataFrame, group: str, n: int, seed: int = 0) -> DataFrame:
     """Whole groups in hashed order while the members taken before each are below ``n``: ``group, n_members``."""
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n_members")).withColumn("__order", hashed_order(group, seed=seed))
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n_members")).withColumn("__order", hex_order(group, seed=seed))
     run = running_sums(sizes, ["__order", group], {"upto": F.col("n_members")})
     return run.where(F.col("upto") - F.col("n_members") < n).select(group, "n_members")
 
@@ -176,7 +210,7 @@ def calibration_trials(utts: DataFrame, n: int, short: tuple[float, float] = (2.
     pools = per.join(both, "spk", "left_semi")
     w = Window.partitionBy("spk", "kind")
     pools = pools.withColumn("i", F.row_number().over(w.orderBy("utt")) - 1).withColumn("size", F.count(F.lit(1)).over(w))
-    pick = lambda *x: F.pmod(F.xxhash64("draw", "combo", *map(F.lit, x), F.lit(seed)), F.lit(2**31))
+    pick = lambda *x: hex_number(F.md5(F.concat_ws("|", F.lit(str(seed)), "draw", "combo", *map(F.lit, x)).cast("binary")))
     draws = spark.range(n // 2).withColumnRenamed("id", "draw").withColumn("combo", F.explode(F.array(*map(F.lit, ("short-short", "short-long", "long-long")))))
     draws = draws.withColumn("label", F.explode(F.array(F.lit("target"), F.lit("nontarget"))))
     a = F.pmod(pick("a"), F.lit(count))
@@ -193,6 +227,35 @@ def calibration_trials(utts: DataFrame, n: int, short: tuple[float, float] = (2.
     return draws.select(F.col("a_utt").alias("enroll"), F.col("b_utt").alias("test"), "label", F.col("combo").alias("kind"))
 
 
+def first_rows(rows: DataFrame, key: str, n: int) -> DataFrame:
+    return rows.orderBy(key).limit(n)
+
+
+def last_rows(rows: DataFrame, key: str, n: int) -> DataFrame:
+    return rows.orderBy(F.desc(key)).limit(n)
+
+
+def random_rows(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """``n`` rows in hashed order of a key that tells them apart; the same for a seed at any partitioning."""
+    return rows.orderBy(hex_order(key, seed=seed), key).limit(n)
+
+
+def locally_shuffled(rows: DataFrame, order: Sequence[str], key: str, window: int = 2_500, seed: int = 0) -> DataFrame:
+    """Rows in an order in which each has moved within a window of so many rows only: adds ``window_no, place_key`` to sort by."""
+    numbered = running_sums(rows, order, {"__at": F.lit(1).cast("bigint")})
+    return numbered.withColumn("window_no", F.floor((F.col("__at") - 1) / window).cast("bigint")).withColumn("place_key", hex_order(key, seed=seed)).drop("__at", "__at_all")
+
+
+def strided_share(rows: DataFrame, order: Sequence[str], rank: int, world: int, worker: int, workers: int) -> DataFrame:
+    """The share of one worker of one process: every ``workers``-th from ``worker`` on of every ``world``-th row from ``rank`` on."""
+    return strided_part(rows, order, rank + world * worker, world * workers)
+
+
+def repeated(rows: DataFrame, epochs: int) -> DataFrame:
+    """The whole table once for each epoch: adds ``epoch``."""
+    return rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+
+
 # ---------------------------------------------------------------- reshaping
 
 
