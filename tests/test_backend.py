@@ -88,3 +88,37 @@ def test_calibration_reaches_the_optimum(spark):
     assert np.c_[x, np.ones(800)].T @ p == pytest.approx(np.zeros(3), abs=1e-4)
     with pytest.raises(ValueError):
         B.fit_calibration(df.where("label = 'target'"), ["a"])
+
+
+@pytest.mark.parametrize("normalize,subtract", [(True, False), (False, True), (True, True)])
+def test_flags_of_the_model(spark, normalize, subtract):
+    """Vectors less the mean of all of them, labelled or not, and scaled, give the model that fitting them so would."""
+    x, y, df = _data(spark)
+    df = df.unionAll(spark.createDataFrame([(None, [9.0, -5.0, 3.0, 1.0, 2.0])] * 40, df.schema))
+    everything = np.r_[x, np.tile([9.0, -5.0, 3.0, 1.0, 2.0], (40, 1))]
+    z = x - everything.mean(0) if subtract else x
+    z = z * np.sqrt(5) / np.linalg.norm(z, axis=1, keepdims=True) if normalize else z
+    ready = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(y, z)], "spk int, emb array<double>")
+    want, got = B.TwoCovariance.fit(ready, "spk", "emb", 3), B.TwoCovariance.fit(df, "spk", "emb", 3, normalize, subtract)
+    assert got.mu == pytest.approx(want.mu) and got.psi == pytest.approx(want.psi) and got.normalize_length == normalize
+    out = np.array([r["t"] for r in spark.createDataFrame([(x[0].tolist(),)], "emb array<double>").select(got.transformed(F.col("emb")).alias("t")).collect()][0])
+    plain = got.transform @ (z[0] - got.mu)
+    assert out == pytest.approx(plain * np.sqrt(5) / np.linalg.norm(plain) if normalize else plain)
+    assert (np.linalg.norm(out) == pytest.approx(np.sqrt(5))) == normalize
+
+
+def test_moments_over_many_tasks(spark):
+    x = np.random.default_rng(2).standard_normal((500, 4))
+    df = spark.createDataFrame([(b.tolist(), float(i % 3)) for i, b in enumerate(x)] + [(None, 1.0)], "emb array<double>, w double").repartition(90)
+    n, first, second = B.second_moments(df, "emb", "w")
+    w = np.arange(500) % 3
+    assert n == w.sum() and first == pytest.approx(w @ x) and second == pytest.approx((x * w[:, None]).T @ x)
+    with pytest.raises(ValueError):
+        B.second_moments(df.limit(0), "emb")
+
+
+def test_checkpoints_must_be_complete(spark):
+    df = spark.createDataFrame([("w", 0, 1.0), ("w", 0, 3.0), ("b", 0, 5.0), ("b", 0, 7.0)], "name string, pos int, x double")
+    assert {r["name"]: r["x"] for r in B.averaged(df, ["name", "pos"], "x", 2).collect()} == {"w": 2.0, "b": 6.0}
+    with pytest.raises(Exception, match="2 checkpoints"):
+        B.averaged(df.where("x > 1"), ["name", "pos"], "x", 2).collect()

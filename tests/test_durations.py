@@ -1,5 +1,8 @@
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
+from uttermill.functions.times import latest_key, latest_value
 from uttermill.plans import datadir, models
 
 T0 = datetime(2024, 1, 1)
@@ -19,6 +22,13 @@ def test_lengths_in_milliseconds_count_as_seconds(spark, tmp_path):
     assert got == {"a": 7.0, "b": 3.0, "g": 8.25, "h": 4.0, "e": 1_000.0}
 
 
+def test_latest_values(spark):
+    """Of several lengths the latest counts, also before 1970; unknown times are the oldest."""
+    rows = [("a", 5_000, datetime(1960, 5, 1)), ("a", 7_000, datetime(1950, 1, 1)), ("b", 1, None), ("b", 2, datetime(1930, 1, 1)), ("c", 3, None), ("c", 9, None), ("d", 4, T0), ("d", 6, T0)]
+    df = spark.createDataFrame(rows, "k string, v bigint, t timestamp").groupBy("k").agg(F.max(latest_key(F.col("t"), F.col("v"))).alias("m"))
+    assert {r["k"]: r["v"] for r in df.select("k", latest_value(F.col("m")).alias("v")).collect()} == {"a": 5_000, "b": 2, "c": 9, "d": 6}
+
+
 def test_queries_without_sql_keep_lengths_in_milliseconds(spark, tmp_path):
     path = _tables(spark, tmp_path)
     trials = datadir.dd_calibration_trials(spark, path).collect()

@@ -4,7 +4,7 @@ import pytest
 
 from oracle import compare
 
-MODULES = [importlib.import_module(f"uttermill.plans.{n}") for n in ("corpus", "verification", "datadir", "diarization", "models", "signals")]
+MODULES = [importlib.import_module(f"uttermill.plans.{n}") for n in ("corpus", "verification", "datadir", "diarization", "models", "signals", "files")]
 WITH_SQL = [(m, n) for m in MODULES for n in m.SQL]
 WITHOUT = [(m, n) for m in MODULES for n in m.QUERIES if n not in m.SQL]
 

@@ -93,3 +93,20 @@ def test_lines_written(spark, tmp_path):
     sinks.write_tables(spark.range(10).coalesce(1), f"file://{tmp_path}/few", 4, seed=1)
     assert len(list((tmp_path / "few").glob("*.parquet"))) == 3
     assert df.select(sinks.keyed_line("enroll", "test").alias("l")).where(F.col("l") == "a b").count() == 1
+
+
+def test_lines_of_a_file_in_many_splits(spark, tmp_path):
+    """Later lines overwrite earlier ones, whichever split they lie in."""
+    (tmp_path / "t").write_text("".join(f"k{i % 500} v{i}\n" for i in range(20_000)))
+    (tmp_path / "u").write_text("other first\nother last\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = text.read_keyed(spark, f"file://{tmp_path}")
+        assert rows.rdd.getNumPartitions() > 10
+        assert rows.select("line_no", "key").where("key <> 'other'").distinct().count() == 20_000
+        got = {r["key"]: r["value"] for r in text.last_of_key(rows).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {f"k{i}": f"v{19_500 + i}" for i in range(500)} | {"other": "last"}

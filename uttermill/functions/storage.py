@@ -47,6 +47,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder for files that an operator writes itself; it goes with the driver, too."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _LEFT[path] = spark
+    return path
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`written`, once nothing reads it any more."""
     for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:

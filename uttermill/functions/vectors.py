@@ -167,3 +167,26 @@ def margin_at(step: Column, start: float, stop: float, initial: float, final: fl
 
 def cosine_rate(step: Column, total: float, base: float, final: float) -> Column:
     return final + 0.5 * (base - final) * (1 + F.cos(math.pi * step / total))
+
+
+def triangular_rate(step: Column, cycle: float, high: float, low: float, ratio: float = 0.5) -> Column:
+    """Learning rate that rises and falls once a cycle; each cycle's peak lies ``ratio`` as far above the lowest as the one before."""
+    point, half = step % cycle, cycle / 2
+    peak = (high - low) * F.pow(F.lit(ratio), F.floor(step / cycle))
+    return low + peak * F.when(point <= half, point / half).otherwise(1 - (point - half) / half)
+
+
+def fixed_chunks(a: Column, n: int) -> Column:
+    """The array in chunks of ``n``; the last one is filled up from the head, and a short array is repeated."""
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(a) / n).cast("int") - 1, F.lit(0)))
+
+    def chunk(i: Column) -> Column:
+        part = F.slice(a, i * n + 1, F.lit(n))
+        return F.when(F.size(part) < n, F.concat(part, F.slice(a, F.lit(1), n - F.size(part)))).otherwise(part)
+
+    return F.when(F.size(a) < n, F.array(cyclic_fill(a, n))).otherwise(F.transform(starts, chunk))
+
+
+def reported_percent(line: Column) -> Column:
+    """The diarization error that a report line gives, in percent; null where it gives none."""
+    return F.regexp_extract(line, r"(?i)OVERALL\s+SPEAKER\s+DIARIZATION\s+ERROR\s*=\s*([\d.]+)\s+percent", 1).try_cast("double")

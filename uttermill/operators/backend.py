@@ -98,6 +98,13 @@ def _prepared(x: Column, mean: np.ndarray | None, normalize_length: bool) -> Col
     return V.length_normalized(x, scale_by_dims=True) if normalize_length else F.transform(x, lambda v: v.cast("double"))
 
 
+def averaged(parameters: DataFrame, keys: list[str], value: str, n: int) -> DataFrame:
+    """``keys, value``: parameters averaged over exactly ``n`` checkpoints; another number of them raises an error once the result runs."""
+    fault = F.concat(F.lit(f"a parameter does not come from {n} checkpoints: "), F.concat_ws(" ", *(F.col(k).cast("string") for k in keys)))
+    per = parameters.groupBy(*keys).agg(F.avg(F.col(value).cast("double")).alias(value), F.count(value).alias("__n"))
+    return per.where(F.when(F.col("__n") == n, F.lit(True)).otherwise(F.raise_error(fault).cast("boolean"))).drop("__n")
+
+
 def class_means(df: DataFrame, label: str, vector: str) -> DataFrame:
     """``label, n, mean`` of each class with a name."""
     from uttermill.operators.verify import mean_vector

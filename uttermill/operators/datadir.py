@@ -251,6 +251,13 @@ def strided_share(rows: DataFrame, order: Sequence[str], rank: int, world: int,
     return strided_part(rows, order, rank + world * worker, world * workers)
 
 
+def collated(rows: DataFrame, order: Sequence[str], size: int) -> DataFrame:
+    """``batch_no, rows``: rows stacked into batches of so many, in an order that tells them apart."""
+    numbered = running_sums(rows, order, {"__at": F.lit(1).cast("bigint")}).drop("__at_all")
+    batch = F.floor((F.col("__at") - 1) / size).cast("bigint")
+    return numbered.groupBy(batch.alias("batch_no")).agg(F.array_sort(F.collect_list(F.struct("__at", *rows.columns))).alias("rows"))
+
+
 def repeated(rows: DataFrame, epochs: int) -> DataFrame:
     """The whole table once for each epoch: adds ``epoch``."""
     return rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,21 @@ def subsegments(segments: DataFrame, window: int = 150, period: int = 75, shift_
     return out.withColumn("end_frame", F.when(F.col("__n") <= window, F.col("__n")).otherwise(F.least(F.col("begin_frame") + window, F.col("__n")))).drop("__n")
 
 
+def sample_windows(segments: DataFrame, window: int = 24_000, period: int = 12_000, rate: int = 16_000, shift_ms: int = 10) -> DataFrame:
+    """Sliding windows of samples over each segment: adds ``begin_frame, end_frame, first_sample, n_samples``.
+
+    The twin of :func:`subsegments` for signals: windows are counted in samples, a slice holds one sample more than the
+    window, and frame numbers are rounded down from the samples.
+    """
+    first = F.floor(F.col("begin_ms") * rate / 1_000).cast("bigint")
+    n = F.floor(F.col("end_ms") * rate / 1_000).cast("bigint") - first
+    begins = F.when(n <= window, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.greatest(n - window + period - 1, F.lit(0)), F.lit(period).cast("bigint")))
+    out = segments.withColumn("__n", n).withColumn("__b", F.explode(begins))
+    end = F.when(F.col("__n") <= window, F.col("__n")).otherwise(F.least(F.col("__b") + window, F.col("__n")))
+    frame = lambda x: F.floor(x * 1_000 / (rate * shift_ms)).cast("int")
+    return out.withColumns({"begin_frame": frame(F.col("__b")), "end_frame": frame(end), "first_sample": first + F.col("__b"), "n_samples": end - F.col("__b") + 1}).drop("__n", "__b")
+
+
 def merged_labels(pieces: DataFrame, utt: str = "utt", order: tuple[str, ...] = ("begin", "end")) -> DataFrame:
     """Consecutive pieces of one label become one turn: ``utt, begin, end, label``.
 
@@ -144,6 +161,90 @@ def nearest_other_speaker(centres: DataFrame, key: str, digits: int = 6) -> Data
     return flat.withColumn("r", F.row_number().over(w)).where("r = 1").select(key, "spk", "x.other", "x.sim")
 
 
+def matched(a: DataFrame, b: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """``keys, a, b``: two sets of vectors of the same pieces, which must match one to one.
+
+    A key that is repeated or missing on either side raises an error once the result runs, with the first such key.
+    """
+    side = lambda df, name: df.groupBy(*keys).agg(F.any_value(vector).alias(name), F.count(F.lit(1)).alias(f"__{name}"))
+    both = side(a, "a").join(side(b, "b"), keys, "full")
+    fault = F.concat(F.lit("pieces do not match one to one: "), F.concat_ws(" ", *(F.col(k).cast("string") for k in keys)))
+    good = (F.coalesce("__a", F.lit(0)) == 1) & (F.coalesce("__b", F.lit(0)) == 1)
+    return both.where(F.when(good, F.lit(True)).otherwise(F.raise_error(fault).cast("boolean"))).select(*keys, "a", "b")
+
+
+def assigned(gain: np.ndarray) -> np.ndarray:
+    """The column of each row in the one-to-one assignment of greatest total gain; -1 where a row gets none. By shortest augmenting paths."""
+    rows, cols = gain.shape
+    n = max(rows, cols)
+    cost = np.zeros((n, n))
+    cost[:rows, :cols] = gain.max(initial=0.0) - gain
+    cost[rows:, :] = cost[:, cols:] = gain.max(initial=0.0)
+    u, v, owner = np.zeros(n), np.zeros(n + 1), np.full(n + 1, -1)
+    for r in range(n):
+        owner[n], at = r, n
+        low, came, seen = np.full(n, np.inf), np.full(n, n), np.zeros(n + 1, bool)
+        while owner[at] >= 0:
+            seen[at] = True
+            slack = cost[owner[at]] - u[owner[at]] - v[:n]
+            better = (slack < low) & ~seen[:n]
+            low[better], came[better] = slack[better], at
+            open_ = np.where(seen[:n], np.inf, low)
+            nxt = int(open_.argmin())
+            step = open_[nxt]
+            u[owner[seen]] += step
+            v[seen] -= step
+            low[~seen[:n]] -= step
+            at = nxt
+        while at != n:
+            owner[at] = owner[came[at]]
+            at = came[at]
+    out = np.full(rows, -1)
+    for c in range(cols):
+        if owner[c] < rows and gain[owner[c], c] > 0:
+            out[owner[c]] = c
+    return out
+
+
+def diarization_error(reference: DataFrame, hypothesis: DataFrame, key: str, collar_ms: int = 250) -> DataFrame:
+    """``key, scored_ms, missed_ms, false_ms, confused_ms``: speaker time that a hypothesis gets wrong, per recording.
+
+    Both have ``key, begin, end, spk``. Speakers of both sides are matched one to one so that they speak together
+    longest. Time within ``collar_ms`` of a reference turn's edges is not scored. At each instant, speakers that the
+    hypothesis lacks are missed, those that it has too many are false, and matched ones that differ are confused.
+    Recordings of either side come out; turns that are null, empty or reversed are ignored. A recording's turns are one
+    group, whose size its length bounds.
+    """
+    rows = [df.where(F.col("end") > F.col("begin")).select(F.col(key).alias("k"), F.col("begin").cast("bigint"), F.col("end").cast("bigint"), F.col("spk").cast("string"), F.lit(side).alias("side")) for df, side in ((reference, 0), (hypothesis, 1))]
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        ref, hyp = (pdf[pdf["side"] == i] for i in (0, 1))
+        edges = np.unique(np.r_[ref["begin"], ref["end"]]) if len(ref) else np.zeros(0, np.int64)
+        cuts = np.unique(np.r_[pdf["begin"], pdf["end"], edges - collar_ms, edges + collar_ms])
+        length = np.diff(cuts)
+        near = np.zeros(len(cuts), np.int64)
+        np.add.at(near, np.searchsorted(cuts, edges - collar_ms), 1)
+        np.add.at(near, np.searchsorted(cuts, edges + collar_ms), -1)
+        scored = length * (np.cumsum(near)[:-1] == 0)
+
+        def active(side: pd.DataFrame) -> np.ndarray:
+            who, name = pd.factorize(side["spk"], sort=True)
+            on = np.zeros((len(name), len(cuts)), np.int64)
+            np.add.at(on, (who, np.searchsorted(cuts, side["begin"])), 1)
+            np.add.at(on, (who, np.searchsorted(cuts, side["end"])), -1)
+            return np.cumsum(on, axis=1)[:, :-1] > 0
+
+        r, h = active(ref), active(hyp)
+        to = assigned((r * scored) @ h.T.astype(np.float64)) if len(r) and len(h) else np.full(len(r), -1)
+        n_ref, n_hyp = r.sum(0), h.sum(0)
+        right = sum((r[i] & h[c] for i, c in enumerate(to) if c >= 0), np.zeros(len(length), np.int64))
+        of = lambda x: int((scored * x).sum())
+        return pd.DataFrame({key: [pdf["k"].iloc[0]], "scored_ms": [of(n_ref)], "missed_ms": [of(np.maximum(n_ref - n_hyp, 0))], "false_ms": [of(np.maximum(n_hyp - n_ref, 0))], "confused_ms": [of(np.minimum(n_ref, n_hyp) - right)]})
+
+    kind = dict(reference.dtypes)[key]
+    return rows[0].unionAll(rows[1]).groupBy("k").applyInPandas(score, f"`{key}` {kind}, scored_ms bigint, missed_ms bigint, false_ms bigint, confused_ms bigint")
+
+
 def rttm_line(utt: Column, begin_s: Column, dur_s: Column, spk: Column, channel: int = 1) -> Column:
     """A speaker turn as a line of an RTTM file."""
     return F.format_string("SPEAKER %s %d %.3f %.3f <NA> <NA> %s <NA> <NA>", utt, F.lit(channel), begin_s, dur_s, spk)

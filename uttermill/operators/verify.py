@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from uttermill.functions import vectors as V
 from uttermill.functions.running import running_sums
+from uttermill.functions.storage import written
 
 
 def mean_vector(df: DataFrame, vector: str, by: str | None = None) -> DataFrame:
@@ -153,6 +154,32 @@ def score_histogram(scores: DataFrame, low: float, high: float, bins: int) -> Da
     return per.select("bin", "n", (F.sum("n").over(order) / F.sum("n").over(whole)).alias("cumulative"))
 
 
+def binned_curve(scores: DataFrame, edges: int = 1_000_000) -> DataFrame:
+    """``bin, threshold, fnr, fpr`` at evenly spaced thresholds between the smallest and the largest score, for bins that hold scores.
+
+    As many edges bound one bin less; the top edge belongs to the last one. The rates count all scores up to the bin's end.
+    """
+    known = scores.where(F.col("score").isNotNull())
+    span = known.agg(F.struct(F.min("score").alias("low"), F.max("score").alias("high")).alias("s")).scalar()
+    width = (F.col("s.high") - F.col("s.low")) / (edges - 1)
+    at = F.when(width > 0, F.least(F.floor((F.col("score") - F.col("s.low")) / width), F.lit(edges - 2))).otherwise(F.lit(0)).cast("bigint")
+    rows = known.select("score", "label", span.alias("s")).select(at.alias("bin"), (F.col("s.low") + (at + 1) * width).alias("threshold"), (F.col("label") == "target").alias("t"))
+    per = rows.groupBy("bin").agg(F.min("threshold").alias("threshold"), F.count_if("t").alias("t"), F.count_if(~F.col("t")).alias("i"))
+    run = running_sums(per, ["bin"], {"t_upto": F.col("t"), "i_upto": F.col("i")})
+    return run.select("bin", "threshold", F.try_divide(F.col("t_upto"), F.col("t_upto_all")).alias("fnr"), (1 - F.try_divide(F.col("i_upto"), F.col("i_upto_all"))).alias("fpr"))
+
+
+def detection_report(scores: DataFrame, prefix: int = 7) -> DataFrame:
+    """``eer_percent, threshold, dcf08, dcf10, c_primary`` of trials whose ids tell the speaker by their first characters."""
+    same = F.substring("enroll", 1, prefix) == F.substring("test", 1, prefix)
+    curve = written(detection_curve(scores.withColumn("label", F.when(same, "target").otherwise("nontarget"))), "curve")
+    costs = [minimum_cost(curve, p).select(F.col("min_cost").alias(f"c{i}")) for i, p in enumerate((0.01, 0.001, 0.005))]
+    eer = equal_error_rate(curve)
+    one = [F.col("c0"), costs[1].scalar(), costs[2].scalar(), eer.select(F.struct("eer", "threshold").alias("e")).scalar()]
+    rows = costs[0].select(one[0].alias("a"), one[1].alias("b"), one[2].alias("c"), one[3].alias("e"))
+    return rows.select((F.col("e.eer") * 100).alias("eer_percent"), F.col("e.threshold").alias("threshold"), F.col("a").alias("dcf08"), F.col("b").alias("dcf10"), ((F.col("a") + F.col("c")) / 2).alias("c_primary"))
+
+
 def best_enrolled(queries: DataFrame, registry: DataFrame) -> DataFrame:
     """The most similar enrolled name of each query: ``utt, name, score``.
 

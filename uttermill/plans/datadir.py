@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from uttermill.functions.storage import table
-from uttermill.functions.times import finite
+from uttermill.functions.times import finite, latest_key, latest_value, seconds_to_ms
 from uttermill.operators import datadir as O
 
 _RECORDING = r"^(.*)-(\d{8})-(\d{8})$"
@@ -16,19 +16,12 @@ def _u2s(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "utt2spk").where("removed_at is null").select("utt", "spk").distinct()
 
 
-def _durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "utt2dur").where("dur > 0 and not isnan(dur) and dur <= 1000").groupBy("utt").agg(F.max("dur").alias("dur"))
-
-
-def seconds_of_any_unit(dur: Column) -> Column:
-    """Lengths in seconds. Seconds never exceed 1,000, so larger values are milliseconds."""
-    return F.when(dur > 1_000, dur / 1_000).otherwise(dur)
-
-
-def all_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``utt, dur``: the longest usable length of every utterance, whatever its unit."""
-    usable = table(spark, sf_dir, "utt2dur").where(finite(F.col("dur")) & (F.col("dur") > 0))
-    return usable.groupBy("utt").agg(F.max(seconds_of_any_unit(F.col("dur"))).alias("dur"))
+def all_durations(spark: SparkSession, sf_dir: str, max_seconds: float = 1_000.0) -> DataFrame:
+    """``utt, dur``: the latest usable length of every utterance, in seconds. Seconds never exceed ``max_seconds``, so larger values are milliseconds."""
+    dur = F.col("dur")
+    ms = F.when(dur > max_seconds, F.round(dur).cast("bigint")).otherwise(seconds_to_ms(dur))
+    usable = table(spark, sf_dir, "utt2dur").where(finite(dur) & (dur > 0))
+    return usable.groupBy("utt").agg(F.max(latest_key(F.col("loaded_at"), ms)).alias("packed")).select("utt", (latest_value(F.col("packed")) / 1_000).alias("dur"))
 
 
 def dd_min_utts(spark, sf_dir):
@@ -36,7 +29,7 @@ def dd_min_utts(spark, sf_dir):
 
 
 def dd_longer_than(spark, sf_dir):
-    return O.longer_than(_u2s(spark, sf_dir), _durations(spark, sf_dir), 5.0)
+    return O.longer_than(_u2s(spark, sf_dir), all_durations(spark, sf_dir), 5.0)
 
 
 def dd_positive_durations(spark, sf_dir):
@@ -80,9 +73,15 @@ def dd_locator_kind(spark, sf_dir):
     return table(spark, sf_dir, "wav_scp").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("wav_id").alias("n_recordings"))
 
 
+def noise_keys(spark, sf_dir):
+    """Keys of noises: the kinds of events, each under one of four prefixes."""
+    kind = F.element_at(F.array(*map(F.lit, ("noise", "speech", "music", "other"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select(F.concat_ws("-", kind, "event_type").alias("noise")).distinct()
+
+
 def dd_snr_range(spark, sf_dir):
-    r = O.snr_range(F.col("event_type"))
-    return table(spark, sf_dir, "events").select("event_type").distinct().select("event_type", r["low"].alias("low"), r["high"].alias("high"))
+    r = O.snr_range(F.col("noise"))
+    return noise_keys(spark, sf_dir).select("noise", r["low"].alias("low"), r["high"].alias("high"))
 
 
 def dd_segment_id_parts(spark, sf_dir):
@@ -174,23 +173,47 @@ def dd_common_keys(spark, sf_dir):
 
 
 def dd_repaired(spark, sf_dir):
-    """Rows per table of the data directory before and after repair."""
-    tables = {"utt2spk": _u2s(spark, sf_dir), "feats_scp": table(spark, sf_dir, "feats_scp"), "utt2dur": table(spark, sf_dir, "utt2dur")}
-    good = O.repaired(tables, dict.fromkeys(tables, "utt"))
-    parts = [tables[n].agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("n_before")).join(good[n].agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("n_after")), "table_name") for n in tables]
+    """The rows that three tables keep when they are cut down to their common keys; of a key the first one in loading order."""
+    feats, durs = table(spark, sf_dir, "feats_scp"), table(spark, sf_dir, "utt2dur").select("utt", "dur", "loaded_at")
+    tables = {"utt2spk": _u2s(spark, sf_dir), "feats_scp": feats, "utt2dur": durs}
+    path = F.col("feat_path").asc_nulls_last()
+    good = O.repaired(tables, dict.fromkeys(tables, "utt"), {"utt2spk": [F.col("spk").asc_nulls_last()], "feats_scp": [F.col("loaded_at"), path], "utt2dur": [F.col("loaded_at"), F.col("dur")]})
+    at = F.unix_micros(F.col("loaded_at").cast("timestamp")).cast("string")
+    kept = {"utt2spk": F.col("spk"), "feats_scp": F.col("feat_path"), "utt2dur": at}
+    parts = [good[n].select(F.lit(n).alias("table_name"), "utt", kept[n].alias("kept")) for n in tables]
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
+def dd_repaired_directory(spark, sf_dir):
+    """The keys that each table of a directory keeps when recordings, segments, speakers and utterances are made to agree."""
+    live = lambda t: table(spark, sf_dir, t).where("removed_at is null")
+    good = O.repaired_directory(
+        live("wav_scp").select(F.col("wav_id").alias("reco")).distinct(), live("segments").where("seg is not null").select("seg", "reco").distinct(), _u2s(spark, sf_dir),
+        [table(spark, sf_dir, "feats_scp").where("feat_path is not null"), all_durations(spark, sf_dir)], table(spark, sf_dir, "spk2utt"),
+    )
+    key = {"utt2spk": F.concat_ws("|", "utt", "spk"), "segments": F.concat_ws("|", "seg", "reco"), "recordings": F.col("reco"), "speakers": F.col("spk"), "per_utt_1": F.col("utt")}
+    parts = [good[n].select(F.lit(n).alias("table_name"), k.alias("key")) for n, k in key.items()]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3]).unionAll(parts[4])
+
+
+def dd_combined_uniq(spark, sf_dir):
+    """Originals of utterances where only one of two directories names them."""
+    raw = table(spark, sf_dir, "raw_list")
+    a = {"utt2spk": raw.select("utt", "spk").distinct(), "utt2uniq": raw.select("utt", F.coalesce("spk", F.lit("?")).alias("uniq")).distinct()}
+    both = O.combined([a, {"utt2spk": _u2s(spark, sf_dir)}])
+    return both["utt2uniq"].groupBy("utt", "uniq").agg(F.count(F.lit(1)).alias("n"))
+
+
 def dd_combined(spark, sf_dir):
     """Two directories put together: the flat and the nested speaker table, and lengths that only one has."""
-    a = {"utt2spk": _u2s(spark, sf_dir), "utt2dur": _durations(spark, sf_dir)}
+    a = {"utt2spk": _u2s(spark, sf_dir), "utt2dur": all_durations(spark, sf_dir)}
     b = {"utt2spk": dd_unnested(spark, sf_dir).withColumn("extra", F.lit(1))}
     return O.combined([a, b])["utt2spk"].groupBy("utt", "spk").agg(F.count(F.lit(1)).alias("n"))
 
 
 def dd_shared_speakers(spark, sf_dir):
     """Speakers with both short and long utterances."""
-    d = _u2s(spark, sf_dir).join(_durations(spark, sf_dir), "utt")
+    d = _u2s(spark, sf_dir).join(all_durations(spark, sf_dir), "utt")
     return d.where("dur < 6 and dur > 2").select("spk").intersect(d.where("dur > 6").select("spk"))
 
 
@@ -200,20 +223,49 @@ def dd_set_difference(spark, sf_dir):
 
 
 def dd_shortest(spark, sf_dir):
-    return O.shortest(_durations(spark, sf_dir), "dur", "utt", 100)
+    return O.shortest(all_durations(spark, sf_dir), "dur", "utt", 100)
 
 
 def dd_first_utts(spark, sf_dir):
     return _u2s(spark, sf_dir).select("utt").distinct().orderBy("utt").limit(100)
 
 
+def dd_last_utts(spark, sf_dir):
+    return O.last_rows(_u2s(spark, sf_dir).select("utt").distinct(), "utt", 100)
+
+
+def dd_random_utts(spark, sf_dir):
+    return O.random_rows(_u2s(spark, sf_dir).select("utt").distinct(), "utt", 100, seed=5)
+
+
+def dd_local_shuffle(spark, sf_dir):
+    """Utterances shuffled within windows of 500."""
+    return O.locally_shuffled(_u2s(spark, sf_dir).select("utt").distinct(), ["utt"], "utt", 500, seed=4)
+
+
+def dd_strided_share(spark, sf_dir):
+    """What the third of four workers of the second of two processes reads."""
+    return O.strided_share(_u2s(spark, sf_dir).select("utt").distinct(), ["utt"], 1, 2, 2, 4)
+
+
+def dd_repeated(spark, sf_dir):
+    """Three epochs over the recordings."""
+    return O.repeated(table(spark, sf_dir, "wav_scp").select("wav_id").distinct(), 3)
+
+
+def dd_batches(spark, sf_dir):
+    """Utterances stacked into batches of 64."""
+    b = O.collated(_u2s(spark, sf_dir).select("utt").distinct(), ["utt"], 64)
+    return b.select("batch_no", F.size("rows").alias("n"), F.md5(F.array_join(F.transform("rows", lambda r: r["utt"]), " ").cast("binary")).alias("digest"))
+
+
 def dd_every_few(spark, sf_dir):
     return O.every_few(_u2s(spark, sf_dir).where("spk is not null"), "spk", "utt", 5)
 
 
 def dd_epoch_order(spark, sf_dir):
     """Utterances in the order of one epoch."""
-    return _u2s(spark, sf_dir).select("utt").distinct().withColumn("place_key", O.hashed_order("utt", seed=3)).orderBy("place_key", "utt")
+    return _u2s(spark, sf_dir).select("utt").distinct().withColumn("place_key", O.hex_order("utt", seed=3)).orderBy("place_key", "utt")
 
 
 def dd_speakers_up_to(spark, sf_dir):
@@ -260,7 +312,11 @@ def dd_speed_labels(spark, sf_dir):
 
 
 _U = "u AS (SELECT DISTINCT utt, spk FROM utt2spk WHERE removed_at IS NULL)"
-_D = "d AS (SELECT utt, max(dur) AS dur FROM utt2dur WHERE dur > 0 AND NOT isnan(dur) AND dur <= 1000 GROUP BY utt)"
+_D = """d AS (SELECT utt, arg_max(ms, (coalesce(loaded_at, TIMESTAMP '1900-01-01'), ms)) / 1000.0 AS dur FROM (SELECT *, CAST(round(CASE WHEN dur > 1000 THEN dur ELSE dur * 1000 END) AS BIGINT) AS ms
+  FROM utt2dur WHERE isfinite(dur) AND dur > 0) GROUP BY utt)"""
+_NOISE = "noises AS (SELECT DISTINCT ['noise', 'speech', 'music', 'other'][event_id % 4 + 1] || '-' || event_type AS noise FROM events)"
+_HEX = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
+_UTTS = "k AS (SELECT DISTINCT utt FROM u), r AS (SELECT utt, row_number() OVER (ORDER BY utt) - 1 AS i FROM k)"
 _IDS = "ids AS (SELECT spk, row_number() OVER (ORDER BY spk) - 1 AS id FROM (SELECT DISTINCT spk FROM {t} WHERE spk IS NOT NULL))"
 _OK = "removed_at IS NULL AND begin_sec >= 0 AND end_sec > begin_sec"
 _W = "w AS (SELECT utt, max(wav) AS wav FROM raw_list GROUP BY utt), a AS (SELECT utt, CAST(len(max(vad)) AS INT) AS n_spans FROM raw_list WHERE vad IS NOT NULL GROUP BY utt)"
@@ -278,8 +334,8 @@ SQL = {
     "dd_path_parts": r"""SELECT DISTINCT wav_path, p[-2] AS folder, regexp_replace(p[-1], '\.[^.]*$', '') AS stem FROM
         (SELECT wav_path, string_split(wav_path, '/') AS p FROM wav_scp WHERE wav_path NOT LIKE '%|' AND wav_path NOT LIKE '% %') WHERE len(p) >= 3""",
     "dd_locator_kind": "SELECT CASE WHEN wav_path IS NULL THEN 'none' WHEN trim(wav_path) LIKE '%|' THEN 'pipe' ELSE 'path' END AS kind, count(*) AS n, count(DISTINCT wav_id) AS n_recordings FROM wav_scp GROUP BY 1",
-    "dd_snr_range": """SELECT DISTINCT event_type, CASE WHEN event_type LIKE 'speech%' THEN 10 WHEN event_type LIKE 'music%' THEN 5 ELSE 0 END AS low,
-        CASE WHEN event_type LIKE 'speech%' THEN 30 ELSE 15 END AS high FROM events""",
+    "dd_snr_range": f"""WITH {_NOISE} SELECT noise, CASE WHEN noise LIKE 'speech%' THEN 10 WHEN noise LIKE 'music%' THEN 5 ELSE 0 END AS low,
+        CASE WHEN noise LIKE 'speech%' THEN 30 ELSE 15 END AS high FROM noises""",
     "dd_segment_id_parts": r"SELECT DISTINCT seg, seg[:-19] AS reco, CAST(seg[-17:-10] AS BIGINT) AS begin_ms, CAST(seg[-8:] AS BIGINT) AS end_ms FROM segments",
     "dd_speaker_ids": f"WITH {_U}, {_IDS.format(t='u')} SELECT * FROM ids",
     "dd_labelled": f"WITH {_IDS.format(t='spk2utt')}, r AS (SELECT DISTINCT utt, spk FROM raw_list) SELECT r.spk, utt, coalesce(id, -1) AS id FROM r LEFT JOIN ids ON r.spk = ids.spk",
@@ -297,9 +353,38 @@ SQL = {
     "dd_counts": "SELECT count(*) AS n_rows, count(DISTINCT utt) AS n_utts, count(DISTINCT spk) AS n_spks, count(removed_at) AS n_removed FROM utt2spk",
     "dd_first_of_key": "SELECT wav_id, wav_path FROM (SELECT *, row_number() OVER (PARTITION BY wav_id ORDER BY loaded_at, wav_path NULLS LAST) AS r FROM wav_scp) WHERE r = 1",
     "dd_common_keys": f"""WITH {_U} SELECT DISTINCT utt FROM u WHERE utt IN (SELECT utt FROM feats_scp) AND utt IN (SELECT utt FROM utt2dur) AND utt IN (SELECT seg FROM segments)""",
-    "dd_repaired": f"""WITH {_U}, k AS (SELECT utt FROM u INTERSECT SELECT utt FROM feats_scp INTERSECT SELECT utt FROM utt2dur)
-        SELECT 'utt2spk' AS table_name, count(*) AS n_before, (SELECT count(*) FROM k) AS n_after FROM u
-        UNION ALL SELECT 'feats_scp', count(*), (SELECT count(*) FROM k) FROM feats_scp UNION ALL SELECT 'utt2dur', count(*), (SELECT count(*) FROM k) FROM utt2dur""",
+    "dd_repaired": f"""WITH {_U}, k AS (SELECT utt FROM u INTERSECT SELECT utt FROM feats_scp INTERSECT SELECT utt FROM utt2dur),
+        a AS (SELECT 'utt2spk' AS table_name, utt, spk AS kept, row_number() OVER (PARTITION BY utt ORDER BY spk NULLS LAST) AS r FROM u
+          UNION ALL SELECT 'feats_scp', utt, feat_path, row_number() OVER (PARTITION BY utt ORDER BY loaded_at NULLS FIRST, feat_path NULLS LAST) FROM feats_scp
+          UNION ALL SELECT 'utt2dur', utt, CAST(epoch_us(loaded_at) AS VARCHAR), row_number() OVER (PARTITION BY utt ORDER BY loaded_at NULLS FIRST, dur NULLS FIRST) FROM utt2dur)
+        SELECT table_name, utt, kept FROM a WHERE r = 1 AND utt IN (SELECT utt FROM k)""",
+    "dd_repaired_directory": f"""WITH {_U}, {_D}, w AS (SELECT DISTINCT wav_id AS reco FROM wav_scp WHERE removed_at IS NULL),
+        s AS (SELECT DISTINCT seg, reco FROM segments WHERE removed_at IS NULL AND seg IS NOT NULL AND reco IN (SELECT reco FROM w)),
+        p AS (SELECT * FROM u WHERE spk IN (SELECT spk FROM spk2utt)),
+        k AS (SELECT utt FROM p INTERSECT SELECT seg FROM s INTERSECT SELECT utt FROM feats_scp WHERE feat_path IS NOT NULL INTERSECT SELECT utt FROM d),
+        g AS (SELECT * FROM p WHERE utt IN (SELECT utt FROM k)), x AS (SELECT * FROM s WHERE seg IN (SELECT utt FROM k))
+        SELECT 'utt2spk' AS table_name, utt || '|' || spk AS key FROM g UNION ALL SELECT 'segments', seg || '|' || reco FROM x UNION ALL SELECT DISTINCT 'recordings', reco FROM x
+        UNION ALL SELECT DISTINCT 'speakers', spk FROM g UNION ALL SELECT 'per_utt_1', utt FROM d WHERE utt IN (SELECT utt FROM k)""",
+    "dd_combined_uniq": f"WITH {_U} SELECT utt, uniq, count(*) AS n FROM (SELECT DISTINCT utt, coalesce(spk, '?') AS uniq FROM raw_list UNION ALL SELECT DISTINCT utt, utt FROM u) GROUP BY utt, uniq",
+    "dd_last_utts": f"WITH {_U} SELECT DISTINCT utt FROM u ORDER BY utt DESC LIMIT 100",
+    "dd_random_utts": f"WITH {_U}, {_UTTS} SELECT utt FROM k ORDER BY md5('5|' || utt), utt LIMIT 100",
+    "dd_local_shuffle": f"WITH {_U}, {_UTTS} SELECT utt, i // 500 AS window_no, md5('4|' || utt) AS place_key FROM r",
+    "dd_strided_share": f"WITH {_U}, {_UTTS} SELECT utt FROM r WHERE i % 2 = 1 AND (i // 2) % 4 = 2",
+    "dd_repeated": "SELECT wav_id, CAST(e AS INT) AS epoch FROM (SELECT DISTINCT wav_id FROM wav_scp), (SELECT unnest([0, 1, 2]) AS e)",
+    "dd_batches": f"WITH {_U}, {_UTTS} SELECT i // 64 AS batch_no, CAST(count(*) AS INT) AS n, md5(string_agg(utt, ' ' ORDER BY utt)) AS digest FROM r GROUP BY 1",
+    "dd_epoch_order": f"WITH {_U}, {_UTTS} SELECT utt, md5('3|' || utt) AS place_key FROM k",
+    "dd_speakers_up_to": f"""WITH {_U}, n AS (SELECT spk, count(*) AS n_members FROM u WHERE spk IS NOT NULL GROUP BY spk)
+        SELECT spk, n_members FROM (SELECT *, sum(n_members) OVER (ORDER BY md5('1|' || spk), spk) - n_members AS before FROM n) WHERE before < 2000""",
+    "dd_calibration_trials": f"""WITH {_U}, {_D}, per AS (SELECT DISTINCT utt, spk, CASE WHEN dur > 2 AND dur < 6 THEN 'short' WHEN dur > 6 THEN 'long' END AS kind FROM u JOIN d USING (utt) WHERE spk IS NOT NULL),
+        p AS (SELECT * FROM per WHERE kind IS NOT NULL AND spk IN (SELECT spk FROM per WHERE kind IS NOT NULL GROUP BY spk HAVING count(DISTINCT kind) = 2)),
+        s AS (SELECT spk, row_number() OVER (ORDER BY spk) - 1 AS id, count(*) OVER () AS c FROM (SELECT DISTINCT spk FROM p)),
+        pools AS (SELECT *, row_number() OVER (PARTITION BY spk, kind ORDER BY utt) - 1 AS i, count(*) OVER (PARTITION BY spk, kind) AS size FROM p),
+        g AS (SELECT draw, combo, label FROM (SELECT unnest(range(1000)) AS draw), (SELECT unnest(['short-short', 'short-long', 'long-long']) AS combo), (SELECT unnest(['target', 'nontarget']) AS label)),
+        a AS (SELECT g.*, {_HEX.format("'0|' || draw || '|' || combo || '|a'")} % c AS a_id, c FROM g, (SELECT any_value(c) AS c FROM s)),
+        b AS (SELECT *, CASE WHEN label = 'target' THEN a_id ELSE (a_id + 1 + {_HEX.format("'0|' || draw || '|' || combo || '|b'")} % (c - 1)) % c END AS b_id FROM a)
+        SELECT x.utt AS enroll, y.utt AS test, label, combo AS kind FROM b JOIN s sa ON sa.id = a_id JOIN s sb ON sb.id = b_id
+        JOIN pools x ON x.spk = sa.spk AND x.kind = split_part(combo, '-', 1) AND x.i = {_HEX.format("'0|' || draw || '|' || combo || '|a|utt'")} % x.size
+        JOIN pools y ON y.spk = sb.spk AND y.kind = split_part(combo, '-', 2) AND y.i = {_HEX.format("'0|' || draw || '|' || combo || '|b|utt'")} % y.size""",
     "dd_combined": f"WITH {_U} SELECT utt, spk, count(*) AS n FROM (SELECT utt, spk FROM u UNION ALL SELECT unnest(utts), spk FROM spk2utt) GROUP BY utt, spk",
     "dd_shared_speakers": f"WITH {_U}, {_D} SELECT spk FROM u JOIN d USING (utt) WHERE dur < 6 AND dur > 2 INTERSECT SELECT spk FROM u JOIN d USING (utt) WHERE dur > 6",
     "dd_set_difference": f"""WITH {_U}, f AS (SELECT utt, spk FROM u WHERE spk IS NOT NULL), n AS (SELECT unnest(utts) AS utt, spk FROM spk2utt)

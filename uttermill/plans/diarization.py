@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from uttermill.functions import vectors as V
 from uttermill.functions.storage import table
 from uttermill.operators import diar as O
 
@@ -71,6 +72,26 @@ def d_most_overlapping(spark, sf_dir):
     return O.most_overlapping(p, t, "reco", "piece")
 
 
+def d_most_overlapping_parent(spark, sf_dir):
+    """The speaker of each window by the longest overlap of the whole segment that it comes from."""
+    s = _segments(spark, sf_dir).select("seg", "reco", F.col("begin").alias("begin_ms"), F.col("end").alias("end_ms"))
+    p = O.subsegments(s).select("reco", F.concat_ws("#", "seg", "begin_frame").alias("piece"), F.col("begin_ms").alias("begin"), F.col("end_ms").alias("end"))
+    t = _turns(spark, sf_dir)
+    t = t.withColumn("ordinal", F.row_number().over(Window.partitionBy("reco").orderBy("begin", "end", "seg")))
+    return O.most_overlapping(p, t, "reco", "piece")
+
+
+def d_sample_windows(spark, sf_dir):
+    s = _segments(spark, sf_dir).select("seg", F.col("begin").alias("begin_ms"), F.col("end").alias("end_ms"))
+    return O.sample_windows(s).select("seg", "begin_frame", "end_frame", "first_sample", "n_samples")
+
+
+def d_sorted_turns(spark, sf_dir):
+    """Turns with their place in the order of begin times."""
+    place = F.row_number().over(Window.partitionBy("reco").orderBy("begin", "end", "seg"))
+    return _turns(spark, sf_dir).select("reco", "begin", "end", "spk", place.alias("place"))
+
+
 def _pieces(spark, sf_dir):
     e = table(spark, sf_dir, "utt_embeddings").where("size(emb) = 128 and forall(emb, x -> x is not null and not isnan(x) and abs(x) < 1e30) and exists(emb, x -> x <> 0)")
     e = e.groupBy("utt_name").agg(F.max_by("emb", "loaded_at").alias("emb"))
@@ -98,6 +119,27 @@ def d_nearest_other_speaker(spark, sf_dir):
     return O.nearest_other_speaker(c, "reco", 5)
 
 
+def d_turns_with_overlap(spark, sf_dir):
+    """The turns, and the regions in which another speaker is active too, as turns of that one."""
+    more = d_overlap_regions(spark, sf_dir).select("reco", "begin", "end", F.col("other").alias("spk"))
+    return _turns(spark, sf_dir).select("reco", "begin", "end", "spk").unionAll(more)
+
+
+def d_matched(spark, sf_dir):
+    """Two embeddings of the same pieces, here the halves of one, matched by piece and times."""
+    keys = ["piece", "begin", "end"]
+    p = _pieces(spark, sf_dir)
+    m = O.matched(p.select(*keys, F.slice("emb", 1, 64).alias("emb")), p.select(*keys, F.slice("emb", 65, 64).alias("emb")), keys, "emb")
+    scaled = lambda c: F.round(V.dot(F.col(c), F.col(c)), 3)
+    return m.select("piece", "begin", "end", scaled("a").alias("a"), scaled("b").alias("b"))
+
+
+def d_error(spark, sf_dir):
+    """Turns joined over speakers' short breaks, with two speakers taken for one, against the turns."""
+    said = O.same_speaker_turns(_turns(spark, sf_dir).select("reco", "begin", "end", F.substring("spk", 1, 9).alias("spk")), "reco", 400)
+    return O.diarization_error(_turns(spark, sf_dir), said, "reco")
+
+
 def d_rttm_lines(spark, sf_dir):
     t = _turns(spark, sf_dir)
     return t.select(O.rttm_line(F.col("reco"), F.col("begin") / 1000.0, (F.col("end") - F.col("begin")) / 1000.0, F.col("spk")).alias("line"))
@@ -170,4 +212,14 @@ SQL = {
     "d_segment_ids": f"WITH {_S} SELECT seg, format('{{}}-{{:08d}}-{{:08d}}', reco, b, e) AS written FROM s",
 }
 
+_MOST = SQL["d_most_overlapping"]
+SQL["d_most_overlapping_parent"] = _MOST.replace("SELECT reco, seg || '#' || f0 AS piece, b + f0 * 10 AS b, b + f1 * 10 AS e FROM w", "SELECT w.reco, w.seg || '#' || f0 AS piece, s.b, s.e FROM w JOIN s ON s.seg = w.seg AND s.reco = w.reco")
+SQL["d_sample_windows"] = f"""WITH {_S}, p AS (SELECT seg, b * 16 AS first, (e - b) * 16 AS n FROM s),
+  w AS (SELECT seg, first, 0 AS x, n AS y FROM p WHERE n <= 24000 UNION ALL SELECT seg, first, x, least(x + 24000, n) FROM (SELECT *, unnest(range(0, n - 24000 + 12000, 12000)) AS x FROM p WHERE n > 24000))
+  SELECT seg, CAST(x // 160 AS INT) AS begin_frame, CAST(y // 160 AS INT) AS end_frame, first + x AS first_sample, y - x + 1 AS n_samples FROM w"""
+SQL["d_sorted_turns"] = f"""WITH {_T} SELECT reco, b AS "begin", e AS "end", spk, CAST(row_number() OVER (PARTITION BY reco ORDER BY b, e, seg) AS INT) AS place FROM t"""
+SQL["d_turns_with_overlap"] = f"""SELECT reco, "begin", "end", other AS spk FROM ({SQL["d_overlap_regions"]}) UNION ALL SELECT reco, b, e, spk FROM (WITH {_T} SELECT reco, b, e, spk FROM t)"""
+SQL["d_matched"] = f"""WITH {_E}, y AS (SELECT piece, b, e, emb[1:64] AS p, emb[65:128] AS q FROM pc)
+  SELECT piece, b AS "begin", e AS "end", round(list_dot_product(p, p), 3) AS a, round(list_dot_product(q, q), 3) AS b FROM y"""
+
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("d_")}

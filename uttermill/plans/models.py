@@ -1,4 +1,4 @@
-"""Queries of the model-fitting, grouped and stateful operators. They have no SQL; tests compare them with plain loops."""
+"""Queries of the model-fitting, grouped and stateful operators. Where SQL cannot express them, tests compare them with plain loops."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from uttermill.operators.verify import mean_vector
 from uttermill.plans.datadir import all_durations
 from uttermill.plans.diarization import _pieces
 from uttermill.plans.verification import _normed, _trials, _vectors
-from uttermill.streaming.stateful import framed, speech_stretches
+from uttermill.streaming.stateful import framed, registered, speech_stretches
 
 
 def m_trained_plda(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,8 +121,44 @@ def m_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.select("utt", "frame_no", F.round(V.energy_db(F.col("frame")), 4).alias("energy_db"))
 
 
+def m_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first registration of each name: users register with the value of each of their events, and only the first counts."""
+    e = table(spark, sf_dir, "events").where("user_id is not null")
+    people = e.select(F.col("user_id").cast("string").alias("name"), F.col("event_id").alias("seq"), F.array(F.col("value")).alias("emb"))
+    return registered(people).select("name", "seq", F.get("emb", F.lit(0)).alias("value"))
+
+
+def m_averaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters averaged over the last five checkpoints: each label stands for a parameter, its vectors for the checkpoints."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("spk").orderBy("utt"))
+    rows = _vectors(spark, sf_dir).withColumn("checkpoint", place).withColumn("latest", F.max("checkpoint").over(Window.partitionBy("spk")))
+    last = rows.where("checkpoint > latest - 5").select("spk", F.posexplode("emb").alias("pos", "x"))
+    return B.averaged(last, ["spk", "pos"], "x", 5).select("spk", "pos", F.round("x", 6).alias("x"))
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("m_")} | {
     "m_hierarchical": _clustered("hierarchical"), "m_hierarchical_absorbed": _clustered("hierarchical", least_size=2), "m_spectral": _clustered("spectral"), "m_resegmented": _clustered("resegmented"),
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "m_registry": "SELECT CAST(user_id AS VARCHAR) AS name, min(event_id) AS seq, arg_min(value, event_id) AS value FROM events WHERE user_id IS NOT NULL GROUP BY user_id",
+    "m_averaged": """WITH r AS (SELECT label AS spk, embedding AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS k FROM embeddings),
+      x AS (SELECT spk, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS pos FROM r WHERE k <= 5) SELECT spk, CAST(pos AS INT) AS pos, round(avg(CAST(x AS DOUBLE)), 6) + 0.0 AS x FROM x GROUP BY spk, pos""",
+    "m_frames": """WITH f AS (SELECT vec_id AS utt, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, unnest(range(7)) AS frame_no FROM embeddings), x AS (SELECT utt, frame_no, e[frame_no * 8 + 1:frame_no * 8 + 16] AS x FROM f)
+      SELECT utt, frame_no, round(10 * log10(list_dot_product(x, x) / 16 + 1e-4), 4) AS energy_db FROM x""",
+    "m_speech_stretches": """WITH RECURSIVE p AS (SELECT CAST(user_id AS VARCHAR) AS utt, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, least(value / 100, 1.0) AS prob FROM events WHERE value IS NOT NULL),
+      n AS (SELECT utt, (max(i) + 1) * 1536 AS total FROM p GROUP BY utt),
+      st AS (SELECT utt, CAST(-1 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS start, CAST(NULL AS BIGINT) AS quiet, CAST(NULL AS BIGINT) AS b, CAST(NULL AS BIGINT) AS e FROM n
+        UNION ALL SELECT utt, i, CASE WHEN done THEN NULL WHEN prob >= 0.5 THEN coalesce(start, pt) ELSE start END,
+          CASE WHEN done OR prob >= 0.5 THEN NULL WHEN prob < 0.35 AND start IS NOT NULL THEN coalesce(quiet, pt) ELSE quiet END,
+          CASE WHEN done AND coalesce(quiet, pt) - start > 4000 THEN start END, CASE WHEN done AND coalesce(quiet, pt) - start > 4000 THEN coalesce(quiet, pt) END
+        FROM (SELECT st.*, p.i AS j, p.prob, p.i * 1536 AS pt, coalesce(p.prob < 0.35 AND start IS NOT NULL AND p.i * 1536 - coalesce(quiet, p.i * 1536) >= 1600, false) AS done
+              FROM st JOIN p ON p.utt = st.utt AND p.i = st.i + 1) AS q(utt, i0, start, quiet, b0, e0, i, prob, pt, done)),
+      raw AS (SELECT utt, b, e FROM st WHERE b IS NOT NULL UNION ALL SELECT st.utt, start, total FROM st JOIN n ON n.utt = st.utt AND (st.i + 1) * 1536 = total WHERE start IS NOT NULL),
+      w AS (SELECT *, lag(e) OVER o AS pe, lead(b) OVER o AS nb FROM raw WINDOW o AS (PARTITION BY utt ORDER BY b)),
+      y AS (SELECT utt, CASE WHEN pe IS NULL THEN greatest(b - 480, 0) WHEN b - pe < 960 THEN greatest(b - (b - pe) // 2, 0) ELSE b END AS b,
+        CASE WHEN nb IS NULL THEN least(total, e + 480) WHEN nb - e < 960 THEN e + (nb - e) // 2 ELSE e + 480 END AS e FROM w JOIN n USING (utt))
+      SELECT utt, b / 16000.0 AS "begin", e / 16000.0 AS "end" FROM y WHERE (e - b) / 16000.0 >= 0.255""",
+}

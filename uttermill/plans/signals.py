@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from uttermill.functions import vectors as V
 from uttermill.functions.storage import table
 from uttermill.operators import datadir as D
-from uttermill.operators.verify import detection_curve
-from uttermill.plans.verification import _scores, _vectors
+from uttermill.operators.verify import detection_curve, mean_vector
+from uttermill.plans.datadir import _HEX, _NOISE, noise_keys
+from uttermill.plans.verification import _BASE, _scores, _vectors
 
 
 def s_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,26 +89,27 @@ def s_best_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of at least 5 utterances, cut to 50 at a hashed place."""
-    rows = table(spark, sf_dir, "spk2utt").groupBy("spk").agg(F.max_by("utts", F.size("utts")).alias("utts"))
-    return D.capped(rows, "utts", 5, 50, key="spk").select("spk", F.size("utts").alias("n"))
+    rows = table(spark, sf_dir, "spk2utt").groupBy("spk").agg(F.max(F.struct(F.size("utts").alias("k"), "utts")).alias("m")).select("spk", "m.utts")
+    kept = D.capped(rows, "utts", 5, 50, key="spk")
+    return kept.select("spk", F.size("utts").alias("n"), F.get("utts", F.lit(0)).alias("first_utt"), F.element_at("utts", -1).alias("last_utt"))
 
 
 def s_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two long and four short crops of each vector at hashed places."""
     v = _vectors(spark, sf_dir).withColumn("crop", F.explode(F.sequence(F.lit(0), F.lit(5))))
     n = F.when(F.col("crop") < 2, 48).otherwise(16)
-    start = F.pmod(F.xxhash64("utt", "crop", F.lit(3)), (F.size("emb") - n + 1).cast("bigint")).cast("int")
-    return v.select("utt", "crop", start.alias("start"), F.slice("emb", start + 1, n).alias("x")).select("utt", "crop", "start", F.size("x").alias("n"))
+    start = F.pmod(D.hex_number(D.hex_order("utt", "crop", seed=3)), (F.size("emb") - n + 1).cast("bigint")).cast("int")
+    return v.select("utt", "crop", start.alias("start"), F.slice("emb", start + 1, n).alias("x")).select("utt", "crop", "start", F.size("x").alias("n"), F.round(V.dot(F.col("x"), F.col("x")), 6).alias("energy"))
 
 
 def s_noise_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hashed noise and signal-to-noise ratio for each utterance of raw_list; the kinds of events stand in for noises."""
-    kinds = D.dense_ids(table(spark, sf_dir, "events"), "event_type")
+    """A hashed noise and signal-to-noise ratio for each utterance of raw_list."""
+    kinds = D.dense_ids(noise_keys(spark, sf_dir), "noise")
     n = kinds.agg(F.count(F.lit(1)).alias("n"))
-    utts = table(spark, sf_dir, "raw_list").select("utt").distinct().select("utt", n.scalar().alias("n")).withColumn("id", F.pmod(F.xxhash64("utt", F.lit(5)), F.col("n")))
-    r = D.snr_range(F.col("event_type"))
-    unit = F.pmod(F.xxhash64("utt", F.lit(6)), F.lit(1_000)) / 1_000.0
-    return utts.join(kinds, "id").select("utt", "event_type", (r["low"] + unit * (r["high"] - r["low"])).alias("snr_db"))
+    utts = table(spark, sf_dir, "raw_list").where("utt is not null").select("utt").distinct().select("utt", n.scalar().alias("n")).withColumn("id", D.hex_number(D.hex_order("utt", seed=5)) % F.col("n"))
+    r = D.snr_range(F.col("noise"))
+    unit = D.hex_number(D.hex_order("utt", seed=6)) % 1_000 / 1_000.0
+    return utts.join(kinds, "id").select("utt", "noise", (r["low"] + unit * (r["high"] - r["low"])).alias("snr_db"))
 
 
 def s_detection_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +122,33 @@ def s_detection_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detection_curve(_scores(spark, sf_dir)).select("n", probit("fpr").alias("x"), probit("fnr").alias("y"))
 
 
+def s_schedule_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A triangular learning rate whose peaks are halved, and a rising margin."""
+    steps = D.grid(spark, step=list(range(0, 101, 2)))
+    s = F.col("step").cast("double")
+    return steps.select("step", F.round(V.triangular_rate(s, 20.0, 0.1, 0.001), 8).alias("triangular"), F.round(V.margin_at(s, 20.0, 80.0, 0.0, 0.2), 8).alias("margin"))
+
+
+def s_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector in chunks of 20 elements, the last filled up from its head."""
+    v = _vectors(spark, sf_dir).select("utt", F.posexplode(V.fixed_chunks(F.col("emb"), 20)).alias("chunk_no", "x"))
+    return v.select("utt", "chunk_no", F.size("x").alias("n"), F.round(V.dot(F.col("x"), F.col("x")), 6).alias("energy"))
+
+
+def s_chunk_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of each vector's chunks."""
+    v = _vectors(spark, sf_dir).select("utt", F.explode(V.fixed_chunks(F.col("emb"), 20)).alias("x"))
+    mean = mean_vector(v, "x", "utt")
+    return mean.select("utt", "n", F.round(V.dot(F.col("mean"), F.col("mean")), 6).alias("energy"))
+
+
+def s_report_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error rates read from the report lines of scoring programs; other lines have none."""
+    p = table(spark, sf_dir, "part")
+    line = F.when(F.col("p_partkey") % 3 == 0, F.lit("no score here")).otherwise(F.concat(F.lit("OVERALL SPEAKER DIARIZATION ERROR = "), F.format_string("%.2f", "p_retailprice"), F.lit(" percent of scored speaker time")))
+    return p.select("p_partkey", line.alias("line")).select("p_partkey", V.reported_percent(F.col("line")).alias("percent"))
+
+
 _V = "v AS (SELECT vec_id AS utt, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS emb FROM embeddings)"
 
 
@@ -142,6 +171,24 @@ SQL = {
       round(0.001 + 0.5 * 0.099 * (1 + cos(pi() * s / 100.0)), 8) AS cosine FROM (SELECT unnest(range(0, 101, 5)) AS s)""",
     "s_coverage": """SELECT round((SELECT sum(end_sec - begin_sec) FROM segments WHERE removed_at IS NULL AND begin_sec >= 0 AND end_sec > begin_sec)
       / (SELECT sum(d) FROM (SELECT max(dur) AS d FROM reco2dur WHERE dur > 0 AND isfinite(dur) AND dur < 1e9 GROUP BY reco)), 6) AS rate""",
+    "s_fused_sigmoid": f"{_BASE} SELECT enroll, test, round(1 / (1 + exp(-greatest(least(3 * score, 60), -60))), 6) AS score FROM s",
+    "s_capped": """WITH c AS (SELECT spk, arg_max(utts, (len(utts), utts)) AS utts FROM spk2utt GROUP BY spk),
+      p AS (SELECT spk, utts, len(utts) AS n, CAST('0x' || substr(md5('0|' || spk), 1, 8) AS BIGINT) % greatest(len(utts) - 49, 1) AS s FROM c WHERE len(utts) >= 5),
+      k AS (SELECT spk, CASE WHEN n > 50 THEN utts[s + 1:s + 50] ELSE utts END AS utts FROM p) SELECT spk, CAST(len(utts) AS INT) AS n, utts[1] AS first_utt, utts[-1] AS last_utt FROM k""",
+    "s_crops": f"""WITH {_V}, c AS (SELECT utt, emb, unnest(range(6)) AS crop FROM v), n AS (SELECT *, CASE WHEN crop < 2 THEN 48 ELSE 16 END AS n FROM c),
+      p AS (SELECT *, CAST('0x' || substr(md5('3|' || utt || '|' || crop), 1, 8) AS BIGINT) % (len(emb) - n + 1) AS s FROM n), x AS (SELECT *, emb[s + 1:s + n] AS y FROM p)
+      SELECT utt, CAST(crop AS INT) AS crop, CAST(s AS INT) AS start, CAST(n AS INT) AS n, round(list_dot_product(y, y), 6) AS energy FROM x""",
+    "s_noise_pick": f"""WITH {_NOISE}, k AS (SELECT noise, row_number() OVER (ORDER BY noise) - 1 AS id, count(*) OVER () AS n FROM noises),
+      u AS (SELECT DISTINCT utt FROM raw_list WHERE utt IS NOT NULL), x AS (SELECT utt, {_HEX.format("'5|' || utt")} AS a, {_HEX.format("'6|' || utt")} % 1000 / 1000.0 AS unit FROM u)
+      SELECT utt, noise, CASE WHEN noise LIKE 'speech%' THEN 10 WHEN noise LIKE 'music%' THEN 5 ELSE 0 END + unit * CASE WHEN noise LIKE 'speech%' THEN 20 WHEN noise LIKE 'music%' THEN 10 ELSE 15 END AS snr_db
+      FROM x JOIN k ON k.id = a % n""",
+    "s_schedule_forms": """SELECT CAST(s AS INT) AS step, round(0.001 + 0.099 * pow(0.5, s // 20) * CASE WHEN s % 20 <= 10 THEN (s % 20) / 10.0 ELSE 1 - (s % 20 - 10) / 10.0 END, 8) AS triangular,
+      round(CASE WHEN s < 20 THEN 0.0 WHEN s >= 80 THEN 0.2 ELSE 0.2 * (1 - exp((s - 20) / 60.0 * ln(1e-3 / (1 + 1e-6)))) END, 8) AS margin FROM (SELECT unnest(range(0, 101, 2)) AS s)""",
+    "s_chunks": f"""WITH {_V}, c AS (SELECT utt, unnest([emb[1:20], emb[21:40], emb[41:60], list_concat(emb[61:64], emb[1:16])]) AS x, unnest(range(4)) AS chunk_no FROM v)
+      SELECT utt, CAST(chunk_no AS INT) AS chunk_no, CAST(len(x) AS INT) AS n, round(list_dot_product(x, x), 6) AS energy FROM c""",
+    "s_chunk_mean": f"""WITH {_V}, c AS (SELECT utt, [emb[1:20], emb[21:40], emb[41:60], list_concat(emb[61:64], emb[1:16])] AS x FROM v),
+      m AS (SELECT utt, list_transform(range(1, 21), lambda i: (x[1][i] + x[2][i] + x[3][i] + x[4][i]) / 4) AS m FROM c) SELECT utt, CAST(4 AS BIGINT) AS n, round(list_dot_product(m, m), 6) AS energy FROM m""",
+    "s_report_numbers": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(format('{:.2f}', p_retailprice) AS DOUBLE) END AS percent FROM part",
     "s_best_of": "SELECT o_orderpriority, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS o_orderkey, min(o_totalprice) AS o_totalprice FROM orders GROUP BY o_orderpriority",
 }
 

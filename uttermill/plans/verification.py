@@ -114,12 +114,44 @@ def v_score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_missing_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Utterances of raw_list and their speakers' other utterances that lack an embedding."""
-    wanted = table(spark, sf_dir, "raw_list").select(F.col("utt").alias("enroll"), F.col("utt").alias("test"))
+    """Utterances of trials between each speaker's first utterance and the others of raw_list that lack an embedding."""
+    raw = table(spark, sf_dir, "raw_list").where("utt is not null and spk is not null").select("utt", "spk").distinct()
+    wanted = raw.join(raw.groupBy("spk").agg(F.min("utt").alias("enroll")), "spk").select("enroll", F.col("utt").alias("test"))
     there = table(spark, sf_dir, "utt_embeddings").where("emb is not null").select(F.col("utt_name").alias("utt")).distinct()
     return O.missing_ids(wanted, there)
 
 
+def v_binned_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detection curve at 1,000 evenly spaced thresholds."""
+    return O.binned_curve(_scores(spark, sf_dir), 1_000).select("bin", F.round("threshold", 6).alias("threshold"), F.round("fnr", 9).alias("fnr"), F.round("fpr", 9).alias("fpr"))
+
+
+def v_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error rate and costs of trials whose ids begin with the speaker."""
+    v = _vectors(spark, sf_dir).select("utt", F.format_string("%07d", "spk").alias("prefix"))
+    named = lambda side: v.select(F.col("utt").alias(side), F.format_string("%s-%012d", "prefix", "utt").alias(f"{side}_name"))
+    rows = _scores(spark, sf_dir).join(named("enroll"), "enroll").join(named("test"), "test").select(F.col("enroll_name").alias("enroll"), F.col("test_name").alias("test"), "score")
+    r = O.detection_report(rows)
+    return r.select(F.round("eer_percent", 4).alias("eer_percent"), "threshold", *(F.round(c, 6).alias(c) for c in ("dcf08", "dcf10", "c_primary")))
+
+
+def v_duration_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The factors with durations, which count up to 10 s; they are made from the ids, as the vectors have none."""
+    dur = _vectors(spark, sf_dir).select("utt", (1 + F.col("utt") % 23 / 2.0).alias("dur"))
+    return O.calibration_factors(v_normed_scores(spark, sf_dir), dur, 10.0)
+
+
+def v_unlabelled_in_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speakers' means against the mean of all vectors, to which those without a label contribute: labels from 7 on are taken as unknown."""
+    v = _vectors(spark, sf_dir)
+    labelled = v.where("spk < 7")
+    mean = O.mean_vector(v, "emb").select(F.struct("mean", "n").alias("g")).scalar()
+    n = labelled.agg(F.count(F.lit(1))).scalar()
+    rows = O.mean_vector(labelled, "emb", "spk").select("spk", "mean", mean.alias("g"), n.alias("n_labelled"))
+    x = V.subtract(F.col("mean"), F.col("g.mean"))
+    return rows.select("spk", F.round(V.dot(x, x), 6).alias("energy"), F.col("g.n").alias("n_all"), "n_labelled")
+
+
 def v_best_enrolled(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
     people = v.select(F.concat(F.lit("spk"), F.col("spk").cast("string")).alias("name"), "emb", F.col("utt").alias("ordinal"))
@@ -168,6 +200,7 @@ QUERIES = {
     for f in (
         v_scores, v_global_mean, v_speaker_mean, v_centred_scores, v_cohort_top5, v_cohort_all, v_normed_scores, v_calibration_factors, v_detection_curve,
         v_equal_error_rate, v_minimum_cost, v_simple_eer, v_cllr, v_equalized_weights, v_score_histogram, v_missing_vectors, v_best_enrolled, v_plda_scores,
+        v_binned_curve, v_report, v_duration_factors, v_unlabelled_in_mean,
     )
 }
 
@@ -196,8 +229,22 @@ SQL = {
       SELECT enroll, n, n_targets, CASE WHEN n_targets > 0 THEN round(max(n_targets) OVER () / n_targets, 6) ELSE 0.0 END AS weight FROM k""",
     "v_score_histogram": f"""{_BASE}, b AS (SELECT CAST(least(floor((score + 1) / (2.0 / 64)), 63) AS INT) AS bin, count(*) AS n FROM s WHERE score BETWEEN -1 AND 1 GROUP BY 1)
       SELECT bin, n, round(sum(n) OVER (ORDER BY bin) / sum(n) OVER (), 9) AS cumulative FROM b""",
-    "v_missing_vectors": """SELECT utt, CAST(2 * count(*) AS BIGINT) AS n_trials FROM raw_list
-      WHERE utt NOT IN (SELECT utt_name FROM utt_embeddings WHERE emb IS NOT NULL) GROUP BY utt""",
+    "v_missing_vectors": """WITH r AS (SELECT DISTINCT utt, spk FROM raw_list WHERE utt IS NOT NULL AND spk IS NOT NULL),
+      t AS (SELECT enroll, utt AS test FROM r JOIN (SELECT spk, min(utt) AS enroll FROM r GROUP BY spk) USING (spk))
+      SELECT utt, count(*) AS n_trials FROM (SELECT enroll AS utt FROM t UNION ALL SELECT test FROM t) WHERE utt NOT IN (SELECT utt_name FROM utt_embeddings WHERE emb IS NOT NULL) GROUP BY utt""",
+    "v_binned_curve": f"""{_BASE}, e AS (SELECT min(score) AS low, (max(score) - min(score)) / 999 AS w FROM s),
+      b AS (SELECT CAST(least(floor((score - low) / w), 998) AS BIGINT) AS bin, label, low, w FROM s, e),
+      p AS (SELECT bin, min(low + (bin + 1) * w) AS threshold, count(*) FILTER (label = 'target') AS t, count(*) FILTER (label <> 'target') AS i FROM b GROUP BY bin)
+      SELECT bin, round(threshold, 6) + 0.0 AS threshold, round(sum(t) OVER o / sum(t) OVER (), 9) AS fnr, round(1 - sum(i) OVER o / sum(i) OVER (), 9) + 0.0 AS fpr FROM p WINDOW o AS (ORDER BY bin ROWS UNBOUNDED PRECEDING)""",
+    "v_report": f"""{_BASE}, {_CURVE}, h AS (SELECT * FROM c WHERE fnr - fpr >= 0 ORDER BY n LIMIT 1), l AS (SELECT * FROM c WHERE fnr - fpr < 0 ORDER BY n DESC LIMIT 1),
+      m AS (SELECT min(0.01 * fnr + 0.99 * fpr) / 0.01 AS a, min(0.001 * fnr + 0.999 * fpr) / 0.001 AS b, min(0.005 * fnr + 0.995 * fpr) / 0.005 AS d FROM c)
+      SELECT round(100 * (h.fnr + (h.fnr - h.fpr) / ((l.fpr - h.fpr) - (l.fnr - h.fnr)) * (l.fnr - h.fnr)), 4) AS eer_percent, h.score AS threshold, round(a, 6) AS dcf08, round(b, 6) AS dcf10, round((a + d) / 2, 6) AS c_primary FROM h, l, m""",
+    "v_duration_factors": f"""{_NORMED}, dur AS (SELECT utt, least(1 + utt % 23 / 2.0, 10.0) AS d FROM v)
+      SELECT enroll, test, label, score, {_factors('duration', 'a.d', 'b.d')}, {_factors('magnitude', 'enroll_magnitude', 'test_magnitude')}, {_factors('cohort', 'enroll_cohort_mean', 'test_cohort_mean')}
+      FROM normed JOIN dur a ON a.utt = enroll JOIN dur b ON b.utt = test""",
+    "v_unlabelled_in_mean": f"""WITH {_V}, g AS (SELECT pos, avg(x) AS g FROM (SELECT unnest(emb) AS x, generate_subscripts(emb, 1) AS pos FROM v) GROUP BY pos),
+      m AS (SELECT spk, pos, avg(x) AS m FROM (SELECT spk, unnest(emb) AS x, generate_subscripts(emb, 1) AS pos FROM v WHERE spk < 7) GROUP BY ALL)
+      SELECT spk, round(sum((m - g) * (m - g)), 6) AS energy, (SELECT count(*) FROM v) AS n_all, (SELECT count(*) FROM v WHERE spk < 7) AS n_labelled FROM m JOIN g USING (pos) GROUP BY spk""",
     "v_best_enrolled": f"""WITH {_V}, e AS (SELECT 'spk' || spk AS name, min(utt) AS ordinal, arg_min(emb, utt) AS emb FROM v GROUP BY spk),
       p AS (SELECT v.utt, e.name, e.ordinal, ({_COS.format(a='v.emb', b='e.emb')} + 1) / 2 AS score FROM v, e)
       SELECT utt, name, round(score, 6) AS score, score >= 0.5 AS accepted FROM (SELECT *, row_number() OVER (PARTITION BY utt ORDER BY score DESC, ordinal) AS r FROM p) WHERE r = 1""",

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import os
 import tarfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,8 +44,9 @@ def write_turn_files(turns: DataFrame, path: str) -> None:
     many = F.count(F.lit(1)).over(Window.partitionBy("utt")) > 1
     named = first.select("utt", "spk", F.when(many, F.concat_ws("_", "utt", number)).otherwise(F.col("utt")).alias("name"))
     line = F.format_string("SPEAKER %s 1 %.3f %.3f <NA> <NA> %s <NA> <NA>", "utt", "begin", "dur", "spk")
-    rows = turns.join(named, ["utt", "spk"]).select("name", line.alias("value"))
-    rows.repartition("name").write.partitionBy("name").text(path)
+    rows = turns.join(named, ["utt", "spk"]).select("name", "begin", line.alias("value"))
+    # Lines of a folder lie in the order of their begin times.
+    rows.repartition("name").sortWithinPartitions("name", "begin", "value").drop("begin").write.partitionBy("name").text(path)
 
 
 def write_tables(df: DataFrame, path: str, rows_per_file: int, seed: int | None = None) -> None:
@@ -83,3 +86,23 @@ def shards(rows: DataFrame, rows_per_shard: int = 1_000, seed: int = 0) -> DataF
 
     whole = laid.where("key is not null and audio is not null and format is not null").repartition(n, "shard").sortWithinPartitions("shard", "key")
     return whole.mapInArrow(build, "shard int, content binary")
+
+
+def write_shards(made: DataFrame, path: str) -> None:
+    """Shards as files ``shard_<number>.tar`` in a folder that all executors share, each written by the task that has it."""
+    hadoop_path = path.split(":", 1)[1].replace("//", "/", 1) if path.startswith("file:") else path
+    if ":" in hadoop_path.split("/", 1)[0]:
+        raise ValueError("shards are written as plain files; give a mounted folder")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(hadoop_path, exist_ok=True)
+        for b in batches:
+            for shard, content in zip(b.column("shard").to_pylist(), b.column("content").to_pylist()):
+                # Under another name first, so that a task that is lost or runs twice leaves whole files only.
+                part = f"{hadoop_path}/.shard_{shard:06d}.{uuid.uuid4().hex}"
+                with open(part, "wb") as f:
+                    f.write(content)
+                os.replace(part, f"{hadoop_path}/shard_{shard:06d}.tar")
+            yield pa.RecordBatch.from_arrays([b.column("shard")], names=["shard"])
+
+    made.mapInArrow(write, "shard int").write.format("noop").mode("overwrite").save()

@@ -1,26 +1,20 @@
-"""Readers of text tables. Every reader keeps the line number within its file, as later lines overwrite earlier ones."""
+"""Readers of text tables. Every reader keeps ``line_no``, which orders the lines of a file, as later lines overwrite earlier ones."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``path, line_no, line`` of text files. A file is read as a whole to number its lines, which its size must allow."""
-    kind = "path string, line_no bigint, line string"
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, text in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                rows = text.decode("utf-8", "replace").splitlines()
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.string())], names=["path", "line_no", "line"])
+    """``path, line_no, line`` of text files, which are read in splits, however large they are.
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(split, kind)
+    ``line_no`` rises with the lines of a file but leaves numbers out: it is where the split begins, in bytes, and how
+    many lines the task has read before. A line takes a byte or more, so no two lines of a file share one.
+    """
+    before = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), (F.col("_metadata.file_block_start") + before).alias("line_no"), F.col("value").alias("line"))
 
 
 def _tokens(line: Column) -> Column:
@@ -53,9 +47,16 @@ def read_trials(spark: SparkSession, path: str) -> DataFrame:
     return t.select(F.get("tokens", F.lit(0)).alias("enroll"), F.get("tokens", F.lit(1)).alias("test"), F.get("tokens", F.lit(2)).alias("label"))
 
 
-def read_turns(spark: SparkSession, path: str, least_fields: int = 8) -> DataFrame:
-    """``utt, channel, begin, dur, spk, line_no`` of RTTM files; other kinds of lines, comments and short lines are left out."""
-    t = read_ragged(spark, path).where((F.get("tokens", F.lit(0)) == "SPEAKER") & (F.size("tokens") >= least_fields))
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """``key, emb`` of lines of a key and numbers; of a key's lines the last counts. What is no number becomes null."""
+    t = read_ragged(spark, path).select(F.get("tokens", F.lit(0)).alias("key"), F.transform(F.slice("tokens", 2, 2**30), lambda x: x.try_cast("float")).alias("value"), "line_no")
+    return last_of_key(t).withColumnRenamed("value", "emb")
+
+
+def read_turns(spark: SparkSession, path: str, least_fields: int = 8, any_kind: bool = False) -> DataFrame:
+    """``utt, channel, begin, dur, spk, line_no`` of RTTM files; comments, short lines and, unless asked for, other kinds of lines are left out."""
+    kind = F.get("tokens", F.lit(0))
+    t = read_ragged(spark, path).where((~kind.startswith("#") if any_kind else kind == "SPEAKER") & (F.size("tokens") >= least_fields))
     at = lambda i: F.get("tokens", F.lit(i))
     return t.select(at(1).alias("utt"), at(2).try_cast("int").alias("channel"), at(3).try_cast("double").alias("begin"), at(4).try_cast("double").alias("dur"), at(7).alias("spk"), "line_no").dropna(subset=["begin", "dur"])
 
