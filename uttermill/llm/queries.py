@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import secrets
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from uttermill.functions.storage import table, written
@@ -49,6 +49,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pieces(spark, sf_dir).where("piece_no = 0").select("utt", "cut_kind")
 
 
+def p1_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every cut utterance what its pieces span, and how many of them break a rule: length, overlap, order."""
+    pieces = p1_pieces(spark, sf_dir)
+    w = Window.partitionBy("utt").orderBy("piece_no")
+    faults = (F.col("end_ms") - F.col("begin_ms") > 30_000) | (F.col("begin_ms") < 0) | (F.col("end_ms") <= F.col("begin_ms"))
+    faults = faults | F.coalesce((F.col("begin_ms") <= F.lag("begin_ms").over(w)) | (F.col("begin_ms") != F.lag("end_ms").over(w) - 500), F.lit(False))
+    # A piece that is cut by force stands in an utterance of which that is said.
+    faults = faults | ((F.col("cut") == "forced") & (F.col("cut_kind") == "pause"))
+    rows = pieces.select("utt", "begin_ms", "end_ms", "length_ms", faults.alias("fault"))
+    return rows.groupBy("utt", "length_ms").agg(F.min("begin_ms").alias("begin_ms"), F.max("end_ms").alias("end_ms"), F.count_if("fault").alias("n_faults"))
+
+
 # ---------------------------------------------------------------- 4: splits
 
 
@@ -117,8 +129,6 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _everything():
-    from pyspark.sql import Window
-
     return Window.partitionBy(F.lit(1))
 
 
@@ -240,7 +250,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_pieces": p1_pieces,
+    "p1_found": p1_found, "p1_pieces": p1_pieces, "p1_cover": p1_cover,
     "p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares,
     "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p5_recall": p5_recall,
     "p6_found": p6_found, "p6_members": p6_members, "p6_clusters": p6_clusters,
@@ -251,8 +261,7 @@ QUERIES = {
 
 SQL: dict[str, str] = {}
 
-SQL["p1_found"] = """
-WITH stated AS (
+_LONG = """stated AS (
   SELECT utt, CAST(round(CASE WHEN d > 1000 THEN d ELSE d * 1000 END) AS BIGINT) AS ms
   FROM (SELECT utt, arg_max(dur, loaded_at) AS d FROM utt2dur WHERE isfinite(dur) AND dur > 0 GROUP BY utt)
 ), cut AS (
@@ -261,8 +270,10 @@ WITH stated AS (
         WHERE removed_at IS NULL AND reco IS NOT NULL AND isfinite(begin_sec) AND isfinite(end_sec))
   WHERE b >= 0 AND e > b GROUP BY seg
 ), long AS (
-  SELECT coalesce(s.utt, c.seg) AS utt FROM stated s FULL JOIN cut c ON s.utt = c.seg WHERE coalesce(s.ms, c.ms) > 30000
-), spoken AS (SELECT utt, max(vad) AS vad FROM raw_list WHERE vad IS NOT NULL GROUP BY utt),
+  SELECT coalesce(s.utt, c.seg) AS utt, coalesce(s.ms, c.ms) AS length_ms FROM stated s FULL JOIN cut c ON s.utt = c.seg WHERE coalesce(s.ms, c.ms) > 30000
+)"""
+SQL["p1_found"] = f"""
+WITH {_LONG}, spoken AS (SELECT utt, max(vad) AS vad FROM raw_list WHERE vad IS NOT NULL GROUP BY utt),
 spans AS (
   SELECT utt, CAST(round(CAST(s[1] AS DECIMAL(20, 6)) * 1000) AS BIGINT) AS b, CAST(round(CAST(s[2] AS DECIMAL(20, 6)) * 1000) AS BIGINT) AS e
   FROM (SELECT utt, unnest(vad) AS s FROM spoken)
@@ -275,3 +286,23 @@ longest AS (SELECT utt, max(n) AS n FROM (SELECT utt, k, max(e) - min(b) AS n FR
 SELECT long.utt, CASE WHEN spoken.utt IS NOT NULL AND coalesce(longest.n, 0) <= 30000 THEN 'pause' ELSE 'forced' END AS cut_kind
 FROM long LEFT JOIN spoken USING (utt) LEFT JOIN longest USING (utt)
 """
+
+SQL["p1_cover"] = f"WITH {_LONG} SELECT utt, length_ms, CAST(0 AS BIGINT) AS begin_ms, length_ms AS end_ms, CAST(0 AS BIGINT) AS n_faults FROM long"
+
+_FILED = r"""filed AS (SELECT utt, CASE WHEN spk <> 'unk' THEN spk END AS spk FROM (SELECT utt, spk FROM utt2spk UNION ALL SELECT unnest(utts), spk FROM spk2utt)),
+named AS (SELECT DISTINCT spk, regexp_replace(regexp_replace(lower(trim(spk)), '^(sp\d+(\.\d+)?[-_])+', ''), '([-_]copy[-_]?\d+)+$', '') AS bare FROM filed WHERE spk IS NOT NULL),
+member AS (SELECT spk, 's:' || CASE WHEN regexp_matches(bare, '^([a-z]+)[-_ ]?0*(\d+)$') THEN regexp_extract(bare, '^([a-z]+)[-_ ]?0*(\d+)$', 1) || '#' || regexp_extract(bare, '^([a-z]+)[-_ ]?0*(\d+)$', 2) ELSE bare END AS entity FROM named
+  UNION SELECT spk, 'r:' || regexp_replace(utt, '-\d{8}-\d{8}$', '') FROM filed WHERE spk IS NOT NULL AND utt IS NOT NULL),
+tie AS (SELECT DISTINCT a.spk AS a, b.spk AS b FROM member a JOIN member b USING (entity)),
+reach AS (SELECT a, b FROM tie UNION SELECT r.a, t.b FROM reach r JOIN tie t ON t.a = r.b)"""
+SQL["p4_found"] = f"WITH RECURSIVE {_FILED} SELECT min(b) AS first_spk, a AS spk FROM reach GROUP BY a HAVING min(b) <> a"
+
+_VOICES = """x AS (SELECT utt_name AS u, arg_max(emb, loaded_at) AS e FROM utt_embeddings
+  WHERE len(emb) = 128 AND len(list_filter(emb, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(emb, lambda x: x <> 0)) > 0 GROUP BY utt_name),
+n AS (SELECT u, list_transform(e, lambda x: CAST(x AS DOUBLE)) AS e FROM x),
+l AS (SELECT u, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM n),
+c AS (SELECT a.u AS a, b.u AS b, list_dot_product(a.e, b.e) AS cosine FROM l a JOIN l b ON a.u <> b.u)"""
+SQL["p5_found"] = f"""WITH {_VOICES}, r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(cosine, 5) DESC, b) AS k FROM c)
+SELECT DISTINCT least(a, b) AS utt_a, greatest(a, b) AS utt_b FROM r WHERE k <= 10 AND cosine >= 0.9"""
+SQL["p6_found"] = f"""WITH RECURSIVE {_VOICES}, tie AS (SELECT a, b FROM c WHERE cosine >= 0.63), reach AS (SELECT a, b FROM tie UNION SELECT r.a, t.b FROM reach r JOIN tie t ON t.a = r.b)
+SELECT min(b) AS first_utt, a AS utt_name FROM reach GROUP BY a HAVING min(b) < a"""
