@@ -90,7 +90,8 @@ def tied_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``node, component``: speakers tied to another one, with the smallest of their group."""
     filed = _filed(spark, sf_dir).where("spk is not null")
     by_recording = filed.where("utt is not null").select(F.col("spk").alias("node"), F.concat(F.lit("r:"), recording_of(F.col("utt"))).alias("entity")).distinct()
-    by_name = filed.select(F.col("spk").alias("node")).distinct().select("node", F.concat(F.lit("s:"), speaker_key(F.col("node"))).alias("entity"))
+    # As an aggregate, so that no test of the key is pushed down to every row.
+    by_name = filed.groupBy("spk").agg(F.min("spk").alias("node")).select("node", F.concat(F.lit("s:"), speaker_key(F.col("node"))).alias("entity"))
     return connected_components(star_edges(by_recording.unionAll(by_name)))
 
 
