@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from uttermill.functions import vectors as V
 from uttermill.functions.running import running_sums
+from uttermill.operators import products
 from uttermill.operators import verify as O
 
 
@@ -75,3 +76,40 @@ def test_registry_keeps_the_first_and_refuses_zero(spark):
     people = spark.createDataFrame([("x", [1.0, 0.0], 2), ("x", [0.0, 1.0], 1), ("y", [0.0, 1.0], 3)], "name string, emb array<double>, ordinal int")
     q = spark.createDataFrame([(1, [0.0, 2.0]), (2, [0.0, -1.0])], "utt int, emb array<double>")
     assert {(r["utt"], r["name"], r["score"]) for r in O.best_enrolled(q, people).collect()} == {(1, "x", 1.0), (2, "", 0.0)}
+
+
+def test_error_rate_without_the_whole_curve(spark):
+    """The same as from the curve, also where many trials share the score in which the rates cross."""
+    rng = random.Random(8)
+    for digits in (0, 1, 3):
+        rows = [(f"e{i}", f"t{i % 7}", round(rng.gauss(1.0 if i % 3 == 0 else 0.0, 1.0), digits), "target" if i % 3 == 0 else "nontarget") for i in range(500)] + [("x", "y", None, "target")]
+        df = spark.createDataFrame(rows, "enroll string, test string, score double, label string")
+        want, got = O.equal_error_rate(O.detection_curve(df)).first(), O.equal_error_rate_of_scores(df).first()
+        assert got["eer"] == pytest.approx(want["eer"]) and got["threshold"] == want["threshold"]
+
+
+def test_products_in_many_blocks_equal_one(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    q = spark.createDataFrame([(f"q{i}", x.tolist()) for i, x in enumerate(rng.standard_normal((80, 6)))] + [("null", None), ("zero", [0.0] * 6)], "utt string, emb array<double>")
+    c = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.standard_normal((50, 6)))] + [(50 + i, [1.0, 2.0, 3.0, 0.0, 0.0, 0.0]) for i in range(5)], "id bigint, emb array<double>")
+    results = []
+    for rows in (8_192, 7):
+        monkeypatch.setattr(products, "BLOCK_ROWS", rows)
+        monkeypatch.setattr(products, "STREAM_ROWS", 1_000_000 if rows > 7 else 30)
+        top = {r["utt"]: [(round(t["fall"], 9), t["id"]) for t in r["top"]] for r in products.top_products(q, "utt", "emb", c, "id", "emb", 4).collect()}
+        every = {r["utt"]: (r["n"], round(r["mean"], 9), round(r["deviation"], 9)) for r in products.all_products(q, "utt", "emb", c, "id", "emb").collect()}
+        results.append((top, every))
+    assert results[0] == results[1] and len(results[0][0]) == 81
+    x, y = (np.array([r["emb"] for r in df.where("emb is not null").orderBy(k).collect()]) for df, k in ((q, "utt"), (c, "id")))
+    s = products.unit(x) @ products.unit(y).T
+    names = [r["utt"] for r in q.where("emb is not null").orderBy("utt").collect()]
+    for name, row in zip(names, s):
+        assert results[0][1][name] == (55, pytest.approx(row.mean(), abs=1e-8), pytest.approx(row.std(), abs=1e-8))
+        assert [i for _, i in results[0][0][name]] == sorted(range(55), key=lambda i: (-round(row[i], 12), i))[:4]
+    assert products.top_products(q, "utt", "emb", c.limit(0), "id", "emb", 4).count() == 0
+
+
+def test_means_leave_out_missing_elements(spark):
+    rows = [("a", [1.0, None, 3.0]), ("a", [3.0, 4.0, 5.0]), (None, [1.0, 1.0, 1.0]), ("b", None), ("c", []), ("d", [2.0])]
+    df = spark.createDataFrame(rows, "k string, v array<double>")
+    assert {r["k"]: (r["mean"], r["n"]) for r in O.mean_vector(df, "v", "k").collect()} == {"a": ([2.0, 4.0, 4.0], 2), None: ([1.0, 1.0, 1.0], 1), "d": ([2.0], 1)}

@@ -23,7 +23,7 @@ from uttermill.functions.storage import drop_written, written
 
 
 #: Groups in which the partial sums of tasks are added up before they meet in one.
-TREE_WIDTH = 64
+TREE_WIDTH = 8
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from uttermill.functions import vectors as V
 from uttermill.functions.times import time_block
+from uttermill.operators.verify import mean_vector
 
 
 def subsegments(segments: DataFrame, window: int = 150, period: int = 75, shift_ms: int = 10) -> DataFrame:
@@ -126,10 +127,7 @@ def most_overlapping(pieces: DataFrame, turns: DataFrame, key: str, piece_id: st
 
 def centroids(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """Mean vector per group, scaled to length 1: ``keys, centroid, n``."""
-    flat = rows.where(F.col(vector).isNotNull()).select(*keys, F.posexplode(vector).alias("pos", "x"))
-    per = flat.groupBy(*keys, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count("x").alias("n"))
-    out = per.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("m"), F.max("n").alias("n"))
-    return out.select(*keys, V.length_normalized(F.col("m")).alias("centroid"), "n")
+    return mean_vector(rows, vector, keys).select(*keys, V.length_normalized(F.col("mean")).alias("centroid"), "n")
 
 
 def overlap_candidates(rows: DataFrame, key: str, least: float = 0.55, margin: float = 0.35, digits: int = 6) -> DataFrame:

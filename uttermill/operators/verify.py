@@ -2,22 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from uttermill.functions import vectors as V
 from uttermill.functions.running import running_sums
 from uttermill.functions.storage import written
+from uttermill.operators.products import all_products, top_products
 
 
-def mean_vector(df: DataFrame, vector: str, by: str | None = None) -> DataFrame:
+def mean_vector(df: DataFrame, vector: str, by: str | Sequence[str] | None = None) -> DataFrame:
     """Mean vector of all rows, or of each group: ``[by,] mean ARRAY<DOUBLE>, n``.
 
-    Averages per position, so a group of any size combines before it is shuffled.
+    Each batch of rows is summed where it is read, by position; missing elements do not count. What is shuffled are
+    sums of batches, not vectors.
     """
-    keys = [by] if by else []
-    flat = df.where(F.col(vector).isNotNull()).select(*keys, F.posexplode(vector).alias("pos", "x"))
-    per = flat.groupBy(*keys, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count("x").alias("n"))
+    keys = [] if by is None else [by] if isinstance(by, str) else list(by)
+    rows = df.where(F.col(vector).isNotNull()).select(*keys, F.col(vector).cast("array<double>").alias("__x"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = b.column("__x").value_lengths().to_numpy(zero_copy_only=False)
+            for d in np.unique(size[size > 0]):
+                part = b.filter(pa.array(size == d)) if (size != d).any() else b
+                x = part.column("__x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                code = np.zeros(part.num_rows, np.int64)
+                for k in keys:
+                    own = part.column(k).dictionary_encode(null_encoding="encode")
+                    code = code * (len(own.dictionary) + 1) + own.indices.to_numpy()
+                _, first, group = np.unique(code, return_index=True, return_inverse=True)
+                order = np.argsort(group, kind="stable")
+                cuts = np.searchsorted(group[order], np.arange(len(first)))
+                known = np.isfinite(x) | np.isinf(x)
+                total = np.add.reduceat(np.where(known, x, 0.0)[order], cuts, axis=0)
+                count = np.add.reduceat(known.astype(np.int64)[order], cuts, axis=0)
+                at = pa.array(first)
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(at) for k in keys), pa.array(list(total), pa.list_(pa.float64())), pa.array(list(count), pa.list_(pa.int64()))], names=[*keys, "s", "c"])
+
+    kinds = dict(df.dtypes)
+    partial = rows.mapInArrow(sums, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "s array<double>", "c array<bigint>"]))
+    flat = partial.select(*keys, F.posexplode(F.arrays_zip("s", "c")).alias("pos", "z"))
+    per = flat.groupBy(*keys, "pos").agg(F.sum("z.c").alias("n"), F.try_divide(F.sum("z.s"), F.sum("z.c")).alias("m"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"])
     return per.groupBy(*keys).agg(ordered.alias("mean"), F.max("n").alias("n"))
 
@@ -48,23 +77,19 @@ def missing_ids(trials: DataFrame, vectors: DataFrame) -> DataFrame:
 def cohort_statistics(vectors: DataFrame, cohort: DataFrame, top_n: int | None) -> DataFrame:
     """Mean and population deviation of each vector's ``top_n`` cosines with the cohort (all of them if None).
 
-    ``vectors`` has ``utt, emb``; ``cohort`` has ``emb`` and is small, as it holds a vector per speaker: it reaches the
-    rows as one array. Returns ``utt, magnitude, cohort_mean, cohort_std``.
+    ``vectors`` has ``utt, emb``; ``cohort`` has ``emb``, of any size: vectors meet it block by block, and of each block
+    only the best cosines leave. Returns ``utt, magnitude, cohort_mean, cohort_std``.
     """
-    unit = cohort.select(V.length_normalized(F.col("emb")).alias("c"))
-    held = unit.agg(F.collect_list("c").alias("cohort"))
-    # Dividing a product by the length costs less than a product with a scaled copy of the vector for each cohort member.
-    length = V.norm(F.col("emb"))
-    with_cohort = vectors.select("utt", "emb", F.when(length > 1e-10, length).otherwise(1.0).alias("length"), held.scalar().alias("cohort"))
-    scored = with_cohort.select(
-        "utt", V.norm(F.col("emb")).alias("magnitude"),
-        F.reverse(F.array_sort(F.transform("cohort", lambda c: F.round(V.dot(F.col("emb"), c) / F.col("length"), 12)))).alias("s"),
-    )
-    top = F.col("s") if top_n is None else F.slice("s", 1, top_n)
-    n = F.size("top").cast("double")
-    total = lambda f: F.aggregate(F.transform("top", f), F.lit(0.0), lambda s, x: s + x)
-    with_mean = scored.withColumn("top", top).withColumn("cohort_mean", total(lambda x: x) / n)
-    return with_mean.select("utt", "magnitude", "cohort_mean", F.sqrt(total(lambda x: (x - F.col("cohort_mean")) * (x - F.col("cohort_mean"))) / n).alias("cohort_std"))
+    others = cohort.select(F.monotonically_increasing_id().alias("id"), "emb")
+    if top_n is None:
+        stats = all_products(vectors, "utt", "emb", others, "id", "emb").select("utt", F.col("mean").alias("cohort_mean"), F.col("deviation").alias("cohort_std"))
+    else:
+        top = F.transform("top", lambda t: -t["fall"])
+        n = F.size("top").cast("double")
+        total = lambda f: F.aggregate(F.transform("x", f), F.lit(0.0), lambda s, x: s + x)
+        best = top_products(vectors, "utt", "emb", others, "id", "emb", top_n).select("utt", top.alias("x"), n.alias("n")).withColumn("cohort_mean", total(lambda x: x) / F.col("n"))
+        stats = best.select("utt", "cohort_mean", F.sqrt(total(lambda x: (x - F.col("cohort_mean")) * (x - F.col("cohort_mean"))) / F.col("n")).alias("cohort_std"))
+    return vectors.select("utt", V.norm(F.col("emb")).alias("magnitude")).join(stats, "utt")
 
 
 def normalized_scores(scores: DataFrame, stats: DataFrame) -> DataFrame:
@@ -112,6 +137,31 @@ def equal_error_rate(curve: DataFrame) -> DataFrame:
     return at.select((h["fnr"] + a * (lo["fnr"] - h["fnr"])).alias("eer"), h["score"].alias("threshold"))
 
 
+def equal_error_rate_of_scores(scores: DataFrame) -> DataFrame:
+    """What :func:`equal_error_rate` says of the curve of all trials, without sorting them all.
+
+    Trials are counted per score first, so running sums go over distinct scores. Within one score the rows go by
+    enrolment and test id; only the score in which the rates cross is looked at row by row.
+    """
+    known = scores.where(F.col("score").isNotNull()).select("score", "enroll", "test", (F.col("label") == "target").cast("bigint").alias("t"))
+    per = known.groupBy("score").agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("n"))
+    run = written(running_sums(per, ["score"], {"t_upto": F.col("t"), "n_upto": F.col("n")}), "rates")
+    fnr, fpr = F.col("t_upto") / F.col("t_upto_all"), 1 - (F.col("n_upto") - F.col("t_upto")) / (F.col("n_upto_all") - F.col("t_upto_all"))
+    # The rates only approach each other as the score rises, so the crossing lies in the first score at whose end it is passed.
+    passed = run.where(fnr - fpr >= 0).agg(F.min("score").alias("score"))
+    at = run.join(passed, "score").select(F.struct("score", (F.col("t_upto") - F.col("t")).alias("t0"), (F.col("n_upto") - F.col("n")).alias("n0"), F.col("t_upto_all").alias("ta"), F.col("n_upto_all").alias("na")).alias("at"))
+    rows = running_sums(known.withColumn("at", at.scalar()).where("score = at.score"), ["enroll", "test"], {"i": F.lit(1).cast("bigint"), "hits": F.col("t")})
+    n, t = F.col("at.n0") + F.col("i"), F.col("at.t0") + F.col("hits")
+    rate = lambda n, t: (t / F.col("at.ta"), 1 - (n - t) / (F.col("at.na") - F.col("at.ta")))
+    near = rows.select("score", "t", "at", n.alias("n"), t.alias("upto"))
+    hi = near.withColumns(dict(zip(("fnr", "fpr"), rate(F.col("n"), F.col("upto"))))).where("fnr - fpr >= 0")
+    first = hi.agg(F.min(F.struct("n", "upto", "t", "score", "fnr", "fpr", "at")).alias("h")).select("h.*")
+    low_fnr, low_fpr = rate(F.col("n") - 1, F.col("upto") - F.col("t"))
+    both = first.select("score", "fnr", "fpr", low_fnr.alias("l_fnr"), low_fpr.alias("l_fpr"))
+    a = (F.col("fnr") - F.col("fpr")) / ((F.col("l_fpr") - F.col("fpr")) - (F.col("l_fnr") - F.col("fnr")))
+    return both.select((F.col("fnr") + a * (F.col("l_fnr") - F.col("fnr"))).alias("eer"), F.col("score").alias("threshold"))
+
+
 def minimum_cost(curve: DataFrame, p_target: float, c_miss: float = 1.0, c_fa: float = 1.0) -> DataFrame:
     """``min_cost``: the smallest detection cost over all thresholds, against that of deciding blindly."""
     cost = c_miss * p_target * F.col("fnr") + c_fa * (1 - p_target) * F.col("fpr")
@@ -183,14 +233,12 @@ def detection_report(scores: DataFrame, prefix: int = 7) -> DataFrame:
 def best_enrolled(queries: DataFrame, registry: DataFrame) -> DataFrame:
     """The most similar enrolled name of each query: ``utt, name, score``.
 
-    ``queries`` has ``utt, emb``; ``registry`` has ``name, emb, ordinal`` and is as small as a list of enrolled people.
+    ``queries`` has ``utt, emb``; ``registry`` has ``name, emb, ordinal``, of any size: queries meet it block by block.
     The first registration of a name counts; the first enrolled wins ties; no score above 0 gives an empty name.
     """
-    first = registry.groupBy("name").agg(F.min(F.struct("ordinal", "emb")).alias("r"))
-    held = first.agg(F.array_sort(F.collect_list(F.struct(F.col("r.ordinal").alias("ordinal"), "name", F.col("r.emb").alias("emb")))).alias("people"))
-    scored = queries.select("utt", "emb", held.scalar().alias("people")).select(
-        "utt", F.transform("people", lambda p: F.struct(V.similarity(F.col("emb"), p["emb"]).alias("score"), p["name"].alias("name"))).alias("s")
-    )
-    start = F.struct(F.lit(0.0).alias("score"), F.lit("").alias("name"))
-    best = F.aggregate("s", start, lambda a, x: F.when(x["score"] > a["score"], x).otherwise(a))
-    return scored.select("utt", best.alias("b")).select("utt", "b.name", "b.score")
+    first = registry.groupBy("name").agg(F.min(F.struct("ordinal", "emb")).alias("r")).select("name", "r.ordinal", "r.emb")
+    best = top_products(queries, "utt", "emb", first, "ordinal", "emb", 1).select("utt", F.get("top", F.lit(0)).alias("t"))
+    scored = queries.select("utt").join(best, "utt", "left").select("utt", F.col("t.id").alias("ordinal"), ((1 - F.col("t.fall")) / 2).alias("score"))
+    named = scored.join(first.select("ordinal", "name"), "ordinal", "left")
+    good = F.col("score") > 0
+    return named.select("utt", F.when(good, F.col("name")).otherwise("").alias("name"), F.when(good, F.col("score")).otherwise(0.0).alias("score"))

@@ -88,7 +88,7 @@ def v_detection_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_equal_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.equal_error_rate(O.detection_curve(_scores(spark, sf_dir))).select(F.round("eer", 6).alias("eer"), "threshold")
+    return O.equal_error_rate_of_scores(_scores(spark, sf_dir)).select(F.round("eer", 6).alias("eer"), "threshold")
 
 
 def v_minimum_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
