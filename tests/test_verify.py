@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from uttermill.functions import vectors as V
-from uttermill.functions.running import running_sums
+from uttermill.functions.running import group_ranks, running_sums
 from uttermill.operators import products
 from uttermill.operators import verify as O
 
@@ -113,3 +113,15 @@ def test_means_leave_out_missing_elements(spark):
     rows = [("a", [1.0, None, 3.0]), ("a", [3.0, 4.0, 5.0]), (None, [1.0, 1.0, 1.0]), ("b", None), ("c", []), ("d", [2.0])]
     df = spark.createDataFrame(rows, "k string, v array<double>")
     assert {r["k"]: (r["mean"], r["n"]) for r in O.mean_vector(df, "v", "k").collect()} == {"a": ([2.0, 4.0, 4.0], 2), None: ([1.0, 1.0, 1.0], 1), "d": ([2.0], 1)}
+
+
+def test_ranks_within_groups_of_any_size(spark):
+    rng = random.Random(2)
+    rows = [("hot", i) for i in range(900)] + [(rng.choice("abc"), i) for i in range(200)] + [(None, i) for i in range(9)]
+    rng.shuffle(rows)
+    got = {(r["g"], r["x"]): (r["rank"], r["group_size"]) for r in group_ranks(spark.createDataFrame(rows, "g string, x int"), "g", ["x"]).collect()}
+    want = {}
+    for g in {g for g, _ in rows}:
+        own = sorted(x for h, x in rows if h == g)
+        want |= {(g, x): (i, len(own)) for i, x in enumerate(own)}
+    assert got == want

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from uttermill.functions.running import running_sums
+from uttermill.functions.running import group_ranks, running_sums
 
 
 def hashed_order(*cols: str, seed: int = 0) -> Column:
@@ -173,10 +173,9 @@ def shortest(rows: DataFrame, duration: str, key: str, n: int) -> DataFrame:
 
 def every_few(rows: DataFrame, group: str, member: str, n: int) -> DataFrame:
     """``n`` members of each group, evenly spread in order: every k-th, for the largest k with ``n * k`` not above the size."""
-    w = Window.partitionBy(group)
-    numbered = rows.select(group, member).distinct().withColumn("__i", F.row_number().over(w.orderBy(member)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
-    k = F.greatest(F.floor(F.col("__n") / n), F.lit(1))
-    return numbered.where((F.col("__i") % k == 0) & (F.col("__i") / k < n)).select(group, member)
+    numbered = group_ranks(rows.select(group, member).distinct(), group, [member])
+    k = F.greatest(F.floor(F.col("group_size") / n), F.lit(1))
+    return numbered.where((F.col("rank") % k == 0) & (F.col("rank") / k < n)).select(group, member)
 
 
 def groups_up_to(rows: DataFrame, group: str, n: int, seed: int = 0) -> DataFrame:
@@ -208,8 +207,7 @@ def calibration_trials(utts: DataFrame, n: int, short: tuple[float, float] = (2.
     if count < 2 or n < 2:
         return spark.createDataFrame([], "enroll string, test string, label string, kind string")
     pools = per.join(both, "spk", "left_semi")
-    w = Window.partitionBy("spk", "kind")
-    pools = pools.withColumn("i", F.row_number().over(w.orderBy("utt")) - 1).withColumn("size", F.count(F.lit(1)).over(w))
+    pools = group_ranks(pools.withColumn("of", F.concat_ws("|", "kind", "spk")), "of", ["utt"]).withColumnsRenamed({"rank": "i", "group_size": "size"}).drop("of")
     pick = lambda *x: hex_number(F.md5(F.concat_ws("|", F.lit(str(seed)), "draw", "combo", *map(F.lit, x)).cast("binary")))
     draws = spark.range(n // 2).withColumnRenamed("id", "draw").withColumn("combo", F.explode(F.array(*map(F.lit, ("short-short", "short-long", "long-long")))))
     draws = draws.withColumn("label", F.explode(F.array(F.lit("target"), F.lit("nontarget"))))

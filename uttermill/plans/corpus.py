@@ -39,6 +39,22 @@ def p2_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_report(p2_found(spark, sf_dir))
 
 
+def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Utterances whose pair of utterance and speaker no speaker lists, under two meanings of a missing speaker.
+
+    Composite keys with nulls: ``partial`` asks for any listing of the utterance where the speaker is unknown, ``full``
+    reports such a pair as incomplete.
+    """
+    lists = table(spark, sf_dir, "spk2utt").select(F.explode("utts").alias("l_utt"), F.col("spk").alias("l_spk"), F.lit(None).cast("timestamp").alias("listed_at"))
+    found = [
+        orphan_references(table(spark, sf_dir, "utt2spk"), lists, [("utt", "l_utt"), ("spk", "l_spk")], "utt", target_loaded_at="listed_at", target_removed_at=None, match=match).select(
+            F.lit(match).alias("match"), F.col("utt").alias("ref_key"), "reason", F.date_format("first_loaded_at", "yyyy-MM").alias("load_month")
+        )
+        for match in ("partial", "full")
+    ]
+    return found[0].unionAll(found[1])
+
+
 def usable_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of segments with a live, complete, forward interval: ``seg, reco, begin_ms, end_ms, loaded_at``."""
     rows = table(spark, sf_dir, "segments").where(
@@ -118,9 +134,16 @@ UNION ALL
 SELECT reco, 'gap' AS kind, CAST(b AS BIGINT) AS begin_ms, CAST(least(e, n) AS BIGINT) AS end_ms FROM edges WHERE least(e, n) - b >= 2000
 """
 
-QUERIES = {"p2_found": p2_found, "p2_orphans": p2_orphans, "p3_found": p3_found, "p3_coverage": p3_coverage}
+_PAIRS = """WITH o AS (SELECT utt, spk, min(loaded_at) AS first FROM utt2spk GROUP BY utt, spk), l AS (SELECT unnest(utts) AS utt, spk FROM spk2utt), p AS (SELECT DISTINCT utt, spk FROM l), k AS (SELECT DISTINCT utt FROM l),
+x AS (SELECT o.utt, o.spk, o.first, p.utt IS NOT NULL AS paired, k.utt IS NOT NULL AS listed FROM o LEFT JOIN p ON p.utt = o.utt AND p.spk = o.spk LEFT JOIN k ON k.utt = o.utt),
+r AS (SELECT 'partial' AS match, utt, first, CASE WHEN spk IS NULL THEN CASE WHEN NOT listed THEN 2 END WHEN NOT paired THEN 2 END AS rank FROM x
+  UNION ALL SELECT 'full', utt, first, CASE WHEN spk IS NULL THEN 1 WHEN NOT paired THEN 2 END FROM x)
+SELECT match, utt AS ref_key, CASE min(rank) WHEN 1 THEN 'incomplete' ELSE 'missing' END AS reason, strftime(min(first), '%Y-%m') AS load_month FROM r GROUP BY match, utt HAVING min(rank) IS NOT NULL"""
+
+QUERIES = {"p2_found": p2_found, "p2_orphans": p2_orphans, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_coverage": p3_coverage}
 SQL = {
     "p2_found": P2_SQL,
+    "p2_pairs": _PAIRS,
     "p2_orphans": f"SELECT ref_table, load_month, reason, count(*) AS n_keys FROM ({P2_SQL}) GROUP BY ALL",
     "p3_found": P3_SQL,
     "p3_coverage": f"""

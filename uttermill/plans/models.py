@@ -95,6 +95,12 @@ def m_combined_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.combined_utterances(u.join(all_durations(spark, sf_dir), "utt"), "spk", "utt", "dur", 5.0).select("spk", "new_utt", F.size("utts").alias("n"), F.round("dur", 3).alias("dur"))
 
 
+def m_combined_across(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Utterances joined to at least 12 s, of the same speaker first, then across speakers that have too little."""
+    u = table(spark, sf_dir, "raw_list").where("utt is not null and spk is not null").select("utt", "spk").distinct().join(all_durations(spark, sf_dir), "utt")
+    return C.combined_utterances(u, "spk", "utt", "dur", 12.0, across=True).select("spk", "new_utt", F.size("utts").alias("n"), F.round("dur", 3).alias("dur"))
+
+
 def m_speech_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speech by hysteresis over events: each user's values, scaled to 0..1, are the probabilities of successive steps."""
     from pyspark.sql import Window
