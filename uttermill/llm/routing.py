@@ -29,7 +29,7 @@ FLAT_PARTS = 256
 #: Most groups of parts, which bounds the models that a task holds: 33,024 weights for each.
 MOST_GROUPS = 256
 #: Most probable parts that each vector is sent to.
-LOOKUPS = 5
+LOOKUPS = 6
 #: Most probable groups whose parts are scored for a vector.
 GROUPS_SCORED = 8
 #: A part in which more rows than this are to be expected is compared in tiles of so many rows.
