@@ -14,7 +14,7 @@ from uttermill.functions.storage import shuffle_width
 from uttermill.llm.routing import Router, Tiles
 
 #: Tiles that one task handles, one after the other.
-TILES_PER_TASK = 8
+TILES_PER_TASK = 2
 #: Rows that are compared with a tile at once.
 CHUNK = 1_024
 
