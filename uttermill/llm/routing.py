@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Most vectors that one fit looks at, but for the scatter of a hashed sample.
 FIT_ROWS = 16_384
+#: Vectors for each part that a fit looks at, where that is less.
+FIT_PER_PART = 160
 #: Neighbours per vector in the graph that is cut.
 GRAPH_NEIGHBOURS = 10
 #: Vectors per part on average; the number of parts grows with the table.
@@ -279,7 +281,7 @@ def router_of(vectors: DataFrame, dims: int = 128, seed: int = 7, small: bool =
 
 
 def fitted(drawn: Callable[[float], DataFrame], rows: int, dims: int, small: bool = False) -> Router:
-    """Fit a router for so many rows from samples of about ``FIT_ROWS`` names for each model, each model in one task.
+    """Fit a router for so many rows from samples of about ``FIT_ROWS`` names for each model, or fewer if there are few parts, each model in one task.
 
     ``drawn`` gives the rows of a share of the names. Only fitted models come to the driver: at most ``MOST_GROUPS`` of
     at most ``FLAT_PARTS`` parts, 34 MB in all.
@@ -297,7 +299,7 @@ def fitted(drawn: Callable[[float], DataFrame], rows: int, dims: int, small: boo
 
         return run
 
-    first = Router.from_bytes(sample(FIT_ROWS).repartition(1).mapInArrow(fit(parts if groups == 1 else groups), "model binary").first()[0])
+    first = Router.from_bytes(sample(min(FIT_ROWS, FIT_PER_PART * parts)).repartition(1).mapInArrow(fit(parts if groups == 1 else groups), "model binary").first()[0])
     if groups == 1:
         return first
     each = min(FLAT_PARTS, math.ceil(parts / groups))
