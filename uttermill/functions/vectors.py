@@ -190,3 +190,10 @@ def fixed_chunks(a: Column, n: int) -> Column:
 def reported_percent(line: Column) -> Column:
     """The diarization error that a report line gives, in percent; null where it gives none."""
     return F.regexp_extract(line, r"(?i)OVERALL\s+SPEAKER\s+DIARIZATION\s+ERROR\s*=\s*([\d.]+)\s+percent", 1).try_cast("double")
+
+
+def zero_padded_steps(a: Column, n: int) -> Column:
+    """The array in steps of ``n``, the last filled up with zeros; an empty one has no steps."""
+    starts = F.when(F.size(a) > 0, F.sequence(F.lit(0), F.greatest(F.ceil(F.size(a) / n).cast("int") - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    part = lambda i: F.transform(F.slice(a, i * n + 1, F.lit(n)), _d)
+    return F.transform(starts, lambda i: F.concat(part(i), F.array_repeat(F.lit(0.0), n - F.size(part(i)))))

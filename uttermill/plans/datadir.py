@@ -138,6 +138,12 @@ def dd_model_of(spark, sf_dir):
     return _u2s(spark, sf_dir).select(F.regexp_replace("utt", r"-\d{8}-\d{8}$", "").alias("model"), "utt")
 
 
+def dd_enrolled_wavs(spark, sf_dir):
+    """Enrolled models, here speakers with their first three utterances, and the audio of each."""
+    w = O.every_few(table(spark, sf_dir, "raw_list").where("utt is not null and spk is not null").select("utt", "spk"), "spk", "utt", 3)
+    return w.join(_wavs(spark, sf_dir), "utt").select("spk", "utt", "wav")
+
+
 def dd_nested(spark, sf_dir):
     n = O.nested(_u2s(spark, sf_dir), "spk", "utt")
     return n.select("spk", F.size("members").alias("n"), F.get("members", F.lit(0)).alias("first_utt"), F.md5(F.array_join("members", " ").cast("binary")).alias("digest"))
@@ -346,6 +352,8 @@ SQL = {
     "dd_recording_segments": "SELECT DISTINCT reco, seg FROM segments WHERE removed_at IS NULL AND reco IN (SELECT wav_id FROM wav_scp WHERE removed_at IS NULL)",
     "dd_customer_region": "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "dd_model_of": rf"WITH {_U} SELECT regexp_replace(utt, '-\d{{8}}-\d{{8}}$', '') AS model, utt FROM u",
+    "dd_enrolled_wavs": f"""WITH {_W}, r AS (SELECT spk, utt, row_number() OVER (PARTITION BY spk ORDER BY utt) - 1 AS i, count(*) OVER (PARTITION BY spk) AS n FROM (SELECT DISTINCT utt, spk FROM raw_list WHERE utt IS NOT NULL AND spk IS NOT NULL))
+        SELECT spk, r.utt, wav FROM r JOIN w ON w.utt = r.utt WHERE i % greatest(n // 3, 1) = 0 AND i // greatest(n // 3, 1) < 3""",
     "dd_nested": f"WITH {_U} SELECT spk, CAST(count(*) AS INT) AS n, min(utt) AS first_utt, md5(string_agg(utt, ' ' ORDER BY utt)) AS digest FROM u WHERE spk IS NOT NULL GROUP BY spk",
     "dd_unnested": "SELECT unnest(utts) AS utt, spk FROM spk2utt",
     "dd_voiced_duration": f"SELECT reco, round(sum(end_sec - begin_sec), 3) AS dur FROM segments WHERE {_OK} GROUP BY reco",

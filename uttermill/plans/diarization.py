@@ -98,6 +98,13 @@ def _pieces(spark, sf_dir):
     return _turns(spark, sf_dir).join(e, F.col("seg") == F.col("utt_name")).select("reco", F.col("seg").alias("piece"), "begin", "end", "spk", "emb")
 
 
+def d_grouped_pieces(spark, sf_dir):
+    """The pieces of each recording that have embeddings, in order, as the lists that clustering reads."""
+    lists = _pieces(spark, sf_dir).groupBy("reco").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "piece", F.transform("emb", lambda x: x.cast("double")).alias("emb")))).alias("p"))
+    first = F.get("p", F.lit(0))
+    return lists.select("reco", F.size("p").alias("n"), F.md5(F.array_join(F.transform("p", lambda x: x["piece"]), " ").cast("binary")).alias("digest"), F.round(F.get(first["emb"], F.lit(0)), 6).alias("first_value"))
+
+
 def d_speaker_centroids(spark, sf_dir):
     c = O.centroids(_pieces(spark, sf_dir), ["reco", "spk"], "emb")
     return c.select("reco", "spk", "n", F.posexplode("centroid").alias("pos", "x")).select("reco", "spk", "n", "pos", F.round("x", 6).alias("x"))
@@ -212,6 +219,7 @@ SQL = {
     "d_segment_ids": f"WITH {_S} SELECT seg, format('{{}}-{{:08d}}-{{:08d}}', reco, b, e) AS written FROM s",
 }
 
+SQL["d_grouped_pieces"] = f"""WITH {_E} SELECT reco, CAST(count(*) AS INT) AS n, md5(string_agg(piece, ' ' ORDER BY b, e, piece)) AS digest, round(arg_min(emb[1], (b, e, piece)), 6) + 0.0 AS first_value FROM pc GROUP BY reco"""
 _MOST = SQL["d_most_overlapping"]
 SQL["d_most_overlapping_parent"] = _MOST.replace("SELECT reco, seg || '#' || f0 AS piece, b + f0 * 10 AS b, b + f1 * 10 AS e FROM w", "SELECT w.reco, w.seg || '#' || f0 AS piece, s.b, s.e FROM w JOIN s ON s.seg = w.seg AND s.reco = w.reco")
 SQL["d_sample_windows"] = f"""WITH {_S}, p AS (SELECT seg, b * 16 AS first, (e - b) * 16 AS n FROM s),

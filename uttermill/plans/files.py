@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from uttermill.functions import vectors as V
 from uttermill.functions.storage import new_folder, table
 from uttermill.operators.diar import rttm_line
 from uttermill.plans.datadir import _U, _u2s
@@ -157,6 +158,54 @@ def f_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.list_files(spark, path, "part-*", 2).select(F.regexp_extract("key", "name=([^/]*)/", 1).alias("name")).distinct()
 
 
+def f_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as a tree of arrays, a folder for each label; among them a file that is none."""
+    e = table(spark, sf_dir, "embeddings").select(F.concat_ws("/", F.concat(F.lit("l"), "label"), F.concat("vec_id", F.lit(".npy"))).alias("name"), sinks.array_file(F.col("embedding")).alias("content"))
+    path = new_folder(spark, "arrays")
+    broken = spark.createDataFrame([("l0/broken.npy", bytearray(b"no array"))], "name string, content binary")
+    sinks.write_files(e.unionAll(broken), "name", "content", path)
+    total = F.aggregate("emb", F.lit(0.0), lambda s, x: s + x)
+    return binary.read_arrays(spark, path).select("utt", F.size("emb").alias("n"), F.round(total, 5).alias("total"))
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two channels of samples from embeddings: the values and their negatives, in turn."""
+    x = F.flatten(F.transform("embedding", lambda v: F.array(F.round(v * 1000).cast("int"), (-F.round(v * 1000)).cast("int"))))
+    return table(spark, sf_dir, "embeddings").select(F.concat("vec_id", F.lit(".wav")).alias("name"), x.alias("samples"))
+
+
+def _energies(waves: DataFrame) -> DataFrame:
+    total = F.aggregate("samples", F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return waves.select(F.regexp_extract("path", r"([0-9]+)\.wav$", 1).cast("bigint").alias("vec_id"), "sample_rate", F.size("samples").alias("n"), total.alias("total"))
+
+
+def f_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second channel of wave files."""
+    path = new_folder(spark, "waves")
+    sinks.write_files(_samples(spark, sf_dir).withColumn("content", sinks.wave_file(F.col("samples"), 16_000, 2)), "name", "content", path)
+    return _energies(binary.read_waves(spark, path, 1))
+
+
+def f_pcm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first channel of files of bare samples."""
+    path = new_folder(spark, "pcm")
+    sinks.write_files(_samples(spark, sf_dir).withColumn("content", sinks.wave_file(F.col("samples"), 8_000, 2, header=False)), "name", "content", path)
+    return _energies(binary.read_pcm(spark, path, 8_000, 2, 0))
+
+
+def f_raw_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed utterances with their speech cut out and put together: 3,000 samples at 10 a second stand for the audio."""
+    r = table(spark, sf_dir, "raw_list").where("utt is not null").groupBy(F.col("utt").alias("key"), "spk").agg(F.max("wav").alias("wav"), F.max("vad").alias("vad"))
+    path = new_folder(spark, "cut")
+    sinks.write_json_list(r, path)
+    seconds = lambda p, i: F.get(p, F.lit(i)).try_cast("double")
+    spans = F.transform("vad", lambda p: F.struct(seconds(p, 0).alias("begin"), seconds(p, 1).alias("end")))
+    good = F.filter(spans, lambda p: (p["begin"] >= 0) & (p["end"] > p["begin"]))
+    heard = F.sequence(F.lit(0), F.lit(2_999))
+    rows = text.read_json_list(spark, path).select("key", "spk", F.when(F.col("vad").isNull(), heard).otherwise(V.cut_spans(heard, good, 10)).alias("x"))
+    return rows.select("key", "spk", F.size("x").alias("n"), F.aggregate("x", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"))
+
+
 _RTTM = f"{_T}, x AS (SELECT reco, spk, CAST(format('{{:.3f}}', b / 1000.0) AS DOUBLE) AS b3, CAST(format('{{:.3f}}', (e - b) / 1000.0) AS DOUBLE) AS d3, b, e FROM t)"
 
 SQL = {
@@ -180,6 +229,15 @@ SQL = {
     "f_meeting": f"WITH {_T} SELECT spk AS speaker_id, b / 1000.0 AS start_time, e / 1000.0 AS end_time FROM t",
     "f_text_grid": """SELECT reco AS tier, CAST(format('{:.3f}', begin_sec) AS DOUBLE) AS xmin, CAST(format('{:.3f}', end_sec) AS DOUBLE) AS xmax, seg AS text FROM segments
       WHERE isfinite(begin_sec) AND isfinite(end_sec) AND reco IS NOT NULL AND seg NOT LIKE '%0' AND CAST(format('{:.3f}', end_sec) AS DOUBLE) > CAST(format('{:.3f}', begin_sec) AS DOUBLE)""",
+    "f_arrays": "SELECT 'l' || label || '/' || vec_id AS utt, CAST(len(embedding) AS INT) AS n, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) + 0.0 AS total FROM embeddings",
+    "f_waves": "SELECT vec_id, CAST(16000 AS INT) AS sample_rate, CAST(len(embedding) AS INT) AS n, CAST(-list_sum(list_transform(embedding, lambda x: CAST(round(x * 1000) AS BIGINT))) AS BIGINT) AS total FROM embeddings",
+    "f_pcm": "SELECT vec_id, CAST(8000 AS INT) AS sample_rate, CAST(len(embedding) AS INT) AS n, CAST(list_sum(list_transform(embedding, lambda x: CAST(round(x * 1000) AS BIGINT))) AS BIGINT) AS total FROM embeddings",
+    "f_raw_cut": """WITH r AS (SELECT utt AS key, spk, max(vad) AS vad FROM raw_list WHERE utt IS NOT NULL AND spk IS NOT NULL GROUP BY utt, spk),
+      s AS (SELECT key, spk, try_cast(p[1] AS DOUBLE) AS b, try_cast(p[2] AS DOUBLE) AS e FROM (SELECT key, spk, unnest(vad) AS p FROM r)),
+      c AS (SELECT key, spk, least(CAST(floor(b * 10) AS BIGINT), 3000) AS i, least(CAST(floor(e * 10) AS BIGINT), 3000) AS j FROM s WHERE b >= 0 AND e > b),
+      t AS (SELECT key, spk, sum(j - i) AS n, sum((j - i) * (i + j - 1) // 2) AS total FROM c GROUP BY ALL)
+      SELECT r.key, r.spk, CAST(CASE WHEN vad IS NULL THEN 3000 ELSE coalesce(n, 0) END AS INT) AS n, CAST(CASE WHEN vad IS NULL THEN 4498500 ELSE coalesce(total, 0) END AS BIGINT) AS total
+      FROM r LEFT JOIN t ON t.key = r.key AND t.spk = r.spk""",
     "f_files": f"WITH {_T} SELECT DISTINCT replace(reco, '/', '_') AS name FROM t",
 }
 

@@ -135,6 +135,12 @@ def s_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("utt", "chunk_no", F.size("x").alias("n"), F.round(V.dot(F.col("x"), F.col("x")), 6).alias("energy"))
 
 
+def s_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector in the steps of 24 samples that a speech detector reads, the last filled up with zeros."""
+    v = _vectors(spark, sf_dir).select("utt", F.posexplode(V.zero_padded_steps(F.col("emb"), 24)).alias("step", "x"))
+    return v.select("utt", "step", F.size("x").alias("n"), F.round(V.dot(F.col("x"), F.col("x")), 6).alias("energy"))
+
+
 def s_chunk_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean of each vector's chunks."""
     v = _vectors(spark, sf_dir).select("utt", F.explode(V.fixed_chunks(F.col("emb"), 20)).alias("x"))
@@ -186,6 +192,8 @@ SQL = {
       round(CASE WHEN s < 20 THEN 0.0 WHEN s >= 80 THEN 0.2 ELSE 0.2 * (1 - exp((s - 20) / 60.0 * ln(1e-3 / (1 + 1e-6)))) END, 8) AS margin FROM (SELECT unnest(range(0, 101, 2)) AS s)""",
     "s_chunks": f"""WITH {_V}, c AS (SELECT utt, unnest([emb[1:20], emb[21:40], emb[41:60], list_concat(emb[61:64], emb[1:16])]) AS x, unnest(range(4)) AS chunk_no FROM v)
       SELECT utt, CAST(chunk_no AS INT) AS chunk_no, CAST(len(x) AS INT) AS n, round(list_dot_product(x, x), 6) AS energy FROM c""",
+    "s_steps": f"""WITH {_V}, c AS (SELECT utt, unnest([emb[1:24], emb[25:48], list_concat(emb[49:64], [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0])]) AS x, unnest(range(3)) AS step FROM v)
+      SELECT utt, CAST(step AS INT) AS step, CAST(len(x) AS INT) AS n, round(list_dot_product(x, x), 6) AS energy FROM c""",
     "s_chunk_mean": f"""WITH {_V}, c AS (SELECT utt, [emb[1:20], emb[21:40], emb[41:60], list_concat(emb[61:64], emb[1:16])] AS x FROM v),
       m AS (SELECT utt, list_transform(range(1, 21), lambda i: (x[1][i] + x[2][i] + x[3][i] + x[4][i]) / 4) AS m FROM c) SELECT utt, CAST(4 AS BIGINT) AS n, round(list_dot_product(m, m), 6) AS energy FROM m""",
     "s_report_numbers": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(format('{:.2f}', p_retailprice) AS DOUBLE) END AS percent FROM part",

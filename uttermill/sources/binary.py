@@ -98,6 +98,20 @@ def read_waves(spark: SparkSession, path: str, channel: int = 0) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(load, "path string, sample_rate int, samples array<short>")
 
 
+def read_pcm(spark: SparkSession, path: str, rate: int, channels: int = 1, channel: int = 0) -> DataFrame:
+    """``path, sample_rate, samples`` of one channel of files of bare 16-bit samples, whose rate must be known."""
+    if not 0 <= channel < channels:
+        raise ValueError(f"channel {channel} of {channels} is not there")
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            width = 2 * channels
+            rows = [np.frombuffer(c[: len(c) // width * width], "<i2").reshape(-1, channels)[:, channel] for c in b.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([rate] * len(rows), pa.int32()), pa.array(rows, pa.list_(pa.int16()))], names=["path", "sample_rate", "samples"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(load, "path string, sample_rate int, samples array<short>")
+
+
 def _wave(content: bytes, channel: int) -> tuple[int, np.ndarray] | None:
     if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
         return None

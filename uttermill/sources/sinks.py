@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import io
 import os
+import struct
 import tarfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,21 +91,61 @@ def shards(rows: DataFrame, rows_per_shard: int = 1_000, seed: int = 0) -> DataF
     return whole.mapInArrow(build, "shard int, content binary")
 
 
-def write_shards(made: DataFrame, path: str) -> None:
-    """Shards as files ``shard_<number>.tar`` in a folder that all executors share, each written by the task that has it."""
-    hadoop_path = path.split(":", 1)[1].replace("//", "/", 1) if path.startswith("file:") else path
-    if ":" in hadoop_path.split("/", 1)[0]:
-        raise ValueError("shards are written as plain files; give a mounted folder")
+def write_files(made: DataFrame, name: str, content: str, path: str) -> None:
+    """Files of bytes in a folder that all executors share, each written by the task that has it. Names may hold folders."""
+    root = path.split(":", 1)[1].replace("//", "/", 1) if path.startswith("file:") else path
+    if ":" in root.split("/", 1)[0]:
+        raise ValueError("files are written as plain ones; give a mounted folder")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(hadoop_path, exist_ok=True)
         for b in batches:
-            for shard, content in zip(b.column("shard").to_pylist(), b.column("content").to_pylist()):
+            for where, data in zip(b.column("name").to_pylist(), b.column("content").to_pylist()):
+                to = os.path.join(root, where)
+                os.makedirs(os.path.dirname(to), exist_ok=True)
                 # Under another name first, so that a task that is lost or runs twice leaves whole files only.
-                part = f"{hadoop_path}/.shard_{shard:06d}.{uuid.uuid4().hex}"
+                part = os.path.join(os.path.dirname(to), f".{uuid.uuid4().hex}")
                 with open(part, "wb") as f:
-                    f.write(content)
-                os.replace(part, f"{hadoop_path}/shard_{shard:06d}.tar")
-            yield pa.RecordBatch.from_arrays([b.column("shard")], names=["shard"])
+                    f.write(data)
+                os.replace(part, to)
+            yield pa.RecordBatch.from_arrays([b.column("name")], names=["name"])
+
+    rows = made.select(F.col(name).cast("string").alias("name"), F.col(content).alias("content")).dropna()
+    rows.mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
+
+
+def write_shards(made: DataFrame, path: str) -> None:
+    """Shards as files ``shard_<number>.tar``."""
+    write_files(made.select(F.format_string("shard_%06d.tar", "shard").alias("name"), "content"), "name", "content", path)
+
+
+def array_file(x: Column) -> Column:
+    """A vector as the bytes of an ``.npy`` file."""
+
+    @F.pandas_udf("binary")
+    def save(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for vectors in batches:
+            out = []
+            for v in vectors:
+                held = io.BytesIO()
+                np.save(held, np.asarray(v, np.float32))
+                out.append(held.getvalue())
+            yield pd.Series(out)
+
+    return save(x)
+
+
+def wave_file(samples: Column, rate: int, channels: int = 1, header: bool = True) -> Column:
+    """Samples, of all channels in turn, as the bytes of a 16-bit wave file, or as the bare samples."""
+
+    @F.pandas_udf("binary")
+    def save(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for vectors in batches:
+            out = []
+            for v in vectors:
+                data = np.asarray(v, "<i2").tobytes()
+                kind = struct.pack("<HHIIHH", 1, channels, rate, rate * 2 * channels, 2 * channels, 16)
+                body = b"WAVE" + b"fmt " + struct.pack("<I", 16) + kind + b"data" + struct.pack("<I", len(data)) + data
+                out.append(b"RIFF" + struct.pack("<I", len(body)) + body if header else data)
+            yield pd.Series(out)
 
-    made.mapInArrow(write, "shard int").write.format("noop").mode("overwrite").save()
+    return save(samples)
