@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Documents of one cell, the part of a source that one task puts in order.
 CELL_DOCS = 1_000_000
+#: Classes of sizes from one power of 2 to the next.
+CLASSES_PER_DOUBLING = 8
 
 
 @dataclass(frozen=True)
@@ -64,10 +66,10 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     ``source, target_share, max_repeats``, a row per source, and is small. The copies are ``doc_id, source, copy_no,
     n_tokens``.
 
-    A source's documents lie in the order of a hash of their ids; the running sum of their expected copies, shifted by
-    one random offset per source, gives a copy at each integer that it crosses, so every document has its expected
-    copies and a source's tokens miss its quota by chance only. The running sum is built from counts per cell of the
-    hash, so no source, however large, is sorted in one task. No text comes out more than ``max_repeats`` times. Null sources take no part, null sizes count 0,
+    A source's documents lie in the order of their size classes, and within one in that of cells of a hash; the running
+    sum of their expected copies, shifted by one random offset per source, gives a copy at each integer that it crosses.
+    So every document has its expected copies, and as every size gets its part, a source's tokens come near its quota.
+    The running sum is built from counts per cell, so no source, however large, is sorted in one task. No text comes out more than ``max_repeats`` times. Null sources take no part, null sizes count 0,
     repeated targets of one source count once (the largest share, the smallest repeats), repeated documents are drawn
     each on their own, and an empty table on either side gives no rows.
     """
@@ -85,12 +87,14 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     spark = docs.sparkSession
     rates = spark.createDataFrame([(s, q.copies, q.max_repeats) for s, q in plan.items()], "source string, rate double, most int")
     spot = F.xxhash64("doc_id", F.lit(seed))
-    placed = rows.select("doc_id", "source", "n_tokens", spot.alias("spot"), F.pmod(spot, F.lit(cells)).cast("int").alias("cell")).join(F.broadcast(rates), "source")
-    counts = placed.groupBy("source", "cell").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("source").orderBy("cell")
-    before = counts.select("source", "cell", (F.sum("n").over(order) - F.col("n")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("source", "cell").orderBy("spot", "doc_id", "n_tokens"))
-    ranked = placed.withColumn("rank", rank).join(before, ["source", "cell"]).withColumn("at", F.col("before") + F.col("rank"))
+    size_class = F.floor(F.log2(F.greatest("n_tokens", F.lit(0)) + 1) * CLASSES_PER_DOUBLING).cast("int")
+    placed = rows.select("doc_id", "source", "n_tokens", spot.alias("spot"), size_class.alias("size_class"), F.pmod(spot, F.lit(cells)).cast("int").alias("cell")).join(F.broadcast(rates), "source")
+    place = ["source", "size_class", "cell"]
+    counts = placed.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("source").orderBy("size_class", "cell")  # a row per cell
+    before = counts.select(*place, (F.sum("n").over(order) - F.col("n")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy(*place).orderBy("n_tokens", "spot", "doc_id"))
+    ranked = placed.withColumn("rank", rank).join(before, place).withColumn("at", F.col("before") + F.col("rank"))
 
     starts = spark.createDataFrame([(s, random.Random(f"{seed}|{s}").random()) for s in plan], "source string, offset double")  # a row per source
     # The same expression at both ends of a document's step: no boundary is lost or met twice.
