@@ -244,3 +244,38 @@ def test_small_tiles_give_the_same_clusters(spark, monkeypatch):
         router = routing.Router(routing.Linear(weights, np.zeros(3, np.float32)), expected=np.full(3, 72.0))
         members, _ = clusters.cluster(vectors, router)
         assert {r["name"]: r["first"] for r in members.collect()} == {n: f"{n[:3]}-0-0" for n, _, _ in rows}
+
+
+@pytest.mark.parametrize("tile_rows", [16_384, 150])
+def test_many_copies_of_one_vector(spark, monkeypatch, tile_rows):
+    """A third of the rows are copies, among others that are twofold: the same neighbours and clusters as by brute force."""
+    monkeypatch.setattr(routing, "TILE_ROWS", tile_rows)
+    x, _ = _voices(400, 40, seed=9)
+    x = np.concatenate([x, np.repeat(x[:1], 220, 0), x[10:30]])
+    names = [f"u{i:03}" for i in np.random.default_rng(1).permutation(len(x))]
+    df = _table(spark, [(n, v.tolist(), T0) for n, v in zip(names, x)])
+    router = routing.Router(ONE_PART, expected=np.array([640.0]))
+    vectors = routing.unit_vectors(df, "utt", "emb", "loaded_at")
+    y = routing.unpacked(routing.packed(x))
+    s = np.round(np.minimum((y @ y.T).astype(np.float64), 1.0), 5)
+    got = {}
+    for r in neighbours.nearest(vectors, router, k=5).collect():
+        got.setdefault(r["name"], {})[r["place"]] = r["other"]
+    wrong = 0
+    for i, n in enumerate(names):
+        order = sorted((j for j in range(len(x)) if j != i), key=lambda j: (-s[i, j], names[j]))[:5]
+        wrong += [got[n][p + 1] for p in range(5)] != [names[j] for j in order]
+    assert wrong <= 3  # sums of another order may round otherwise
+    pairs = {(r["name"], r["other"]) for r in neighbours.nearest(vectors, router, k=5, min_cosine=0.9).collect()}
+    assert all(s[names.index(a), names.index(b)] >= 0.9 for a, b in pairs) and {(a, b) for a, v in got.items() for b in v.values() if s[names.index(a), names.index(b)] >= 0.9005} <= pairs
+    z = routing.unpacked(routing.packed(x, small=True), small=True)
+    up = np.arange(len(x))
+    for i in range(len(x)):
+        near = np.flatnonzero(z[i] @ z.T >= 0.63)
+        for k in {up[j] for j in near}:
+            up[up == k] = min(up[near])
+    members, groups = clusters.cluster(_small(df), router)
+    first = {r["name"]: r["first"] for r in members.collect()}
+    want = {k: min(names[i] for i in np.flatnonzero(up == k)) for k in set(up)}
+    assert sum(first[names[i]] == want[up[i]] for i in range(len(x))) >= 0.99 * len(x)
+    assert sum(r["size"] for r in groups.collect()) == len(x)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from uttermill.functions.storage import drop_written, shuffle_width, written
 from uttermill.llm.routing import Router, router_of, unpacked
-from uttermill.llm.tiles import CHUNK, counts_here, part_of_tile, parts_of, routed, sides_of, solved
+from uttermill.llm.tiles import CHUNK, Copies, counts_here, part_of_tile, parts_of, routed, sides_of, solved
 
 #: Most probable parts in which each vector meets others, and in which those that found no denser one meet again.
 LOOKUPS, PEAK_LOOKUPS = 3, 10
@@ -58,16 +58,20 @@ def _count(least: float, part_at: np.ndarray):
     """Neighbours of each row within a tile, of pairs that share several parts in one of them only."""
 
     def solve(tile: int, t: pa.Table) -> Iterator[pa.RecordBatch]:
-        x, parts = _unpacked(t.column("vec")), parts_of(t)
+        copies = Copies(t.column("vec"), t.column("side").to_numpy())
+        first = pa.array(copies.first)
+        x, parts, side = _unpacked(t.column("vec").take(first)), parts_of(t)[copies.first], t.column("side").to_numpy()[copies.first]
         n = np.zeros(len(x), np.int64)
-        for own, other in sides_of(t.column("side").to_numpy()):
+        for own, other in sides_of(side):
             base = np.ascontiguousarray(x[other].T)
             for i in range(0, len(own), CHUNK):
                 mine = own[i : i + CHUNK]
                 q, b = np.nonzero(x[mine] @ base >= least)
                 a, b = mine[q], other[b]
-                here = (a != b) & counts_here(int(part_at[tile]), parts[a], parts[b])
-                n += np.bincount(a[here], minlength=len(n))
+                here = counts_here(int(part_at[tile]), parts[a], parts[b])
+                # Of its own copies all but itself count.
+                n += np.bincount(a[here], copies.size[b[here]] - (a == b)[here], len(n)).astype(np.int64)
+        n = n[copies.of_row]
         some = np.flatnonzero(n)
         if len(some):
             yield pa.RecordBatch.from_arrays([t.column("name").take(pa.array(some)).combine_chunks(), pa.array(n[some])], names=["name", "n"])
@@ -83,13 +87,20 @@ def _link(least: float, part_at: np.ndarray):
     """
 
     def solve(tile: int, t: pa.Table) -> Iterator[pa.RecordBatch]:
-        names, dense, x = np.array(t.column("name").to_pylist(), object), t.column("density").to_numpy(), _unpacked(t.column("vec"))
-        rank = np.empty(len(x), np.int64)
-        rank[np.lexsort((names.astype(str), -dense))] = np.arange(len(x))
-        to, near = np.arange(len(x)), np.full(len(x), -2.0, np.float32)
-        for own, other in sides_of(t.column("side").to_numpy()):
-            denser(x, rank, own, other, to, near)
-        peak = followed(np.where(near >= least, to, np.arange(len(x))))
+        names, dense = np.array(t.column("name").to_pylist(), object), t.column("density").to_numpy()
+        by = np.lexsort((names.astype(str), -dense))
+        t = t.take(pa.array(by))
+        names, dense, side = names[by], dense[by], t.column("side").to_numpy()
+        # Rows lie by rank now, so the first of some copies is the densest.
+        copies = Copies(t.column("vec"), side)
+        x, place = _unpacked(t.column("vec").take(pa.array(copies.first))), np.arange(len(copies.first))
+        goal, value = place.copy(), np.full(len(place), -2.0, np.float32)
+        for own, other in sides_of(side[copies.first]):
+            denser(x, copies.first, own, other, goal, value)
+        to, near = copies.first[goal][copies.of_row], value[copies.of_row]
+        again = (copies.first[copies.of_row] != np.arange(len(names))) & (side == 0)
+        to[again], near[again] = copies.first[copies.of_row[again]], 1.0
+        peak = followed(np.where(near >= least, to, np.arange(len(names))))
         alone = (near < least) & (parts_of(t)[:, 0] == part_at[tile])
         vec = pa.array([v if a else None for v, a in zip(t.column("vec").to_pylist(), alone)], pa.binary())
         cols = [pa.array(names, pa.string()), pa.array(names[peak], pa.string()), pa.array(near.astype(np.float64)), pa.array(dense), vec]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from uttermill.llm.routing import LOOKUPS, TILE_ROWS, Router, unpacked
-from uttermill.llm.tiles import CHUNK, counts_here, laid_out, part_of_tile, parts_of, routed, sides_of, solved, spots
+from uttermill.llm.tiles import CHUNK, Copies, counts_here, laid_out, part_of_tile, parts_of, routed, sides_of, solved, spots
 
 #: Digits of a cosine that half-precision vectors bear; closer ones are ties.
 _DIGITS = 5
@@ -58,27 +58,33 @@ def _search(k: int, floor: float | None, ask_share: int | None, part_at: np.ndar
         names = np.array(t.column("name").to_pylist(), object)
         order = np.argsort(names.astype(str), kind="stable")  # so that of equal cosines the smaller name counts
         names, side = names[order], t.column("side").to_numpy()[order]
-        x = unpacked(t.column("vec"))[order]
+        vec = t.column("vec").take(pa.array(order))
+        copies = Copies(vec, side)
+        x = unpacked(vec.take(pa.array(copies.first)))
         asks = np.ones(len(names), bool) if ask_share is None else spots(names.tolist()) % ask_share == 0
+        asked = np.bincount(copies.of_row, asks) > 0
         if part_at is None:
-            met = [(np.flatnonzero(side == 2), np.flatnonzero(side == 1))]
+            met = [(np.flatnonzero(side[copies.first] == 2), np.flatnonzero(side[copies.first] == 1))]
         else:
-            met, parts = sides_of(side), parts_of(t)[order]
+            met, parts = sides_of(side[copies.first]), parts_of(t)[order]
         for own, other in met:
-            own, base = own[asks[own]], np.ascontiguousarray(x[other].T)
+            own, base = own[asked[own]], np.ascontiguousarray(x[other].T)
             for i in range(0, len(own), CHUNK):
                 mine = own[i : i + CHUNK]
                 if not len(other):
                     continue
                 s = x[mine] @ base
                 q, b = candidates(s, k + 1, floor)
-                near, a, b = s[q, b], mine[q], other[b]
-                keep = names[a] != names[b]
+                near, q, b = np.round(np.minimum(s[q, b].astype(np.float64), 1.0), _DIGITS), mine[q], other[b]
                 if part_at is not None:
-                    keep &= counts_here(int(part_at[tile]), parts[a], parts[b])
-                a, b, near = a[keep], b[keep], np.round(np.minimum(near[keep].astype(np.float64), 1.0), _DIGITS)
+                    here = counts_here(int(part_at[tile]), parts[copies.first[q]], parts[copies.first[b]])
+                    q, b, near = q[here], b[here], near[here]
+                # A row may be among the first of its own copies, so one more of them is taken.
+                a, c, pair = copies.expanded(q, b, k + 2)
+                keep = (names[a] != names[c]) & asks[a]
+                a, c, near = a[keep], c[keep], near[pair[keep]]
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(names[a], pa.string()), pa.array(names[b], pa.string()), pa.array(near)], names=["name", "other", "cosine"])
+                    yield pa.RecordBatch.from_arrays([pa.array(names[a], pa.string()), pa.array(names[c], pa.string()), pa.array(near)], names=["name", "other", "cosine"])
 
     return solved(solve)
 
@@ -98,7 +104,7 @@ def nearest(vectors: DataFrame, router: Router, k: int = 10, lookups: int = LOOK
     of the others. ``ask_share`` asks only for one name in so many, by hash, against all rows.
 
     A part holds about ``PART_ROWS`` times ``lookups`` rows in memory; one that is expected to see more than
-    ``TILE_ROWS``, as many copies make it, is compared in tiles of so many. Ties go to the smaller name. Fewer than
+    ``TILE_ROWS``, as many copies make it, is compared in tiles of so many, in which copies are compared once. Ties go to the smaller name. Fewer than
     ``k`` others give fewer rows; one vector or none gives no rows. Equal vectors are neighbours like any others. Extra
     columns are ignored.
     """

@@ -108,3 +108,28 @@ def sides_of(side: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         return [(whole, whole)]
     a, b = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
     return [(a, b), (b, a)] if len(a) and len(b) else []
+
+
+class Copies:
+    """Rows of a tile by their vectors: exact copies on one side are compared once, by their first row."""
+
+    def __init__(self, vec: pa.ChunkedArray, side: np.ndarray):
+        own = vec.combine_chunks().dictionary_encode()
+        own = own.combine_chunks() if isinstance(own, pa.ChunkedArray) else own
+        code = own.indices.to_numpy().astype(np.int64) * 3 + side
+        _, first, self.of_row, self.size = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+        # In the order of the first rows.
+        order = np.argsort(first)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.first, self.size, self.of_row = first[order], self.size[order], place[self.of_row]
+        self.rows = np.argsort(self.of_row, kind="stable")
+        self.starts = np.cumsum(self.size) - self.size
+
+    def expanded(self, a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of copies' classes as pairs of rows: every row of the one with the first ``most`` rows of the other, and which pair each comes from."""
+        right = np.minimum(self.size[b], most)
+        n = self.size[a] * right
+        pair = np.repeat(np.arange(len(a)), n)
+        at = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+        return self.rows[self.starts[a][pair] + at // right[pair]], self.rows[self.starts[b][pair] + at % right[pair]], pair
