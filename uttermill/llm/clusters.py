@@ -14,7 +14,7 @@ from uttermill.llm.routing import Router, router_of, unpacked
 from uttermill.llm.tiles import CHUNK, Copies, counts_here, part_of_tile, parts_of, routed, sides_of, solved
 
 #: Most probable parts in which each vector meets others, and in which those that found no denser one meet again.
-LOOKUPS, PEAK_LOOKUPS = 3, 10
+LOOKUPS, PEAK_LOOKUPS = 3, 6
 #: Most typical members that a cluster is described by.
 TYPICAL = 3
 
