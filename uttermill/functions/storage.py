@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
     Only a local session without that setting (tests on one machine) gets a folder of its own in the working directory,
-    which is set once as its checkpoint folder.
+    or among temporary files if that cannot be written, which is set once as its checkpoint folder.
     """
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
@@ -27,7 +28,8 @@ def shared_folder(spark: SparkSession) -> str:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(os.path.abspath(os.path.join("spark-checkpoints", uuid.uuid4().hex)))
+        home = os.getcwd() if os.access(os.getcwd(), os.W_OK) else tempfile.gettempdir()
+        context.setCheckpointDir(os.path.join(home, "spark-checkpoints", uuid.uuid4().hex))
     return context._jsc.sc().getCheckpointDir().get()
 
 
