@@ -110,3 +110,29 @@ def test_lines_of_a_file_in_many_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert got == {f"k{i}": f"v{19_500 + i}" for i in range(500)} | {"other": "last"}
+
+
+def test_turn_files_are_one_plain_file_each(spark, tmp_path, monkeypatch):
+    """Numbers, marks, empty names and names that two recordings share come back; both writers leave the same folders."""
+    turns = [(f"{i}", 0.0, 1.0, "x") for i in range(200)] + [("", 0.0, 1.0, "x"), ("a%2F:[b]", 0.0, 1.0, "é"), ("u_0", 9.0, 1.0, "z"), ("u", 1.0, 1.0, "x"), ("u", 10.0, 1.0, "x"), ("u", 2.0, 1.0, "y")]
+    df = spark.createDataFrame(turns, "utt string, begin double, dur double, spk string")
+    root = tmp_path / "turns"
+    sinks.write_turn_files(df, f"file://{root}")
+    assert all([p.name for p in d.iterdir()] == ["part-00000.txt"] for d in root.glob("name=*"))
+    at_u_0 = [f"SPEAKER {u} 1 {b:.3f} 1.000 <NA> <NA> {s} <NA> <NA>" for u, b, s in (("u", 1, "x"), ("u_0", 9, "z"), ("u", 10, "x"))]
+    assert (root / "name=u_0/part-00000.txt").read_text().splitlines() == at_u_0
+    back = text.read_turn_files(spark, f"file://{root}")
+    assert back.dtypes == [("name", "string"), ("value", "string")]
+    assert back.rdd.getNumPartitions() <= 4  # not a task for every few folders
+    got = sorted(map(tuple, back.collect()))
+    assert len(got) == len(turns) and {n for n, _ in got} == {f"{i}" for i in range(200)} | {"", "a%2F:[b]", "u_0", "u_1"}
+    monkeypatch.setattr(sinks, "mounted", lambda *_: None)
+    monkeypatch.setattr(text, "mounted", lambda *_: None)
+    sinks.write_turn_files(df, f"file://{tmp_path}/other")
+    assert {d.name for d in root.glob("name=*")} == {d.name for d in (tmp_path / "other").glob("name=*")}
+    assert sorted(map(tuple, text.read_turn_files(spark, f"file://{tmp_path}/other").collect())) == got
+
+
+def test_no_turns_leave_no_folders(spark, tmp_path):
+    sinks.write_turn_files(spark.createDataFrame([], "utt string, begin double, dur double, spk string"), f"file://{tmp_path}/none")
+    assert text.read_turn_files(spark, f"file://{tmp_path}/none").count() == 0

@@ -56,6 +56,13 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+def mounted(spark: SparkSession, path: str) -> str | None:
+    """The whole path as Python opens it, if it names plain files, as a mounted folder does; nothing for other file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(at).toUri().getPath() if system.getUri().getScheme() == "file" else None
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`written`, once nothing reads it any more."""
     for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:

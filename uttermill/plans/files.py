@@ -99,7 +99,7 @@ def f_split_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _turns(spark, sf_dir).select(F.regexp_replace("reco", "/", "_").alias("utt"), (F.col("begin") / 1000.0).alias("begin"), ((F.col("end") - F.col("begin")) / 1000.0).alias("dur"), "spk")
     path = new_folder(spark, "split")
     sinks.write_turn_files(t, path)
-    back = spark.read.text(path)
+    back = text.read_turn_files(spark, path)
     return back.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("first_line"))
 
 

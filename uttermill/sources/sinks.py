@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import errno
 import io
+import itertools
 import os
+import shutil
 import struct
 import tarfile
 import uuid
@@ -15,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from uttermill.functions.storage import mounted
 from uttermill.operators.datadir import hashed_order
 
 
@@ -40,8 +44,17 @@ def write_json_list(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
 
 
+#: What a value of a partition folder's name may not hold, as Spark writes it instead; the folder of the empty value.
+_ESCAPED = {i: f"%{i:02X}" for i in (*range(32), *map(ord, "\"#%'*/:=?\\\x7f{[]^"))}
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
 def write_turn_files(turns: DataFrame, path: str) -> None:
-    """A folder of RTTM lines per recording and speaker; the speaker's number, in order of first turn, is added only if there are several."""
+    """A folder of RTTM lines per recording and speaker; the speaker's number, in order of first turn, is added only if there are several.
+
+    In a mounted folder each task writes its folders itself, with a file each, which nothing lists or moves again.
+    Spark's writer, which other file systems take, makes the same folders, but several files on the way to each.
+    """
     first = turns.groupBy("utt", "spk").agg(F.min(F.struct("begin", "spk")).alias("at"))
     number = (F.row_number().over(Window.partitionBy("utt").orderBy("at")) - 1).cast("string")
     many = F.count(F.lit(1)).over(Window.partitionBy("utt")) > 1
@@ -49,7 +62,39 @@ def write_turn_files(turns: DataFrame, path: str) -> None:
     line = F.format_string("SPEAKER %s 1 %.3f %.3f <NA> <NA> %s <NA> <NA>", "utt", "begin", "dur", "spk")
     rows = turns.join(named, ["utt", "spk"]).select("name", "begin", line.alias("value"))
     # Lines of a folder lie in the order of their begin times.
-    rows.repartition("name").sortWithinPartitions("name", "begin", "value").drop("begin").write.partitionBy("name").text(path)
+    laid = rows.repartition("name").sortWithinPartitions("name", "begin", "value").drop("begin")
+    root = mounted(turns.sparkSession, path)
+    if root is None:
+        laid.write.partitionBy("name").text(path)
+        return
+    os.makedirs(root)  # a folder that is there already is refused, as by Spark
+
+    making = os.path.join(root, ".making")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        # Folders are made in one of the task's own and moved when whole: tasks that make them in one place wait for each other.
+        own = os.path.join(making, uuid.uuid4().hex)
+        os.makedirs(own)
+        lines = (r for b in batches for r in zip(b.column("name").to_pylist(), b.column("value").to_pylist()))
+        for name, of_name in itertools.groupby(lines, lambda r: r[0]):
+            part = os.path.join(own, str(n))
+            os.mkdir(part)
+            with open(os.path.join(part, "part-00000.txt"), "wb") as f:
+                f.writelines(f"{line}\n".encode() for _, line in of_name)
+            try:
+                os.rename(part, os.path.join(root, f"name={name.translate(_ESCAPED) or NO_VALUE}"))
+            except OSError as e:
+                if e.errno not in (errno.ENOTEMPTY, errno.EEXIST):
+                    raise
+                shutil.rmtree(part)  # an earlier run of the task has left the same folder, whole
+            n += 1
+        os.rmdir(own)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    laid.mapInArrow(write, "n bigint").write.format("noop").mode("overwrite").save()
+    shutil.rmtree(making, ignore_errors=True)
+    open(os.path.join(root, "_SUCCESS"), "wb").close()
 
 
 def write_tables(df: DataFrame, path: str, rows_per_file: int, seed: int | None = None) -> None:

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from uttermill.functions.storage import mounted, shuffle_width
+from uttermill.sources.sinks import NO_VALUE
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """``path, line_no, line`` of text files, which are read in splits, however large they are.
@@ -61,6 +70,42 @@ def read_turns(spark: SparkSession, path: str, least_fields: int = 8, any_kind:
     return t.select(at(1).alias("utt"), at(2).try_cast("int").alias("channel"), at(3).try_cast("double").alias("begin"), at(4).try_cast("double").alias("dur"), at(7).alias("spk"), "line_no").dropna(subset=["begin", "dur"])
 
 
+def read_turn_files(spark: SparkSession, path: str) -> DataFrame:
+    """``name, value``: the lines of all folders that :func:`uttermill.sources.sinks.write_turn_files` wrote.
+
+    In a mounted folder one task passes on the names of the folders, and all tasks open them; the driver holds none.
+    """
+    root = mounted(spark, path)
+    if root is None:
+        return spark.read.schema("value string, name string").text(path).select(F.coalesce("name", F.lit("")).alias("name"), "value")
+
+    def folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            with os.scandir(root) as there:
+                names = (e.name for e in there if e.name.startswith("name=") and e.is_dir())
+                while some := list(itertools.islice(names, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], names=["folder"])
+
+    def lines_of(folder: str) -> Iterator[tuple[str, str]]:
+        held = folder.split("=", 1)[1]
+        name = "" if held == NO_VALUE else re.sub("%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), held)
+        with os.scandir(os.path.join(root, folder)) as there:
+            files = sorted(e.path for e in there if e.name[0] not in "._")
+        for file in files:
+            with open(file, "rb") as f:
+                for line in f:
+                    yield name, line.removesuffix(b"\n").decode()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = itertools.chain.from_iterable(lines_of(folder) for b in batches for folder in b.column("folder").to_pylist())
+        while some := list(itertools.islice(rows, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*some)], names=["name", "value"])
+
+    # A number of tasks is given, as the names of many folders are few bytes, of which few tasks would be made.
+    there = spark.range(0, 1, 1, 1).mapInArrow(folders, "folder string").repartition(shuffle_width(spark), "folder")
+    return there.mapInArrow(read, "name string, value string")
+
+
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """``seg, utt, begin, end``; times are the last two tokens, so a recording's name may hold blanks."""
     t = read_ragged(spark, path).where(F.size("tokens") >= 4)
